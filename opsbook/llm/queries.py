@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality, simhash, substrings
+from . import chat, decontaminate, language, packing, quality, simhash, substrings, tokencount, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,69 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__quality.*")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.token_files(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of other formats' control strings."""
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, 0 AS turn, 'user' AS role, '{probe}' AS text UNION ALL SELECT -7L, 1, 'assistant', '{probe}'")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_conversations(rows))
+
+
+def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_best_fit_packing, op3_benchmark_decontamination, op4_simhash_neardup, op7_quality_rules)
+    for f in (
+        op1_substring_dedup, op2_best_fit_packing, op3_benchmark_decontamination, op4_simhash_neardup, op5_language_id,
+        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "op9_chat_format": """
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), escaped AS (
+  SELECT *, replace(replace(replace(role, '%', '%25'), '<', '%3C'), '[', '%5B') AS role_out,
+         replace(replace(replace(text, '%', '%25'), '<', '%3C'), '[', '%5B') AS text_out
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(length('<|begin|>') + sum(length('<|turn|><|text|><|end|>') + length(role_out) + length(text_out)) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+""",
+    "op10_warc_archives": """
+WITH keyed AS (
+  SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), lead AS (SELECT hex, max(page_id) AS first_id FROM keyed GROUP BY hex),
+bits AS (SELECT hex, first_id, CAST(unhex(hex) AS BIT)::VARCHAR AS b FROM lead)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+         + 16 * CAST(substr(b, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * i + 2 AS BIGINT), 1) AS INT)
+         + 4 * CAST(substr(b, CAST(5 * i + 3 AS BIGINT), 1) AS INT) + 2 * CAST(substr(b, CAST(5 * i + 4 AS BIGINT), 1) AS INT)
+         + CAST(substr(b, CAST(5 * i + 5 AS BIGINT), 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
+FROM keyed JOIN bits USING (hex)
+""",
 }
-
-ORACLES: dict[str, str] = {}
