@@ -27,7 +27,7 @@ def format_sig(x: Column, digits: int = 7) -> Column:
 def ics_escape(c: Column) -> Column:
     """Calendar text: backslash, comma, semicolon and newline escaped."""
     out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
-    for plain, escaped in ((",", "\\,"), (";", "\;"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for plain, escaped in ((",", "\\,"), (";", "\\;"), ("\r\n", "\\n"), ("\n", "\\n")):
         out = F.replace(out, F.lit(plain), F.lit(escaped))
     return out
 

@@ -129,7 +129,7 @@ def write_backup_json(lists: dict[str, DataFrame], path: str) -> None:
 def parse_backups(documents: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
     """Documents back to one DataFrame per list; a list that a document lacks gives no rows."""
     data = ", ".join(f"{name}: array<struct<{schema}>>" for name, schema in schemas.items())
-    read = documents.select(F.from_json("document", f"app: string, version: int, book_id: long, data: struct<{data}>").alias("d"))
+    read = documents.select(F.from_json("document", f"struct<app: string, version: int, book_id: bigint, data: struct<{data}>>").alias("d"))
     return {n: read.select(F.col("d.book_id").alias("book_id"), F.explode(f"d.data.{n}").alias("r")).select("book_id", "r.*") for n in schemas}
 
 
@@ -141,19 +141,22 @@ def read_backup_json(spark: SparkSession, path: str, schemas: dict[str, str]) ->
 
 INSTRUMENT_FORMAT = "opsbook-instruments"
 INSTRUMENT = (
-    "model string, serial string, location string, sensors string, notes string, parts array<struct<name: string, partNo: string, qty: string>>, "
-    "procedures array<struct<title: string, steps array<struct<text: string>>>>"
-).replace("steps array", "steps: array")
+    "model: string, serial: string, location: string, sensors: string, notes: string, parts: array<struct<name: string, partNo: string, qty: string>>, "
+    "procedures: array<struct<title: string, steps: array<struct<text: string>>>>"
+)
 
 
-def read_instruments_json(spark: SparkSession, path: str, accept: str = INSTRUMENT_FORMAT) -> DataFrame:
-    """Instruments of all files with the accepted format; other files and rubbish add no rows."""
-    read = spark.read.text(path, wholetext=True)
-    doc = F.from_json("value", f"format: string, version: string, source: string, instruments: array<struct<{INSTRUMENT.replace(' string', ': string').replace(' array<', ': array<').replace('::', ':')}>>")
-    rows = read.select(doc.alias("d")).where(F.col("d.format") == accept)
+def parse_instruments(documents: DataFrame, accept: str = INSTRUMENT_FORMAT) -> DataFrame:
+    """Instruments of the documents of the accepted format; others and rubbish add no rows."""
+    doc = F.from_json("value", f"struct<format: string, version: string, source: string, instruments: array<struct<{INSTRUMENT}>>>")
+    rows = documents.select(doc.alias("d")).where(F.col("d.format") == accept)
     return rows.select(F.col("d.source").alias("source"), F.explode("d.instruments").alias("i")).select("source", "i.*")
 
 
+def read_instruments_json(spark: SparkSession, path: str, accept: str = INSTRUMENT_FORMAT) -> DataFrame:
+    return parse_instruments(spark.read.text(path, wholetext=True), accept)
+
+
 # --- sign-off -----------------------------------------------------------------------------------------------
 
 
