@@ -223,7 +223,7 @@ def q49_list_counts(spark, sf):
     return list_counts({"spend": view(spark, sf, "spend"), "loans": view(spark, sf, "loans"), "invest": view(spark, sf, "holdings")})
 
 
-@query(with_views("SELECT book_id, id, "asof" FROM (SELECT *, CAST(DATE '2024-01-20' - CAST(substr(id, 2)::INT % 60 AS INT) AS DATE) AS "asof" FROM holdings) WHERE kind NOT IN ('fd', 'rd') AND CAST("asof" + INTERVAL 1 MONTH AS DATE) < DATE '2024-01-25'", "holdings"))
+@query(with_views("""SELECT book_id, id, "asof" FROM (SELECT *, CAST(DATE '2024-01-20' - CAST(substr(id, 2)::INT % 60 AS INT) AS DATE) AS "asof" FROM holdings) WHERE kind NOT IN ('fd', 'rd') AND CAST("asof" + INTERVAL 1 MONTH AS DATE) < DATE '2024-01-25'""", "holdings"))
 def q18_stale_prices(spark, sf):
     own = view(spark, sf, "holdings").withColumn("asof", F.date_sub(F.lit(dt.date(2024, 1, 20)), F.col("id").substr(2, 9).cast("int") % 60))
     return budget.stale_prices(own, TODAY).select("book_id", "id", "asof")
