@@ -10,9 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEAN_WORDS = 5  # a word ends a chunk with probability 1 / MEAN_WORDS
-WINDOW = 16  # bytes that a boundary depends on
-LEAST_WORDS = 10  # shorter runs of repeated chunks stay
+MEAN_WORDS = 4  # a word ends a chunk with probability 1 / MEAN_WORDS
+LEAST_WORDS = 20  # shorter runs of repeated chunks stay
 
 
 def gear_table() -> np.ndarray:
@@ -20,17 +19,17 @@ def gear_table() -> np.ndarray:
     z = (np.arange(1, 257, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))).astype(np.uint16)
+    return (z ^ (z >> np.uint64(31))).astype(np.uint8)
 
 
 GEAR = gear_table()
 
 
 def gear_hash(data: np.ndarray) -> np.ndarray:
-    """h[i] = (h[i-1] << 1) + GEAR[data[i]] in 16 bits, so the last 16 bytes; by doubling the window."""
+    """h[i] = (h[i-1] << 1) + GEAR[data[i]] in 8 bits, so of the last 8 bytes; by doubling the window."""
     h = GEAR[data]
-    for step in (1, 2, 4, 8):
-        shifted = h[:-step] << np.uint16(step)
+    for step in (1, 2, 4):
+        shifted = h[:-step] << np.uint8(step)
         h = h.copy()
         h[step:] += shifted
     return h
@@ -39,7 +38,7 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 def chunk_ends(data: bytes) -> np.ndarray:
     """Byte offsets at which chunks of the text end, its length last.
 
-    A boundary follows a word whose last 16 bytes have a hash below a threshold, and takes the white space
+    A boundary follows a word whose last 8 bytes have a hash below a threshold, and takes the white space
     with it. It depends on those bytes alone: an insertion moves boundaries but changes none further on.
     """
     b = np.frombuffer(data, np.uint8)
@@ -48,7 +47,7 @@ def chunk_ends(data: bytes) -> np.ndarray:
     space = (b == 32) | ((b >= 9) & (b <= 13))
     h = gear_hash(b)
     last = np.flatnonzero(~space[:-1] & space[1:])  # last bytes of words
-    last = last[h[last] < 65536 // MEAN_WORDS]
+    last = last[h[last] < 256 // MEAN_WORDS]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # first bytes of the words after white space
     at = np.searchsorted(starts, last, "right")
     ends = starts[at[at < len(starts)]]
