@@ -27,7 +27,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changed = F.col("__removed.spans") > 0
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return left.where(~changed | (F.length(F.trim("text")) > 0)).select(docs.columns)
+    return left.where(~changed | F.col("text").rlike(r"\S")).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

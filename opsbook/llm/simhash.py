@@ -114,7 +114,7 @@ def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ali
         v, same = root[q], uniform()
         found: list[np.ndarray] = []
         while len(q):
-            live = ~(same[v] & (comp[q] == comp[v])) | (depth[v] < 0)
+            live = ~(same[v] & (comp[q] == comp[v]))
             q, v = q[live], v[live]
             d = np.bitwise_count(fp[q] ^ fp[v]).astype(np.int64)
             hit = (d <= radius) & (comp[q] != comp[v])
