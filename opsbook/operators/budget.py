@@ -44,10 +44,14 @@ def category_groups(spend: DataFrame, category_group: DataFrame, listed: DataFra
 def items_due(items: DataFrame, months: DataFrame, received: DataFrame | None = None) -> DataFrame:
     """Items that land in each month: from their start month, every 1, 3 or 12 months; and the average a month.
 
-    months is a short list. received: (book_id, id, month, amount).
+    months is a short list; each month is matched to the items whose start falls on it within their cycle, an
+    equality on (cycle, remainder). received: (book_id, id, month, amount).
     """
-    gap = month_diff(F.col("start"), F.col("month"))
-    rows = items.crossJoin(F.broadcast(months.select("month"))).where((gap >= 0) & (F.pmod(gap, _every()) == 0))
+    place = F.year("month") * 12 + F.month("month")
+    cycles = F.explode(F.array(*(F.struct(F.lit(c).alias("cycle"), F.lit(n).alias("n")) for c, n in CYCLE.items()))).alias("k")
+    when = months.select("month", cycles).select(F.col("k.cycle").alias("cycle"), F.pmod(place, F.col("k.n")).alias("rest"), "month")
+    start = F.pmod(F.year("start") * 12 + F.month("start"), _every())
+    rows = items.withColumn("rest", start).join(F.broadcast(when), ["cycle", "rest"]).where(month_diff(F.col("start"), F.col("month")) >= 0)
     out = rows.select("book_id", "list", "id", "name", "month", "amount", (F.col("amount") / _every()).alias("average"))
     if received is None:
         return out
@@ -118,12 +122,12 @@ def one_per_day(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys, "d").agg(F.max_by(F.struct(*(c for c in points.columns if c not in (*keys, "d"))), order).alias("r")).select(*keys, "d", "r.*")
 
 
-def price_asof(holdings: DataFrame, prices: DataFrame, days: DataFrame) -> DataFrame:
+def price_asof(holdings: DataFrame, prices: DataFrame, days: list[dt.date]) -> DataFrame:
     """(holding_id, day, price): the latest price on or before each of the days, null before the first.
 
     One pass over prices and days sorted together in each holding; no join by inequality.
     """
-    ask = holdings.select(F.col("id").alias("holding_id")).crossJoin(F.broadcast(days.select("day"))).select("holding_id", F.col("day").alias("d"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("ask"))
+    ask = holdings.select(F.col("id").alias("holding_id"), F.explode(F.array(*map(F.lit, days))).alias("d"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("ask"))
     rows = prices.select("holding_id", "d", F.col("p").cast("double").alias("p"), F.lit(0).alias("ask")).unionByName(ask)
     w = Window.partitionBy("holding_id").orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("price", F.last("p", ignorenulls=True).over(w)).where("ask = 1").select("holding_id", F.col("d").alias("day"), "price")

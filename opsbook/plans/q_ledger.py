@@ -126,6 +126,13 @@ def q6_backup_round_trip(spark, sf):
     return back.withColumns({c: F.round(c, 4) for c in ("principal", "rate")})
 
 
+@query(with_views("SELECT book_id, id, name, list, round(amount, 4) AS amount FROM cash_items", "cash_items"))
+def q2_read_backup(spark, sf):
+    """Cash items out of the same documents."""
+    back = files.parse_backups(files.backup_documents(_lists(spark, sf)), {n: s.replace(" ", ": ").replace(",: ", ", ") for n, s in LISTS.items()})["cash_items"]
+    return back.withColumn("amount", F.round("amount", 4))
+
+
 @query(with_views("SELECT book_id, 'cash_items' AS list, id, name FROM cash_items UNION ALL SELECT book_id, 'loans', id, NULL FROM loans", "loans", "cash_items"))
 def q5_ledger_flat_rows(spark, sf):
     lists = _lists(spark, sf)

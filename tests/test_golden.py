@@ -91,7 +91,7 @@ def test_fold(spark):
 def test_prices(spark):
     p = spark.createDataFrame([("h", D(2026, 1, 1), 120.0, 1), ("h", D(2026, 1, 1), 130.0, 2), ("h", D(2026, 2, 1), 140.0, 3)], "holding_id string, d date, p double, upd long")
     assert [r["p"] for r in budget.one_per_day(p, ["holding_id"]).orderBy("d").collect()] == [130, 140]
-    days = spark.createDataFrame([(D(2025, 1, 1),), (D(2026, 1, 31),), (D(2026, 2, 1),)], "day date")
+    days = [D(2025, 1, 1), D(2026, 1, 31), D(2026, 2, 1)]
     asked = budget.price_asof(spark.createDataFrame([("h",)], "id string"), budget.one_per_day(p, ["holding_id"]), days)
     assert [r["price"] for r in asked.orderBy("day").collect()] == [None, 130, 140]
 
@@ -110,7 +110,7 @@ def test_numbers_and_lines(spark):
     assert tuple(r) == (-1.23, None, "14.50377", "1 000", "0", "264.1721", "45_35", "UTC+01:00")
     long = "x" * 200
     folded = one(spark, text.ics_fold(F.lit(long)), text.ics_escape(F.lit("a,b;c\nd\\")))
-    assert folded[0].replace("\r\n ", "") == long and max(map(len, folded[0].split("\r\n"))) <= 75 and folded[1] == "a\\,b\;c\\nd\\\\"
+    assert folded[0].replace("\r\n ", "") == long and max(map(len, folded[0].split("\r\n"))) <= 75 and folded[1] == "a\\,b\\;c\\nd\\\\"
 
 
 JOB = "book_id int, id string, serial int, job string, due date, priority string, remarks string, weekly_report boolean, planner boolean, ra boolean, ptw boolean, ptw_type string, repeat string, done boolean, date_completed date"
