@@ -91,9 +91,9 @@ def q15_birthday_label(spark, sf):
 PASTED = "'Particulars of \"' || ship || '\"' || chr(10) || 'IMO: ' || id || chr(10) || 'stray line' || chr(10) || 'call sign - ' || name || chr(10)"
 
 
-@query(with_views("""SELECT book_id, ship AS ship_name, id AS "IMO", name AS "Call sign" FROM crew WHERE substr(id, 2)::INT < 40""", "crew"))
+@query(with_views("""SELECT CAST(substr(id, 2) AS INT) AS book_id, ship AS ship_name, id AS "IMO", name AS "Call sign" FROM crew""", "crew"))
 def q16_parse_particulars(spark, sf):
-    pasted = view(spark, sf, "crew").where("cast(substring(id, 2, 9) as int) < 40").select("book_id", F.expr(PASTED.replace("chr(10)", "char(10)")).alias("text"))
+    pasted = view(spark, sf, "crew").select(F.substring("id", 2, 9).cast("int").alias("book_id"), F.expr(PASTED.replace("chr(10)", "char(10)")).alias("text"))
     return register.parse_particulars(pasted, ["IMO", "Call sign"])
 
 

@@ -52,15 +52,13 @@ def q82_conversion_formula(spark, sf):
     return parts.join(F.broadcast(formulas), ["unit", "to_unit"]).select("p_partkey", "formula")
 
 
-RAW = "substr(text, 1, 300) || ',' || chr(10) || ';' || chr(92)"
+RAW = "text || ',' || chr(10) || ';' || chr(92)"
 
 
-@query(f"""SELECT doc_id, substr(t, 1, 74) || CASE WHEN length(t) > 74 THEN chr(13) || chr(10) || ' ' || substr(t, 75, 74) ELSE '' END || CASE WHEN length(t) > 148 THEN chr(13) || chr(10) || ' ' || substr(t, 149, 74) ELSE '' END
-|| CASE WHEN length(t) > 222 THEN chr(13) || chr(10) || ' ' || substr(t, 223, 74) ELSE '' END || CASE WHEN length(t) > 296 THEN chr(13) || chr(10) || ' ' || substr(t, 297, 74) ELSE '' END
-|| CASE WHEN length(t) > 370 THEN chr(13) || chr(10) || ' ' || substr(t, 371, 74) ELSE '' END || CASE WHEN length(t) > 444 THEN chr(13) || chr(10) || ' ' || substr(t, 445, 74) ELSE '' END AS line
+@query(f"""SELECT doc_id, array_to_string(list_transform(range(0, CAST(ceil(length(t) / 74.0) AS BIGINT)), lambda i: substr(t, i * 74 + 1, 74)), chr(13) || chr(10) || ' ') AS line
 FROM (SELECT doc_id, replace(replace(replace(replace({RAW}, chr(92), chr(92) || chr(92)), ',', chr(92) || ','), ';', chr(92) || ';'), chr(10), chr(92) || 'n') AS t FROM documents)""")
 def q83_ics_text(spark, sf):
-    """Calendar lines of the documents' openings, which are titles here; the escape works on any length."""
+    """The documents as calendar lines."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.expr(RAW.replace("chr(", "char(")).alias("t"))
     return docs.select("doc_id", text.ics_fold(text.ics_escape(F.col("t"))).alias("line"))
 

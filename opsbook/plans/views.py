@@ -70,7 +70,7 @@ FROM orders WHERE o_orderkey % 10 = 0""",
     "voyages": """SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS departure,
        CAST(CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE 100 + o_orderkey % 5000 END AS DOUBLE) AS distance_nm,
        CAST((o_orderkey % 200) / 10.0 AS DOUBLE) AS speed_kn
-FROM orders WHERE o_orderkey % 20 = 1""",
+FROM orders""",
     "positions": """SELECT c_custkey AS id, c_name AS name, CAST((c_custkey * 3701 % 36000) / 100.0 - 180 AS DOUBLE) AS lon,
        CAST((c_custkey * 5303 % 17000) / 100.0 - 85 AS DOUBLE) AS lat
 FROM customer""",
