@@ -34,7 +34,7 @@ def ics_escape(c: Column) -> Column:
 
 def ics_fold(c: Column, width: int = 74) -> Column:
     """Physical lines of at most width characters, continued by CRLF and a space."""
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.length(c) - 1) / width) - 1).cast("int")), lambda k: F.substring(c, k * width + 1, F.lit(width)))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / width) - 1).cast("int")), lambda k: F.substring(c, k * width + 1, F.lit(width)))
     return F.array_join(parts, "\r\n ")
 
 
