@@ -108,6 +108,8 @@ def test_voyages(spark):
 def test_numbers_and_lines(spark):
     r = one(spark, text.clean_number(F.lit("ab-1.2.3x")), text.clean_number(F.lit("")), text.format_sig(F.lit(14.503773773)), text.format_sig(F.lit(1000.0)), text.format_sig(F.lit(0.0)), text.format_sig(F.lit(264.17205)), text.tile_key(F.lit(1.0), F.lit(51.0)), text.format_offset(F.lit(60)))
     assert tuple(r) == (-1.23, None, "14.50377", "1 000", "0", "264.1721", "45_35", "UTC+01:00")
+    for n in (1, 74, 75, 148, 149):
+        assert one(spark, text.ics_fold(F.lit("y" * n)))[0].replace("\r\n ", "") == "y" * n
     long = "x" * 200
     folded = one(spark, text.ics_fold(F.lit(long)), text.ics_escape(F.lit("a,b;c\nd\\")))
     assert folded[0].replace("\r\n ", "") == long and max(map(len, folded[0].split("\r\n"))) <= 75 and folded[1] == "a\\,b\\;c\\nd\\\\"
