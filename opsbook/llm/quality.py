@@ -16,7 +16,7 @@ REPEAT_WORDS = 8  # shorter maximal repeats do not count
 MOST_COVERED = 0.3  # fraction of words in repeats
 LONGEST = 100  # words of the longest repeat
 SYMBOLS = "#*$%&|<>"
-BATCH_WORDS = 300_000
+BATCH_CHARS = 800_000
 
 
 def neighbours(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -79,18 +79,19 @@ def covered(lengths: np.ndarray, least: int, most: int | None = None) -> np.ndar
 
 def measure(texts: list[str | None]) -> pd.DataFrame:
     """The counts of each text, with covered_words and longest_repeat from the suffix arrays."""
-    words = [(t or "").encode().split() for t in texts]
     out: list[pd.DataFrame] = []
     a = 0
     while a < len(texts):
         b, n = a, 0
-        while b < len(texts) and (b == a or n + len(words[b]) <= BATCH_WORDS):
-            n += len(words[b])
+        while b < len(texts) and (b == a or n + len(texts[b] or "") <= BATCH_CHARS):
+            n += len(texts[b] or "")
             b += 1
-        size = np.array([len(w) for w in words[a:b]])
+        words = [(t or "").encode().split() for t in texts[a:b]]  # only of these texts: words take 10 times the text's memory
+        size = np.array([len(w) for w in words])
         doc = np.repeat(np.arange(b - a), size)
-        flat = [w for ws in words[a:b] for w in ws]
+        flat = [w for ws in words for w in ws]
         ids = pd.factorize(np.array(flat, dtype=object))[0].astype(np.int64) if flat else np.zeros(0, np.int64)
+        del words, flat
         repeat = neighbours(ids, doc)
         long = np.where(repeat >= REPEAT_WORDS, repeat, 0)
         longest = np.zeros(b - a, np.int64)

@@ -10,7 +10,7 @@ import numpy as np
 
 LETTER, DIGIT, SPACE, OTHER, UNSURE = 1, 2, 3, 4, 9
 LIMIT = 0x2100  # texts with characters from here on go to the library whole
-MEMO = 1_500_000  # distinct words kept by a Python worker
+MEMO = 1_000_000  # distinct words kept by a Python worker
 
 
 def _classes() -> np.ndarray:
@@ -83,7 +83,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.flat = np.empty(0, np.uint32)
 
     def _plain(self, text: str) -> str | None:
@@ -106,9 +106,8 @@ class Encoder:
             size[k : k + 4096] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words[k : k + 4096]))
         at = np.cumsum(size) - size + len(self.flat)
         self.flat = np.concatenate([self.flat, *ids])
-        key = np.concatenate([self.key, keys])
-        order = np.argsort(key, kind="stable")
-        self.key, self.at, self.size = key[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+        place = np.searchsorted(self.key, keys)
+        self.key, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.key, keys), (self.at, at), (self.size, size)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [self._plain(t) for t in texts]
@@ -160,7 +159,7 @@ class Encoder:
         if new.any():
             self._learn(distinct[new], [big[s:e] for s, e in zip(first[lead[new]].tolist(), last[lead[new]].tolist())])
             at = np.searchsorted(self.key, distinct)
-        n = self.size[at][inverse]
+        n = self.size[at][inverse].astype(np.int64)
         ids = self.flat[np.repeat(self.at[at][inverse] - np.cumsum(n) + n, n) + np.arange(n.sum())]
         return ids, (first, n)
 
@@ -175,7 +174,7 @@ def encoder(kind: Kind) -> Encoder:
     return _encoders[kind]
 
 
-def text_batches(texts: list[str], chars: int = 2_000_000) -> list[tuple[int, int]]:
+def text_batches(texts: list[str], chars: int = 1_000_000) -> list[tuple[int, int]]:
     """Ranges of texts of about so many characters; a longer text is alone."""
     out, a, n = [], 0, 0
     for k, t in enumerate(texts):
