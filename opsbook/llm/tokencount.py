@@ -12,6 +12,7 @@ constant there, and composing chunk maps is a scan for the last chunk that has o
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # what a space becomes
 LANE = 128  # characters in a chunk
-SLOTS = 1 << 22  # transitions kept by a worker; when half are used, the automaton starts anew
-BATCH_CHARS = 1_000_000
+SLOTS = 1 << 21  # room for transitions in a worker; when two thirds are used, the automaton starts anew
+BATCH_CHARS = 500_000
 PAD, NEW = 0, 6  # classes: text boundary; 1-4 unknown characters by UTF-8 length; 5 the space mark; single characters
 
 
@@ -103,7 +104,7 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple] = [((0, -1, 0),)]
+        self.states: list[bytes] = [struct.pack("3i", 0, -1, 0)]  # (trie node, token before, count) of each open token
         self.number = {self.states[0]: 0}
         self.key = np.full(SLOTS, -1, np.int64)
         self.next, self.emit = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int8)
@@ -114,7 +115,7 @@ class Transducer:
         if cls < 5:
             return 0, cls  # a boundary, or a character that becomes one token for each byte
         v, c, opened, taken = self.vocab, self.chars[cls], [], None
-        for node, before, count in self.states[state]:
+        for node, before, count in struct.iter_unpack("3i", self.states[state]):
             to = v.child.get((node, c))
             if to is None:
                 continue
@@ -125,7 +126,7 @@ class Transducer:
             if v.token_at[to] >= 0 and v.follows(before, v.token_at[to]):
                 taken = (v.token_at[to], count + 1)
         token, count = taken
-        new = tuple(sorted((n, b, k - count) for n, b, k in opened)) + ((0, token, 0),)
+        new = b"".join(struct.pack("3i", n, b, k - count) for n, b, k in sorted(opened)) + struct.pack("3i", 0, token, 0)
         if new not in self.number:
             self.number[new] = len(self.states)
             self.states.append(new)
@@ -134,7 +135,7 @@ class Transducer:
     def step(self, state: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One character for every lane, through the hash table of known transitions."""
         key = state * self.classes + cls
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         have = self.key[slot]
         todo = np.flatnonzero(have != key)
         while len(todo):
@@ -148,7 +149,7 @@ class Transducer:
         return self.next[slot].astype(np.int64), self.emit[slot]
 
     def _insert(self, key: int) -> None:
-        at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 42
+        at = ((key * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> 43
         while self.key[at] >= 0:
             if self.key[at] == key:
                 return
@@ -159,7 +160,7 @@ class Transducer:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text. All texts are one row of characters, divided in chunks that run side by side."""
-        if self.used > SLOTS // 2:
+        if self.used > SLOTS * 2 // 3:
             self.clear()
         full = [t for t in texts if t]
         out = np.zeros(len(texts), np.int64)
