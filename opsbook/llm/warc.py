@@ -142,8 +142,8 @@ def build_archive(records: list[tuple[int | None, bytes]]) -> bytes:
 def with_targets(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Pages with __sha1 and __target: the largest page_id of equal payloads, null for that one itself.
 
-    Payloads shorter than least_bytes are never revisits. The largest id is combined before the shuffle;
-    payloads do not take part in the joins, only ids and digests do.
+    Payloads shorter than least_bytes are never revisits. The largest id is combined before the shuffle. Where
+    repeated digests are many, the join moves each payload once, by digest, and adaptive execution splits a hot one.
     """
     keys = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_bytes)
     lead = keys.groupBy("sha1").agg(F.max("page_id").alias("lead"), F.count("*").alias("copies")).where("copies > 1 and lead is not null")
@@ -203,7 +203,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return manifest.select("uri", "bytes").repartition("uri").mapInPandas(run, schema)
+    archives = max(1, manifest.count())  # a number given here is kept; small partitions would be put together
+    return manifest.select("uri", "bytes").repartition(archives).mapInPandas(run, schema)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
