@@ -169,12 +169,18 @@ def held_out() -> F.Column:
 def training_windows(docs: DataFrame) -> tuple[list[bytes], list[str]]:
     """Windows spread over the whole texts of at most SAMPLE labelled documents of each language.
 
-    The documents are those of smallest hash; held-out ones and those without id, text or language are
+    The documents are chosen by a hash of their ids; held-out ones and those without id, text or language are
     never among them.
     """
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    size = {r["lang"]: r["n"] for r in fit.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as the network's outputs
+    if not size:
+        return [], []
+    # of a language's documents about 2 * SAMPLE have a hash that small, whatever their number, and are ranked
+    part = F.create_map(*(F.lit(x) for lang, n in size.items() for x in (lang, min(1.0, 2 * SAMPLE / n))))
+    small = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) <= part[F.col("lang")]
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = fit.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
+    ids = fit.where(small).select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("doc_id", "lang")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -187,7 +193,7 @@ def training_windows(docs: DataFrame) -> tuple[list[bytes], list[str]]:
             yield pd.DataFrame(out, columns=["lang", "window"])
 
     chosen = fit.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
-    rows = chosen.mapInPandas(run, "lang string, window binary").orderBy("lang", "window").collect()
+    rows = chosen.mapInPandas(run, "lang string, window binary").distinct().orderBy("lang", "window").collect()
     return [bytes(r["window"]) for r in rows], [r["lang"] for r in rows]
 
 
