@@ -263,7 +263,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 out.loc[doc_ids == NO_ID, "doc_id"] = pd.NA
                 yield out
 
-    return manifest.select("uri", "first").repartition("uri").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, manifest.count())  # a number given here is kept; small partitions would be put together
+    return manifest.select("uri", "first").repartition(files).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, kind: Kind | None = None, end_id: int = 2) -> DataFrame:
