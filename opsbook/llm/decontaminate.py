@@ -108,18 +108,24 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
         part = order[at : at + take]
         at += take
         rows = max(len(items[k]) for k in part)
-        x = np.zeros((take, rows), np.int64) - 1
-        y = np.zeros((take, width), np.int64) - 2
+        x, y = np.full((take, rows), -1), np.full((take, width), -2)
         for r, k in enumerate(part):
             x[r, : len(items[k])], y[r, : len(texts[k])] = items[k], texts[k]
-        h, top = np.zeros((take, width + 1), np.int32), np.zeros(take, np.int32)
-        slope = np.arange(width + 1, dtype=np.int32) * -GAP
+        kind = np.int16 if MATCH * rows + width < 30_000 else np.int32
+        h, top = np.zeros((take, width + 1), kind), np.zeros(take, kind)
+        slope = np.arange(width + 1, dtype=kind) * kind(-GAP)
         for c in range(rows):
-            step = np.where(y == x[:, c : c + 1], MATCH, MISMATCH).astype(np.int32)
-            new = np.maximum(h + GAP, 0)
-            new[:, 1:] = np.maximum(new[:, 1:], h[:, :-1] + step)
-            h = np.maximum.accumulate(new + slope, axis=1) - slope  # gaps along the text
-            top = np.maximum(top, h.max(1))
+            step = (y == x[:, c : c + 1]).astype(kind)
+            step *= kind(MATCH - MISMATCH)
+            step += kind(MISMATCH)
+            step += h[:, :-1]
+            h += kind(GAP)
+            np.maximum(h, 0, out=h)
+            np.maximum(h[:, 1:], step, out=h[:, 1:])
+            h += slope
+            np.maximum.accumulate(h, axis=1, out=h)  # gaps along the text
+            h -= slope
+            np.maximum(top, h.max(1), out=top)
         best[part] = top
     return best
 
@@ -144,8 +150,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     """(doc_id, item_id, score, first_word, words): benchmark items found in documents, best window of each.
 
     Every word run of every document is looked up among the items' seeds. How many windows hold a seed
-    is counted over all documents; an item keeps the rarer half of its seeds (8 at least), and a window without
-    one of them is dropped. The others are aligned. Items of fewer than 3 words have no seed
+    is counted over all documents; of its seeds that occur an item keeps the rarer half (8 at least), and a window
+    without one of them is dropped. The others are aligned. Items of fewer than 3 words have no seed
     and match nothing, as do null texts; rows without id are left out.
     """
     spark = docs.sparkSession
@@ -165,15 +171,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
 
 
 def rare_seeds(items: Items, counts: dict[int, int]) -> np.ndarray:
-    """Sorted (item, seed) pairs to use, as one structured key array."""
-    signed = items.key.view(np.int64)
-    n = np.array([counts.get(int(k), 0) for k in signed], np.int64)
+    """Sorted keys of the (item, seed) pairs to use: of each item's seeds that occur at all, the rarer half."""
+    n = np.array([counts.get(int(k), 0) for k in items.key.view(np.int64)], np.int64)
     order = np.lexsort((items.key, n, items.item))
+    order = order[n[order] > 0]
     item = items.item[order]
     first = np.searchsorted(item, item, "left")
     size = np.searchsorted(item, item, "right") - first
-    rank = np.arange(len(item)) - first
-    keep = order[rank < np.maximum((size + 1) // 2, LEAST_SEEDS)]
+    keep = order[np.arange(len(item)) - first < np.maximum((size + 1) // 2, LEAST_SEEDS)]
     return np.unique(pair_key(items.item[keep], items.key[keep]))
 
 
@@ -187,8 +192,12 @@ def score(near: DataFrame, items: Items, use: np.ndarray, least: float, spark) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _, words, keys = shared.value
         for b in batches:
-            rare = [np.isin(pair_key(np.full(len(s), k), np.asarray(s, np.int64).view(np.uint64)), keys).any() for k, s in zip(b["item"], b["seeds"])]
-            b = b[np.array(rare, bool)]
+            if not len(b):
+                continue
+            size = np.array([len(s) for s in b["seeds"]])
+            seeds = np.concatenate([np.asarray(s, np.int64) for s in b["seeds"]]).view(np.uint64)
+            hit = np.isin(pair_key(np.repeat(b["item"].to_numpy(), size), seeds), keys)
+            b = b[np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64) > 0]
             own = [words[k].astype(np.int64) for k in b["item"]]
             texts = [np.asarray(w, np.int64) for w in b["words"]]
             share = align(own, texts) / np.maximum([MATCH * len(w) for w in own], 1) if len(b) else np.empty(0)
