@@ -123,7 +123,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((new, sum(e - s for s, e in spans), len(spans), sorted(set(np.asarray(o)[np.isin(d, used)].tolist()))))
             yield pd.DataFrame(out, columns=["text", "bytes", "spans", "origins"])
 
-    edit = F.pandas_udf(run, "text string, bytes long, spans int, origins array<long>")
+    # marked so that a filter on its result does not make it run twice
+    edit = F.pandas_udf(run, "text string, bytes long, spans int, origins array<long>").asNondeterministic()
     found = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__digests"), F.col("origins").alias("__origins"))
     joined = docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left").withColumn("__removed", edit(docs["text"].cast("string"), "__digests", "__origins"))
     return joined.drop("__id", "__digests", "__origins").withColumn("text", F.col("__removed.text"))
