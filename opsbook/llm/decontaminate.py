@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -10,15 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
-
 SEED = 3  # words in a seed
-LEAST_SEEDS = 8  # an item keeps its rarer half of seeds, and at least these
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4  # of the score that the item has against itself
 BLOCK_ITEMS = 20_000  # benchmark items, of at most BLOCK_WORDS words together, sent to the executors at a time
 BLOCK_WORDS = 2_000_000
 CELLS = 4_000_000  # alignment cells computed at once
+HELD_WORDS = 4_000_000  # words of windows held before they are aligned
 
 
 def words_of(text: str | None) -> np.ndarray:
@@ -69,8 +67,8 @@ def blocks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items(rows)
 
 
-def windows(words: np.ndarray, items: Items) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(item, seeds hit, their positions, window bounds) of each stretch of the document near one diagonal."""
+def windows(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
+    """(item, window bounds) of each stretch of the document with seeds near one diagonal."""
     own = seeds_of(words)
     lo, hi = np.searchsorted(items.key, own, "left"), np.searchsorted(items.key, own, "right")
     many = hi - lo
@@ -80,7 +78,7 @@ def windows(words: np.ndarray, items: Items) -> list[tuple[int, np.ndarray, np.n
     entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
     item, start = items.item[entry], where - items.pos[entry]
     order = np.lexsort((where, start, item))
-    item, start, where, key = item[order], start[order], where[order], own[where[order]]
+    item, start = item[order], start[order]
     size = np.array([len(items.words[i]) for i in item])
     slack = size // 4 + 2
     new = np.ones(len(item), bool)
@@ -91,7 +89,7 @@ def windows(words: np.ndarray, items: Items) -> list[tuple[int, np.ndarray, np.n
         i = item[a]
         s = max(0, int(start[a] - slack[a]))
         e = min(len(words), int(start[b - 1] + size[a] + slack[a]))
-        out.append((int(i), np.unique(key[a:b]), s, e))
+        out.append((int(i), s, e))
     return out
 
 
@@ -130,39 +128,48 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def candidates(docs: DataFrame, items: Items) -> DataFrame:
-    """Windows of documents that share seeds with items of the block."""
+def score(docs: DataFrame, items: Items, least: float) -> DataFrame:
+    """Windows of documents that share a seed with an item of the block and align with it to the least score."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_ITEMS and BLOCK_WORDS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = shared.value
+
+        def aligned(held: list[tuple]) -> pd.DataFrame:
+            own = [block.words[k].astype(np.int64) for _, k, _, _ in held]
+            texts = [w.astype(np.int64) for _, _, _, w in held]
+            share = align(own, texts) / np.maximum([MATCH * len(w) for w in own], 1)
+            rows = [(held[j][0], block.ids[held[j][1]], share[j], held[j][2], len(texts[j])) for j in np.flatnonzero(share >= least)]
+            return pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "words"])
+
         for b in batches:
-            out = []
+            held, n = [], 0
             for i, t in zip(b["doc_id"], b["text"]):
                 words = words_of(t)
-                out += [(i, block.ids[k], k, s, e, seeds.view(np.int64), words[s:e].astype(np.int64)) for k, seeds, s, e in windows(words, block)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "item", "from", "to", "seeds", "words"])
+                for k, s, e in windows(words, block):
+                    held.append((i, k, s, words[s:e]))
+                    n += e - s + len(block.words[k])
+                    if n >= HELD_WORDS:
+                        yield aligned(held)
+                        held, n = [], 0
+            if held:
+                yield aligned(held)
 
-    return docs.mapInPandas(run, "doc_id long, item_id long, item int, from int, to int, seeds array<long>, words array<long>")
+    return docs.mapInPandas(run, "doc_id long, item_id long, score double, first_word int, words int")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score, first_word, words): benchmark items found in documents, best window of each.
 
-    Every word run of every document is looked up among the items' seeds. How many windows hold a seed
-    is counted over all documents; of its seeds that occur an item keeps the rarer half (8 at least), and a window
-    without one of them is dropped. The others are aligned. Items of fewer than 3 words have no seed
-    and match nothing, as do null texts; rows without id are left out.
+    Every word run of every document is looked up among the items' seeds, and every window that holds one,
+    rare or common, is aligned. Items of fewer than 3 words have no seed and match nothing, as do null texts;
+    rows without id are left out.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for items in blocks(benchmark):
-        near = cut(candidates(docs, items), "seed-hits")
-        near_seeds = near.select(F.explode("seeds").alias("seed")).groupBy("seed").count()
-        counts = {int(s): int(n) for s, n in near_seeds.toLocalIterator()}  # at most the block's seeds
-        use = rare_seeds(items, counts)
-        scored = score(near, items, use, least, spark)
+        scored = score(docs, items, least)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word int, words int")
@@ -170,43 +177,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
-def rare_seeds(items: Items, counts: dict[int, int]) -> np.ndarray:
-    """Sorted keys of the (item, seed) pairs to use: of each item's seeds that occur at all, the rarer half."""
-    n = np.array([counts.get(int(k), 0) for k in items.key.view(np.int64)], np.int64)
-    order = np.lexsort((items.key, n, items.item))
-    order = order[n[order] > 0]
-    item = items.item[order]
-    first = np.searchsorted(item, item, "left")
-    size = np.searchsorted(item, item, "right") - first
-    keep = order[np.arange(len(item)) - first < np.maximum((size + 1) // 2, LEAST_SEEDS)]
-    return np.unique(pair_key(items.item[keep], items.key[keep]))
-
-
-def pair_key(item: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    return seed ^ (np.asarray(item).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def score(near: DataFrame, items: Items, use: np.ndarray, least: float, spark) -> DataFrame:
-    shared = spark.sparkContext.broadcast((items.ids, items.words, use))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        _, words, keys = shared.value
-        for b in batches:
-            if not len(b):
-                continue
-            size = np.array([len(s) for s in b["seeds"]])
-            seeds = np.concatenate([np.asarray(s, np.int64) for s in b["seeds"]]).view(np.uint64)
-            hit = np.isin(pair_key(np.repeat(b["item"].to_numpy(), size), seeds), keys)
-            b = b[np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64) > 0]
-            own = [words[k].astype(np.int64) for k in b["item"]]
-            texts = [np.asarray(w, np.int64) for w in b["words"]]
-            share = align(own, texts) / np.maximum([MATCH * len(w) for w in own], 1) if len(b) else np.empty(0)
-            hit = share >= least
-            yield pd.DataFrame({"doc_id": b["doc_id"][hit], "item_id": b["item_id"][hit], "score": share[hit], "first_word": b["from"][hit], "words": (b["to"] - b["from"])[hit]})
-
-    return near.mapInPandas(run, "doc_id long, item_id long, score double, first_word int, words int")
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which an item was found; rows without doc_id stay."""
     return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)

@@ -274,6 +274,17 @@ def test_edited_leaks_are_found(spark):
     assert {(x["doc_id"], x["item_id"]) for x in rows} == {(k, k) for k in range(40)}
 
 
+def test_partial_copies_beside_a_whole_one_are_found(spark):
+    """Many documents hold the item's first 20 words, one holds all 38: its common seeds count as well as its rare ones."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    item = [word() for _ in range(38)]
+    docs = {k: [word() for _ in range(30)] + item[:20] + [word() for _ in range(30)] for k in range(1, 201)}
+    docs |= {0: item, 201: [word() for _ in range(90)]}
+    rows = decontaminate.leaks(spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id long, text string"))
+    assert {x["doc_id"]: round(x["score"], 3) for x in rows.collect()} == {0: 1.0} | {k: round(40 / 76, 3) for k in range(1, 201)}
+
+
 def test_benchmark_blocks_agree(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
