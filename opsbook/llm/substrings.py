@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks, compared by digest over the whole corpus."""
+"""Substring dedup: sequences of content-defined chunks, compared by digest over the whole corpus."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEAN_WORDS = 4  # a word ends a chunk with probability 1 / MEAN_WORDS
-LEAST_WORDS = 20  # shorter runs of repeated chunks stay
+LEAST_WORDS = 20  # words of a sequence of chunks; shorter passages stay
 
 
 def gear_table() -> np.ndarray:
@@ -62,47 +62,70 @@ def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ends, np.array([digest(data[s:e].strip()) for s, e in zip(starts, ends)], np.uint64).view(np.int64)
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
+def sequences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last chunk and digest of each sequence of chunks, and the ends of the chunks.
+
+    From each chunk the shortest sequence with LEAST_WORDS words, and the shortest that ends with it. Any run of
+    chunks that long is the union of sequences within it, so documents that share the run share those.
+    """
+    ends, own = chunks(data)
+    b = np.frombuffer(data, np.uint8)
+    space = (b == 32) | ((b >= 9) & (b <= 13))
+    begins = ~space
+    begins[1:] &= space[:-1]
+    before = np.concatenate([[0], np.cumsum(begins)])[np.concatenate([[0], ends])]  # words before each chunk, and all
+    n = len(ends)
+    first = np.arange(n)
+    last = np.searchsorted(before, before[:-1] + LEAST_WORDS, "left") - 1  # of the sequence from each chunk
+    lead = np.searchsorted(before, before[1:] - LEAST_WORDS, "right") - 1  # of the sequence to each chunk
+    forth, back = last < n, lead >= 0
+    key = np.unique(np.concatenate([first[forth] * (n + 1) + last[forth], lead[back] * (n + 1) + first[back]]))
+    first, last = key // (n + 1), key % (n + 1)
+    digest, raw = xxhash.xxh3_64_intdigest, own.tobytes()
+    found = [digest(raw[8 * x : 8 * y + 8]) for x, y in zip(first.tolist(), last.tolist())]
+    return first, last, np.array(found, np.uint64).view(np.int64), ends
+
+
+def sequence_rows(docs: DataFrame) -> DataFrame:
     """(digest, doc_id), once for each document and digest."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [np.unique(chunks(t.encode())[1]) if t else np.empty(0, np.int64) for t in b["text"]]
-            yield pd.DataFrame({"digest": np.concatenate(found), "doc_id": np.repeat(b["doc_id"].to_numpy(), [len(x) for x in found])})
+            found = [np.unique(sequences(t.encode())[2]) if t else np.empty(0, np.int64) for t in b["text"]]
+            yield pd.DataFrame({"digest": np.concatenate([*found, np.empty(0, np.int64)]), "doc_id": np.repeat(b["doc_id"].to_numpy(), [len(x) for x in found])})
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(run, "digest long, doc_id long")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests, origins): chunks of a document that a smaller doc_id has as well.
+def repeated_sequences(docs: DataFrame) -> DataFrame:
+    """(doc_id, digests, origins): sequences of a document that a smaller doc_id has as well.
 
     Counts are combined before the shuffle, and the join back is an equi-join that adaptive execution
     splits where one digest holds many rows.
     """
-    rows = chunk_rows(docs)
+    rows = sequence_rows(docs)
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
     hits = rows.join(first.select("digest", "origin"), "digest").where("doc_id > origin")
     return hits.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"), F.collect_list("origin").alias("origins"))
 
 
 def repeated_spans(data: bytes, digests: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Byte spans of the runs of at least LEAST_WORDS words made of these chunks, and their digests."""
-    ends, own = chunks(data)
-    flagged = np.isin(own, digests)
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], flagged, [False]]).astype(np.int8)))
+    """Byte spans of the chunks that lie in these sequences, and the sequences' digests."""
+    first, last, own, ends = sequences(data)
+    hit = np.isin(own, digests)
+    edge = np.zeros(len(ends) + 1, np.int64)
+    np.add.at(edge, first[hit], 1)
+    np.add.at(edge, last[hit] + 1, -1)
+    flagged = np.cumsum(edge)[:-1] > 0
+    turn = np.flatnonzero(np.diff(np.concatenate([[False], flagged, [False]]).astype(np.int8)))
     starts = np.concatenate([[0], ends])
-    spans, used = [], []
-    for a, b in zip(edge[::2], edge[1::2]):
-        s, e = int(starts[a]), int(ends[b - 1])
-        if len(data[s:e].split()) >= LEAST_WORDS:
-            spans.append((s, e))
-            used.append(own[a:b])
-    return spans, np.concatenate(used) if used else np.empty(0, np.int64)
+    return [(int(starts[a]), int(starts[b])) for a, b in zip(turn[::2], turn[1::2])], own[hit]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with a new text, and __removed (bytes, spans, origins): each passage stays where its doc_id is smallest.
 
+    What goes are sequences of whole chunks, of LEAST_WORDS words or more, each of which one smaller doc_id has.
     A null or empty text stays as it is. Passages that recur only within one document stay. Rows without
     doc_id are neither changed nor compared. Rows that repeat a doc_id count as one document.
     """
@@ -125,6 +148,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     # marked so that a filter on its result does not make it run twice
     edit = F.pandas_udf(run, "text string, bytes long, spans int, origins array<long>").asNondeterministic()
-    found = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__digests"), F.col("origins").alias("__origins"))
+    found = repeated_sequences(docs).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__digests"), F.col("origins").alias("__origins"))
     joined = docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left").withColumn("__removed", edit(docs["text"].cast("string"), "__digests", "__origins"))
     return joined.drop("__id", "__digests", "__origins").withColumn("text", F.col("__removed.text"))

@@ -207,6 +207,36 @@ def test_repeats_across_documents(spark):
     assert min(lost) >= 20 and sum(lost) / len(lost) > 40
 
 
+def test_common_chunks_of_different_documents_are_no_passage(spark):
+    """Few and frequent words: nearly every chunk recurs, but only one passage of 20 words does."""
+    r = random.Random(10)
+    vocab = "the of and to in is that for it as was with be by on not he his but at are this".split()
+    texts = {k: [r.choice(vocab) for _ in range(200)] for k in range(150)}
+    passage = [r.choice(vocab) for _ in range(60)]
+    for k in (7, 90):
+        texts[k][70:130] = passage
+    out = {x["doc_id"]: x for x in substrings.remove_repeats(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")).collect()}
+    assert [k for k, w in texts.items() if out[k]["text"] != " ".join(w)] == [90]
+    left = out[90]["text"].split()
+    assert out[90]["__removed"]["origins"] == [7] and len(left) < 165
+    assert left[:70] == texts[90][:70] and left[-70:] == texts[90][-70:]
+
+
+def test_sequences_cover_every_run_of_chunks():
+    """All chunks of a shared run of LEAST_WORDS words lie in shared sequences, and no shorter run gives one."""
+    r = random.Random(11)
+    for _ in range(200):
+        data = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 6))) for _ in range(120)).encode()
+        first, last, _, ends = substrings.sequences(data)
+        starts = np.concatenate([[0], ends])
+        words = lambda a, b: len(data[starts[a] : starts[b + 1]].split())
+        assert all(words(a, b) >= substrings.LEAST_WORDS for a, b in zip(first, last))
+        for a in range(0, len(ends), 3):
+            for b in range(a, len(ends), 2):
+                inside = [set(range(x, y + 1)) for x, y in zip(first, last) if a <= x and y <= b]
+                assert set().union(*inside) == (set(range(a, b + 1)) if words(a, b) >= substrings.LEAST_WORDS else set())
+
+
 # --- quality ------------------------------------------------------------------------------------------------
 
 
