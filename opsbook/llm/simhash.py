@@ -20,8 +20,8 @@ from .shared import cut, whole_groups
 
 SHARD_ROWS = 16_384  # a larger shard is split into several trees, and its queries go to each
 BLOCK = 1 << 16  # shingles counted at once in a long text
-BANDS, BAND_ROWS, SIGNATURE = 10, 3, 128
-ESTIMATE_MARGIN = 0.06  # a signature's standard error is 0.037 at similarity 0.8
+BANDS, BAND_ROWS, SIGNATURE = 16, 3, 128
+ESTIMATE_MARGIN = 0.15  # four times a signature's standard error at similarity 0.8: the exact check follows
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -136,7 +136,10 @@ def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ali
 
 
 def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(key, id, fp[, sig]) -> (src, dst): links that join each shard's rows into its components.
+    """(key, id, fp[, sig[, grams]]) -> (src, dst): links that join each shard's rows into its components.
+
+    With similarity, linked rows have an estimate no more than ESTIMATE_MARGIN below it; with grams also, their
+    Jaccard similarity itself is that high.
 
     A key with more than SHARD_ROWS rows is split: its rows form several trees, and each row also visits
     the others as a query, so no link is lost and no task gets the whole key.
@@ -154,10 +157,10 @@ def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -
             .drop("trees")
         )
     dealt = dealt.withColumn("shard", F.xxhash64("key", "tree"))
-    size = SIGNATURE // 2
+    size, exact = SIGNATURE // 2, "grams" in rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in whole_groups(batches, "shard"):
+        for b in whole_groups(batches, "shard", 5_000 if exact else 50_000):
             group = b["shard"].to_numpy()
             alone = np.ones(len(group), bool)
             alone[1:] &= group[1:] != group[:-1]
@@ -168,7 +171,15 @@ def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -
             alike = None
             if similarity is not None:
                 sig = np.frombuffer(b"".join(b["sig"]), np.uint8).reshape(-1, size)
-                alike = lambda x, y, s=sig: same_share(s[x], s[y]) >= similarity - ESTIMATE_MARGIN
+                sets = [np.frombuffer(g, np.uint64) for g in b["grams"]] if exact else None
+
+                def alike(x: np.ndarray, y: np.ndarray, sig: np.ndarray = sig, sets: list[np.ndarray] | None = sets) -> np.ndarray:
+                    ok = same_share(sig[x], sig[y]) >= similarity - ESTIMATE_MARGIN
+                    if sets is not None:
+                        for k in np.flatnonzero(ok):
+                            ok[k] = jaccard_reaches(sets[x[k]], sets[y[k]], similarity)
+                    return ok
+
             ids = b["id"].to_numpy()
             comp = linked(group, b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy(), radius, alike)
             own = comp != np.arange(len(comp))
@@ -243,35 +254,56 @@ def same_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (eq / (2 * x.shape[1]) - 1 / 16) * 16 / 15
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def jaccard_reaches(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, as sorted unique arrays, have that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 24) -> DataFrame:
     """(doc_id, component_id) of the documents that have an exact or near copy.
 
-    At a similarity of 0.8 fingerprints differ in 3 to 14 of 64 bits, more than equal bit blocks can find.
-    So shards are MinHash bands (a pair at 0.8 shares one with probability 0.9992); a shard's BK-tree of
-    SimHash fingerprints is searched to `radius`, and hits need an estimated similarity that high.
+    At a similarity of 0.8 fingerprints differ in more bits than equal bit blocks can find. So a first pass takes
+    MinHash bands as shards (a pair at 0.8 shares one with probability 0.99999), searches a shard's BK-tree of SimHash
+    fingerprints, of each shingle once, to `radius`, and keeps hits by a generous estimate. A second pass searches
+    the components of the first and links only pairs whose shingle sets have the similarity itself.
     Texts equal but for case and spacing are one vertex. Wordless and null texts are copies of each other.
     Rows without doc_id take no part.
     """
     mixers = _mixers(SIGNATURE)
 
+    def packed(sig: np.ndarray) -> bytes:
+        low = (sig & np.uint32(15)).astype(np.uint8)
+        return (low[::2] | low[1::2] << 4).tobytes()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, t in zip(b["doc_id"], b["text"]):
-                h = shingle_hashes(t, width)
+                h = np.unique(shingle_hashes(t, width))
                 sig = signature(h, mixers)
                 words = (t or "").encode().lower().split()
-                low = (sig & np.uint32(15)).astype(np.uint8)
                 bands = sig[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
                 keys = [xxhash.xxh64_intdigest(bytes([k]) + x.tobytes()) - (1 << 63) for k, x in enumerate(bands)] if len(h) else []
-                out.append((i, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63), fingerprint(h), (low[::2] | low[1::2] << 4).tobytes(), keys))
+                out.append((i, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63), fingerprint(h), packed(sig), keys))
             yield pd.DataFrame(out, columns=["doc_id", "same", "fp", "sig", "keys"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = cut(rows.mapInPandas(run, "doc_id long, same long, fp long, sig binary, keys array<long>"), "sketches")
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            grams = [np.unique(shingle_hashes(t, width)) for t in b["text"]]
+            fps = [fingerprint(h) for h in grams]
+            yield pd.DataFrame({"key": b["key"], "id": b["id"], "fp": fps, "sig": [packed(signature(h, mixers)) for h in grams], "grams": [h.tobytes() for h in grams]})
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = cut(texts.mapInPandas(run, "doc_id long, same long, fp long, sig binary, keys array<long>"), "sketches")
     vertices = cut(rows.groupBy("same", "fp").agg(F.min_by(F.struct("doc_id", "sig", "keys"), "doc_id").alias("r")).select("same", "fp", "r.*"), "vertices")
     keyed = vertices.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "fp", "sig")
-    comps = components(shard_links(keyed, radius, similarity))
+    near = components(shard_links(keyed, radius, similarity))
+    found = texts.join(near, texts["doc_id"] == near["id"]).select(F.col("component").alias("key"), "id", "text")
+    found = cut(found.mapInPandas(sets, "key long, id long, fp long, sig binary, grams binary"), "near-sets")
+    comps = components(shard_links(found, radius, similarity))
     copies = rows.select("doc_id", "same", "fp").join(vertices.select("same", "fp", F.col("doc_id").alias("id")), ["same", "fp"])
     return (
         copies.join(comps, "id", "left")

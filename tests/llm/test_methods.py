@@ -147,6 +147,29 @@ def test_simhash_components_of_a_split_shard(spark, monkeypatch):
     assert len(set(mine)) == len(set(want)) and all((mine[i] == mine[j]) == (want[i] == want[j]) for i, j in zip(a, b))
 
 
+def test_near_copies_have_the_similarity_itself(spark):
+    """Pairs at many edit counts: exactly those with a Jaccard similarity of 0.8 or more are linked."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, want = [], set()
+
+    def shingles(w: list[str]) -> set:
+        return set(zip(*(w[k:] for k in range(5))))
+
+    for k in range(200):
+        a = [word() for _ in range(120)]
+        a += a[:30] * (k % 3)  # some repeat a passage
+        b = a[: 120 if k % 2 else None]
+        cut = 10 + k % 24
+        b = [word() for _ in range(cut)] + b[cut:]
+        texts += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = shingles(a), shingles(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            want.add((2 * k + 1, 2 * k))
+    got = simhash.near_copies(spark.createDataFrame(texts, "doc_id long, text string")).where("doc_id <> component_id").collect()
+    assert set(map(tuple, got)) == want and 50 < len(want) < 150
+
+
 def test_block_keys_cover_the_radius(spark):
     r = random.Random(6)
     pairs = []
