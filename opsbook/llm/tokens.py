@@ -11,6 +11,8 @@ import numpy as np
 LETTER, DIGIT, SPACE, OTHER, UNSURE = 1, 2, 3, 4, 9
 LIMIT = 0x2100  # texts with characters from here on go to the library whole
 MEMO = 1_000_000  # distinct words kept by a Python worker
+BASE = 0x9E3779B97F4A7C15  # of the hash under which a word is looked up
+LONGEST = 256  # characters of a word that is kept; a longer one goes to the library each time
 
 
 def _classes() -> np.ndarray:
@@ -83,8 +85,9 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.flat = np.empty(0, np.uint32)
+        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.word_at, self.word_size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.chars = np.empty(0, np.uint32), np.empty(0, np.uint16)
 
     def _plain(self, text: str) -> str | None:
         """The text as words are divided in it; None if only the library may divide it."""
@@ -98,16 +101,25 @@ class Encoder:
             text = text.lower()
         return text
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, size = [], np.zeros(len(words), np.int64)
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of these words in one array, and how many each has."""
+        ids, size = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
         for k in range(0, len(words), 4096):
             e = self.library.encode(words[k : k + 4096], is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(e.ids, np.uint32))
             size[k : k + 4096] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words[k : k + 4096]))
-        at = np.cumsum(size) - size + len(self.flat)
-        self.flat = np.concatenate([self.flat, *ids])
+        return np.concatenate(ids), size
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids, size = self._ids(words)
+        long = np.array([len(w) for w in words], np.int64)
+        new = keys, np.cumsum(size) - size + len(self.flat), size, np.cumsum(long) - long + len(self.chars), long
+        self.flat = np.concatenate([self.flat, ids])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), np.uint16)])
         place = np.searchsorted(self.key, keys)
-        self.key, self.at, self.size = (np.insert(old, place, new) for old, new in ((self.key, keys), (self.at, at), (self.size, size)))
+        names = ("key", "at", "size", "word_at", "word_size")
+        for name, values in zip(names, new):
+            setattr(self, name, np.insert(getattr(self, name), place, values))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [self._plain(t) for t in texts]
@@ -147,11 +159,13 @@ class Encoder:
         size = last - first
         edges = np.concatenate([[0], np.cumsum(size)])
         offset = np.arange(edges[-1]) - np.repeat(edges[:-1], size)
-        power = np.multiply.accumulate(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        power = np.multiply.accumulate(np.full(int(size.max()), BASE, np.uint64))
         kept = chars if edges[-1] == len(chars) else chars[np.repeat(first, size) + offset]
         with np.errstate(over="ignore"):
             key = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * power[offset], edges[:-1])
-        distinct, lead, inverse = np.unique(key, return_index=True, return_inverse=True)
+        plain = size <= LONGEST
+        distinct, lead, inverse = np.unique(key[plain], return_index=True, return_inverse=True)
+        lead = np.flatnonzero(plain)[lead]
         if len(self.key) + len(distinct) > MEMO:
             self.clear()
         at = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
@@ -159,8 +173,28 @@ class Encoder:
         if new.any():
             self._learn(distinct[new], [big[s:e] for s, e in zip(first[lead[new]].tolist(), last[lead[new]].tolist())])
             at = np.searchsorted(self.key, distinct)
-        n = self.size[at][inverse].astype(np.int64)
-        ids = self.flat[np.repeat(self.at[at][inverse] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        # a key is not proof: every word is compared with the word that the memo has under its key
+        entry = np.zeros(len(first), np.int64)
+        entry[plain] = at[inverse]
+        same = plain.copy()
+        same[plain] = self.word_size[entry[plain]] == size[plain]
+        if same.all():
+            each, alike = size, kept == self.chars[np.repeat(self.word_at[entry], size) + offset]
+        else:
+            each = np.where(same, size, 0)
+            inner = np.repeat(same, size)
+            alike = kept[inner] == self.chars[np.repeat(self.word_at[entry], each) + offset[inner]]
+        if not alike.all():
+            owner = np.repeat(np.arange(len(first)), each)
+            same[owner[~alike]] = False
+        place, n, flat = self.at[entry] if len(self.at) else entry, self.size[entry] if len(self.at) else entry, self.flat
+        if not same.all():  # long words, and words whose key another word has
+            odd = np.flatnonzero(~same)
+            ids, many = self._ids([big[s:e] for s, e in zip(first[odd].tolist(), last[odd].tolist())])
+            place, n = place.copy(), n.copy()
+            place[odd], n[odd] = np.cumsum(many) - many + len(flat), many
+            flat = np.concatenate([flat, ids])
+        ids = flat[np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())]
         return ids, (first, n)
 
 
