@@ -5,9 +5,12 @@ text. So a prefix of a text has one last token, and the set of open tokens (a tr
 it, the count there) decides all that follows. These sets are the states; a transition on a character
 emits the change in the number of tokens. States are made when first reached, as in a lazy automaton.
 
-No token crosses from another character to a space mark, and an unknown character stands alone. After such
-a character the state does not depend on what came before: a chunk's map from entry to exit state is
-constant there, and composing chunk maps is a scan for the last chunk that has one.
+Texts are cut into chunks that run side by side. A chunk's map from entry to exit state is known only for the
+entry states tried. After a space mark that follows another character, or after an unknown character, the state
+does not depend on what came before; a chunk without either is first tried from the start state. A scan over the
+chunks composes the maps: an entry whose exit is known is followed, and all chunks whose entry is new run again
+side by side, each until it falls in with the run before it, mostly after a few characters. Rounds end when
+every chunk's entry is the exit of the chunk before it; there are as many as entry states occur, not as chunks.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # what a space becomes
 LANE = 128  # characters in a chunk
-SLOTS = 1 << 21  # room for transitions in a worker; when two thirds are used, the automaton starts anew
+SLOTS = 1 << 21  # room for transitions in a worker
+FULL = SLOTS // 2  # when so many are used, the automaton starts anew from the state it is in
+SECTION = 4096  # chunks that run side by side
 BATCH_CHARS = 500_000
 PAD, NEW = 0, 6  # classes: text boundary; 1-4 unknown characters by UTF-8 length; 5 the space mark; single characters
 
@@ -91,6 +96,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary({sp.id_to_piece(k): sp.get_score(k) for k in ids})
 
 
+class TableFull(Exception):
+    """The transitions reached no longer fit."""
+
+
 class Transducer:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
@@ -126,11 +135,13 @@ class Transducer:
             if v.token_at[to] >= 0 and v.follows(before, v.token_at[to]):
                 taken = (v.token_at[to], count + 1)
         token, count = taken
-        new = b"".join(struct.pack("3i", n, b, k - count) for n, b, k in sorted(opened)) + struct.pack("3i", 0, token, 0)
-        if new not in self.number:
-            self.number[new] = len(self.states)
-            self.states.append(new)
-        return self.number[new], count
+        return self.state(b"".join(struct.pack("3i", n, b, k - count) for n, b, k in sorted(opened)) + struct.pack("3i", 0, token, 0)), count
+
+    def state(self, packed: bytes) -> int:
+        if packed not in self.number:
+            self.number[packed] = len(self.states)
+            self.states.append(packed)
+        return self.number[packed]
 
     def step(self, state: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One character for every lane, through the hash table of known transitions."""
@@ -142,6 +153,8 @@ class Transducer:
             free = self.key[slot[todo]] < 0
             if free.any():
                 for k in np.unique(key[todo[free]]).tolist():
+                    if self.used >= FULL:
+                        raise TableFull
                     self._insert(k)
             todo = todo[self.key[slot[todo]] != key[todo]]
             slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
@@ -159,9 +172,7 @@ class Transducer:
         self.used += 1
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text. All texts are one row of characters, divided in chunks that run side by side."""
-        if self.used > SLOTS * 2 // 3:
-            self.clear()
+        """Tokens of each text. All texts are one row of characters, run in sections of chunks."""
         full = [t for t in texts if t]
         out = np.zeros(len(texts), np.int64)
         if not full:
@@ -170,35 +181,77 @@ class Transducer:
         row = "".join("\U0010ffff" + MARK + t for t in full)
         chars = np.frombuffer(row.encode("utf-32-le"), np.uint32)
         heads = np.cumsum([0, *(len(t) + 2 for t in full)])[:-1]
-        cls = np.zeros(-(-len(chars) // LANE) * LANE, np.int64)
-        cls[: len(chars)] = self.cls[chars]
-        cls[heads] = PAD
-        fixed = (cls < 5) | (cls == 5)
+        emit, state = np.zeros(len(chars), np.int8), 0
+        for at in range(0, len(chars), SECTION * LANE):
+            part = chars[at : at + SECTION * LANE]
+            cls = self.cls[part].astype(np.int64)
+            cls[heads[np.searchsorted(heads, at) : np.searchsorted(heads, at + len(part))] - at] = PAD
+            emit[at : at + len(part)], state = self.section(cls, state)
+        out[[k for k, t in enumerate(texts) if t]] = np.add.reduceat(emit, heads, dtype=np.int64)
+        return out
+
+    def section(self, cls: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """(emitted counts, last state) of these characters; halved if even an empty table is too small for all of them."""
+        try:
+            return self.scan(cls, state)
+        except TableFull:
+            open_ = self.states[state]
+            self.clear()
+            state = self.state(open_)
+        try:
+            return self.scan(cls, state)
+        except TableFull:
+            half = len(cls) // 2 // LANE * LANE
+            first, state = self.section(cls[:half], state)
+            second, state = self.section(cls[half:], state)
+            return np.concatenate([first, second]), state
+
+    def scan(self, cls: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        size, n = len(cls), -(-len(cls) // LANE)
+        cls = np.pad(cls, (0, n * LANE - size))
+        fixed = cls <= 5
         fixed[1:] &= (cls[1:] < 5) | (cls[:-1] != 5)
+        fixed[0] = cls[0] < 5
         lanes = np.ascontiguousarray(cls.reshape(-1, LANE).T)
         known = fixed.reshape(-1, LANE)
-        first = np.where(known.any(1), known.argmax(1), LANE)
-        n = len(first)
-        emit, exit_ = np.zeros((LANE, n), np.int8), np.zeros(n, np.int64)
-        for t in range(LANE):  # from each chunk's first fixed character on, whatever came before
+        sure = known.any(1)
+        first = np.where(sure, known.argmax(1), 0)
+        emit, path = np.zeros((LANE, n), np.int8), np.full((LANE, n), -1, np.int32)
+        now = np.zeros(n, np.int64)
+        for t in range(LANE):  # from each chunk's first fixed character, or from its start as if a text began there
             go = first <= t
-            state, emitted = self.step(np.where(go, exit_, 0), np.where(go, lanes[t], PAD))
-            exit_ = state
-            emit[t] = np.where(go, emitted, 0)
-        chunk = np.arange(n)
-        last = np.maximum.accumulate(np.where(first < LANE, chunk, 0))  # scan: the chunk whose exit is fixed
-        behind = chunk - np.concatenate([[0], last[:-1]])
-        for d in range(1, int(behind[first > 0].max(initial=0)) + 1):
-            part = np.flatnonzero((behind == d) & (first > 0))
-            state = exit_[part - 1]
-            for t in range(int(first[part].max(initial=0))):
-                part, state = part[first[part] > t], state[first[part] > t]
-                state, emit[t, part] = self.step(state, lanes[t, part])
-                open_ = first[part] == LANE
-                exit_[part[open_]] = state[open_]
-        total = np.add.reduceat(emit.T.reshape(-1), heads, dtype=np.int64)
-        out[[k for k, t in enumerate(texts) if t]] = total
-        return out
+            now, emitted = self.step(now, np.where(go, lanes[t], PAD))
+            emit[t], path[t] = np.where(go, emitted, 0), np.where(go, now, -1)
+        leave = now  # exit states
+        entry = np.where(sure, -1, 0)  # of the run that emit and path show
+        tried: dict[tuple[bytes, int], int] = {}  # the partial maps of chunks whose exit depends on the entry; equal chunks have one
+        todo = np.flatnonzero(np.concatenate([[state], leave[:-1]]) != entry)
+        while len(todo):
+            before = np.concatenate([[state], leave[:-1]])
+            live, now = todo, before[todo]
+            entry[todo] = now
+            for t in range(LANE):
+                now, emit[t, live] = self.step(now, lanes[t, live])
+                away = path[t, live] != now
+                path[t, live] = now
+                live, now = live[away], now[away]
+                if not len(live):
+                    break
+            for k, s in zip(live.tolist(), now.tolist()):  # these took another path to their end
+                tried[lanes[:, k].tobytes(), int(entry[k])] = s
+                leave[k] = s
+            again: list[int] = []
+            for k in (live + 1).tolist():  # follow the maps as far as they are known
+                while k < n and leave[k - 1] != entry[k]:
+                    s = tried.get((lanes[:, k].tobytes(), int(leave[k - 1])))
+                    again.append(k)
+                    if s is None:
+                        break
+                    entry[k], leave[k] = leave[k - 1], s
+                    path[:, k] = -1  # no run has shown it as yet
+                    k += 1
+            todo = np.unique(np.array(again, np.int64))
+        return emit.T.reshape(-1)[:size], int(leave[(size - 1) // LANE])
 
 
 _transducers: dict[str, Transducer] = {}
@@ -207,6 +260,8 @@ _transducers: dict[str, Transducer] = {}
 def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; a null text counts as empty.
 
+    A null doc_id stays null, repeated rows return as often as they come, and an empty table gives no rows.
+
     The vocabulary is compiled once and sent to the executors (32,000 pieces); a Python worker keeps the
     states it has reached for its later tasks.
     """

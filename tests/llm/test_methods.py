@@ -38,6 +38,33 @@ def test_encoder_is_the_library(name, space, lower):
         assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize(("name", "space", "lower"), [("byte_bpe_50k.json", True, False), ("word_bpe_49k.json", False, True)])
+def test_words_of_one_hash_stay_apart(name, space, lower, monkeypatch):
+    """Words that collide under the hash: a Thue-Morse word and its complement, and anagrams under base 1."""
+    from tokenizers import Tokenizer
+
+    library, kind = Tokenizer.from_file(P.path(name)), tokens.Kind(P.path(name), space, lower)
+
+    def check(enc, texts):
+        ids, counts = enc.encode(texts)
+        at = np.concatenate([[0], np.cumsum(counts)])
+        for k, t in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == library.encode(t, add_special_tokens=False).ids
+
+    r, enc = random.Random(21), tokens.Encoder(kind)
+    for n in (64, 1024, 2048, 4096):
+        word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+        other = word.translate(str.maketrans("ab", "ba"))
+        check(enc, [word, other])
+        check(enc, [f"{other} x", f"y {word}"])
+    check(enc, ["".join(r.choice("ab") for _ in range(r.randrange(1, 3000))) for _ in range(60)])
+    monkeypatch.setattr(tokens, "BASE", 1)
+    words = ["".join(r.sample("abcdefg", 4)) for _ in range(400)]
+    enc = tokens.Encoder(kind)
+    check(enc, [" ".join(words), *words])
+    check(enc, words[::-1])
+
+
 def test_transducer_is_the_library():
     import sentencepiece
 
@@ -49,6 +76,25 @@ def test_transducer_is_the_library():
     assert fst.counts(texts[:50]).tolist() == [len(sp.encode(t)) for t in texts[:50]]
 
 
+def test_transducer_on_long_texts(monkeypatch):
+    """Varied and unspaced texts that fill the table several times, and periodic ones whose chunks never fall in step."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(tokencount, "FULL", 20_000)
+    monkeypatch.setattr(tokencount, "SECTION", 300)
+    fst = tokencount.Transducer(tokencount.vocabulary(path))
+    r = random.Random(22)
+    words = [w for k in range(300, 9000) if (w := sp.id_to_piece(k).strip(tokencount.MARK)).isalpha()]
+    texts = ["".join(r.choice(words) + r.choice(["", "", " "]) for _ in range(20_000)), "".join(r.choice(words[:300]) for _ in range(30_000))]
+    texts += ["a" * 60_001, "abcab" * 9_000, " " * 40_000, "日本語" * 9_000, "".join(r.choice("abcdefghij") for _ in range(30_000))]
+    for t in texts:
+        assert fst.counts([t]).tolist() == [len(sp.encode(t))]
+        assert fst.used <= 20_000
+    assert fst.counts([*texts, ""]).tolist() == [*(len(sp.encode(t)) for t in texts), 0]
+
+
 def test_small_vocabulary_merges():
     v = tokencount.Vocabulary({"a": -9.0, "b": -9.1, "ab": -1.0, "ba": -2.0, "aba": -3.0, tokencount.MARK: -9.2})
     fst = tokencount.Transducer(v)
