@@ -1,4 +1,4 @@
-"""Substring dedup: sequences of content-defined chunks, compared by digest over the whole corpus."""
+"""Substring dedup: overlapping content-defined chunks, compared by digest over the whole corpus."""
 
 from __future__ import annotations
 
@@ -10,8 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEAN_WORDS = 4  # a word ends a chunk with probability 1 / MEAN_WORDS
-LEAST_WORDS = 20  # words of a sequence of chunks; shorter passages stay
+from .shared import cut
+
+MEAN_WORDS = 5  # a boundary follows a word with probability 1 / MEAN_WORDS
+LONG_WORD = 32  # bytes; boundaries fall inside longer words too, as in scripts without spaces
+MEAN_CHARS = 16  # there a boundary follows a character with probability 1 / MEAN_CHARS
+GREATEST = 96  # bytes between two boundaries
+LEAST_BYTES = 128  # of a chunk, about 21 English words; shorter passages stay
 
 
 def gear_table() -> np.ndarray:
@@ -35,119 +40,118 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_ends(data: bytes) -> np.ndarray:
-    """Byte offsets at which chunks of the text end, its length last.
+def boundaries(text: bytes) -> np.ndarray:
+    """0, the byte offsets at which a chunk may begin or end, and the length; words are one space apart.
 
-    A boundary follows a word whose last 8 bytes have a hash below a threshold, and takes the white space
-    with it. It depends on those bytes alone: an insertion moves boundaries but changes none further on.
+    A boundary comes after a word whose last 8 bytes have a hash below a threshold, and in a long word after such
+    a character. It depends on those bytes alone: an insertion moves boundaries but changes none further on.
+    Only where none comes for GREATEST bytes, one is set that far from the last.
     """
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.empty(0, np.int64)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    h = gear_hash(b)
-    last = np.flatnonzero(~space[:-1] & space[1:])  # last bytes of words
-    last = last[h[last] < 256 // MEAN_WORDS]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1  # first bytes of the words after white space
-    at = np.searchsorted(starts, last, "right")
-    ends = starts[at[at < len(starts)]]
-    return np.append(ends, len(b))
-
-
-def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Ends and 64-bit digests; white space at a chunk's ends is not part of its digest."""
-    ends = chunk_ends(data)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    digest = xxhash.xxh3_64_intdigest
-    return ends, np.array([digest(data[s:e].strip()) for s, e in zip(starts, ends)], np.uint64).view(np.int64)
-
-
-def sequences(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last chunk and digest of each sequence of chunks, and the ends of the chunks.
-
-    From each chunk the shortest sequence with LEAST_WORDS words, and the shortest that ends with it. Any run of
-    chunks that long is the union of sequences within it, so documents that share the run share those.
+    b = np.frombuffer(text, np.uint8)
+    n = len(b)
+    if not n:
+        return np.zeros(1, np.int64)
+    h, space = gear_hash(b), np.flatnonzero(b == 32)
+    at = space[h[space - 1] < 256 // MEAN_WORDS] + 1
+    size = np.diff(np.concatenate([[-1], space, [n]])) - 1
+    if size.max() > LONG_WORD:
+        char = np.repeat(size > LONG_WORD, size + 1)[:n] & ((b & 0xC0) != 0x80) & (b != 32)
+        char[0] = False
+        char[1:] &= (b[:-1] != 32) & (h[:-1] < 256 // MEAN_CHARS)
+        at = np.union1d(at, np.flatnonzero(char))
+    at = np.concatenate([[0], at, [n]])
+    more = (np.diff(at) - 1) // GREATEST
+    if more.any():
+        step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        extra = np.repeat(at[:-1], more) + GREATEST * step
+        for _ in range(3):  # never inside a character
+            extra -= (b[extra] & 0xC0) == 0x80
+        at = np.union1d(at, extra)
+    return at
+
+
+def chunks(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and digest of each chunk: from every boundary to the first that is LEAST_BYTES or more away.
+
+    Chunks overlap, so what two texts share from a boundary on is shared in whole chunks, and a digest stands for one
+    unbroken passage. White space counts as one space, and none at a chunk's ends is part of its digest.
     """
-    ends, own = chunks(data)
-    b = np.frombuffer(data, np.uint8)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    before = np.concatenate([[0], np.cumsum(begins)])[np.concatenate([[0], ends])]  # words before each chunk, and all
-    n = len(ends)
-    first = np.arange(n)
-    last = np.searchsorted(before, before[:-1] + LEAST_WORDS, "left") - 1  # of the sequence from each chunk
-    lead = np.searchsorted(before, before[1:] - LEAST_WORDS, "right") - 1  # of the sequence to each chunk
-    forth, back = last < n, lead >= 0
-    key = np.unique(np.concatenate([first[forth] * (n + 1) + last[forth], lead[back] * (n + 1) + first[back]]))
-    first, last = key // (n + 1), key % (n + 1)
-    digest, raw = xxhash.xxh3_64_intdigest, own.tobytes()
-    found = [digest(raw[8 * x : 8 * y + 8]) for x, y in zip(first.tolist(), last.tolist())]
-    return first, last, np.array(found, np.uint64).view(np.int64), ends
-
-
-def sequence_rows(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id), once for each document and digest."""
+    text = b" ".join(data.split())
+    at = boundaries(text)
+    to = np.searchsorted(at, at + LEAST_BYTES, "left")
+    first = np.flatnonzero(to < len(at))
+    start, end = at[first], at[to[first]]
+    digest = xxhash.xxh3_64_digest
+    found = b"".join([digest(text[s:e].strip()) for s, e in zip(start.tolist(), end.tolist())])
+    if len(text) != len(data):  # offsets in the text as it is
+        b = np.frombuffer(data, np.uint8)
+        solid = (b != 32) & ((b < 9) | (b > 13))
+        solid[1:] &= ~solid[:-1]
+        words, own = np.flatnonzero(solid), np.concatenate([[0], np.flatnonzero(np.frombuffer(text, np.uint8) == 32) + 1])
+        start, end = (words[k] + x - own[k] for x, k in ((x, np.searchsorted(own, x, "right") - 1) for x in (start, end)))
+    end = np.where(at[to[first]] == len(text), len(data), end)
+    return start, end, np.frombuffer(found, ">i8").astype(np.int64)
+
+
+def chunk_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, digests): the distinct chunks of every document, written once."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [np.unique(sequences(t.encode())[2]) if t else np.empty(0, np.int64) for t in b["text"]]
-            yield pd.DataFrame({"digest": np.concatenate([*found, np.empty(0, np.int64)]), "doc_id": np.repeat(b["doc_id"].to_numpy(), [len(x) for x in found])})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digests": [np.unique(chunks(t.encode())[2]) if t else [] for t in b["text"]]})
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, "digest long, doc_id long")
+    return cut(rows.mapInPandas(run, "doc_id long, digests array<long>"), "chunks")
 
 
-def repeated_sequences(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests, origins): sequences of a document that a smaller doc_id has as well.
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, found): digests of a document's chunks that a smaller doc_id has as well, with the smallest.
 
     Counts are combined before the shuffle, and the join back is an equi-join that adaptive execution
-    splits where one digest holds many rows.
+    splits where one digest holds many rows. Rows that repeat a doc_id add nothing.
     """
-    rows = sequence_rows(docs)
+    rows = chunk_rows(docs).select("doc_id", F.explode("digests").alias("digest"))
     first = rows.groupBy("digest").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
     hits = rows.join(first.select("digest", "origin"), "digest").where("doc_id > origin")
-    return hits.groupBy("doc_id").agg(F.collect_list("digest").alias("digests"), F.collect_list("origin").alias("origins"))
+    return hits.groupBy("doc_id").agg(F.collect_set(F.struct("digest", "origin")).alias("found"))
 
 
 def repeated_spans(data: bytes, digests: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Byte spans of the chunks that lie in these sequences, and the sequences' digests."""
-    first, last, own, ends = sequences(data)
+    """Byte spans that these chunks cover, and the digests among them that the text has."""
+    start, end, own = chunks(data)
     hit = np.isin(own, digests)
-    edge = np.zeros(len(ends) + 1, np.int64)
-    np.add.at(edge, first[hit], 1)
-    np.add.at(edge, last[hit] + 1, -1)
-    flagged = np.cumsum(edge)[:-1] > 0
-    turn = np.flatnonzero(np.diff(np.concatenate([[False], flagged, [False]]).astype(np.int8)))
-    starts = np.concatenate([[0], ends])
-    return [(int(starts[a]), int(starts[b])) for a, b in zip(turn[::2], turn[1::2])], own[hit]
+    start, end = start[hit], end[hit]
+    if not len(start):
+        return [], own[hit]
+    new = np.flatnonzero(np.concatenate([[True], start[1:] > np.maximum.accumulate(end)[:-1]]))
+    return list(zip(start[new].tolist(), np.maximum.reduceat(end, new).tolist())), own[hit]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with a new text, and __removed (bytes, spans, origins): each passage stays where its doc_id is smallest.
 
-    What goes are sequences of whole chunks, of LEAST_WORDS words or more, each of which one smaller doc_id has.
+    What goes are chunks, each of which one smaller doc_id has in one piece but for its white space.
     A null or empty text stays as it is. Passages that recur only within one document stay. Rows without
     doc_id are neither changed nor compared. Rows that repeat a doc_id count as one document.
     """
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for text, digests, origins in batches:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text, found in batches:
             out = []
-            for t, d, o in zip(text, digests, origins):
-                if t is None or d is None:
+            for t, known in zip(text, found):
+                if t is None or known is None:
                     out.append((t, 0, 0, []))
                     continue
-                data = t.encode()
-                spans, used = repeated_spans(data, d)
+                data, origin = t.encode(), {r["digest"]: r["origin"] for r in known}
+                spans, used = repeated_spans(data, np.array(list(origin), np.int64))
                 keep, at = [], 0
                 for s, e in spans:
                     keep.append(data[at:s])
                     at = e
                 new = b"".join([*keep, data[at:]]).decode() if spans else t
-                out.append((new, sum(e - s for s, e in spans), len(spans), sorted(set(np.asarray(o)[np.isin(d, used)].tolist()))))
+                out.append((new, sum(e - s for s, e in spans), len(spans), sorted({origin[x] for x in used.tolist()})))
             yield pd.DataFrame(out, columns=["text", "bytes", "spans", "origins"])
 
     # marked so that a filter on its result does not make it run twice
     edit = F.pandas_udf(run, "text string, bytes long, spans int, origins array<long>").asNondeterministic()
-    found = repeated_sequences(docs).select(F.col("doc_id").alias("__id"), F.col("digests").alias("__digests"), F.col("origins").alias("__origins"))
-    joined = docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left").withColumn("__removed", edit(docs["text"].cast("string"), "__digests", "__origins"))
-    return joined.drop("__id", "__digests", "__origins").withColumn("text", F.col("__removed.text"))
+    found = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("found").alias("__found"))
+    joined = docs.join(found, docs["doc_id"].cast("long") == found["__id"], "left").withColumn("__removed", edit(docs["text"].cast("string"), "__found"))
+    return joined.drop("__id", "__found").withColumn("text", F.col("__removed.text"))

@@ -250,8 +250,8 @@ def test_gear_hash_and_shift_resistance():
     for b, got in zip(data, substrings.gear_hash(np.frombuffer(data, np.uint8))):
         h = (h * 2 + int(substrings.GEAR[b])) & 0xFF
         assert h == got
-    cuts = set(substrings.chunk_ends(data).tolist())
-    moved = {c - 9 for c in substrings.chunk_ends(b"inserted " + data).tolist()}
+    cuts = set(substrings.boundaries(data).tolist())
+    moved = {c - 9 for c in substrings.boundaries(b"inserted " + data).tolist()}
     assert {c for c in cuts if c > 40} == {c for c in moved if c > 40}
     assert len(cuts) > 20
 
@@ -291,19 +291,72 @@ def test_common_chunks_of_different_documents_are_no_passage(spark):
     assert left[:70] == texts[90][:70] and left[-70:] == texts[90][-70:]
 
 
-def test_sequences_cover_every_run_of_chunks():
-    """All chunks of a shared run of LEAST_WORDS words lie in shared sequences, and no shorter run gives one."""
+def test_chunks_are_passages():
+    """Offsets, digests and gaps of chunks on words, white space, long words and scripts without spaces."""
+    import xxhash
+
     r = random.Random(11)
-    for _ in range(200):
-        data = " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 6))) for _ in range(120)).encode()
-        first, last, _, ends = substrings.sequences(data)
-        starts = np.concatenate([[0], ends])
-        words = lambda a, b: len(data[starts[a] : starts[b + 1]].split())
-        assert all(words(a, b) >= substrings.LEAST_WORDS for a, b in zip(first, last))
-        for a in range(0, len(ends), 3):
-            for b in range(a, len(ends), 2):
-                inside = [set(range(x, y + 1)) for x, y in zip(first, last) if a <= x and y <= b]
-                assert set().union(*inside) == (set(range(a, b + 1)) if words(a, b) >= substrings.LEAST_WORDS else set())
+    alphabets = ["abcdefgh", "日本語文章東京", "éßa", "ab"]
+    for k in range(200):
+        letters = alphabets[k % 4]
+        longest = [6, 400, 60][k % 3]
+        text = "".join("".join(r.choice(letters) for _ in range(r.randrange(1, longest))) + r.choice([" ", " ", "\n", "  \t"]) for _ in range(120 if longest < 100 else 6))
+        text = "same " * 300 if k % 50 == 7 else text
+        data = text.encode()
+        start, end, digest = substrings.chunks(data)
+        assert (end - start >= substrings.LEAST_BYTES).all()
+        cuts = substrings.boundaries(b" ".join(data.split()))
+        assert (np.diff(cuts) <= substrings.GREATEST + 3).all() and (np.diff(cuts) > 0).all()
+        for s, e, d in zip(start.tolist(), end.tolist(), digest.tolist()):
+            piece = data[s:e].decode()  # no character is divided
+            assert xxhash.xxh3_64_intdigest(" ".join(piece.split(None)).encode() if piece.isascii() else b" ".join(data[s:e].split())) == d % 2**64
+
+
+def plain_removed(texts: dict[int, str], out: dict) -> int:
+    """Checks that each removed word is in a run that one smaller document has unbroken; returns the number of spans."""
+    least, spans = 12, 0  # words that stand in for a chunk of LEAST_BYTES
+    seen: dict[tuple, int] = {}
+    origin: dict[int, int] = {}
+    for k in sorted(texts):
+        words = texts[k].split()
+        for d in substrings.chunks(texts[k].encode())[2].tolist():
+            origin.setdefault(d, k)
+        for x in range(len(words) - least + 1):
+            seen.setdefault(tuple(words[x : x + least]), k)
+    for k, t in texts.items():
+        covered = [False] * len(words := t.split())
+        for x in range(len(words) - least + 1):
+            if seen[tuple(words[x : x + least])] < k:
+                covered[x : x + least] = [True] * least
+        data, kept, at = t.encode(), [], 0
+        known = np.array([d for d, j in origin.items() if j < k], np.int64)
+        for s, e in substrings.repeated_spans(data, known)[0]:
+            first, last = len(data[:s].split()), len(data[:e].split())
+            assert all(covered[first:last]), (k, data[s:e])
+            spans += 1
+            kept.append(data[at:s])
+            at = e
+        assert b"".join([*kept, data[at:]]).decode() == out[k]
+    return spans
+
+
+def test_removed_passages_stand_in_a_smaller_document(spark):
+    """Every document of the smallest table: what went is what the plain rule says, and stands elsewhere unbroken."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    out = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs).collect()}
+    assert plain_removed(texts, out) > 10
+
+
+def test_scripts_without_spaces_are_deduplicated(spark):
+    r = random.Random(14)
+    sign = lambda n: "".join(chr(r.randrange(0x3041, 0x30FF)) for _ in range(n))
+    passage = sign(300)
+    texts = {1: sign(200) + passage + sign(200), 2: sign(90) + passage + sign(90), 3: sign(500), 4: "".join(r.choice("abcdef0123") for _ in range(900))}
+    texts[5] = texts[4]
+    out = {x["doc_id"]: x["text"] for x in substrings.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert out[1] == texts[1] and out[3] == texts[3] and out[4] == texts[4] and out[5] == ""
+    assert texts[2].startswith(out[2][:90]) and texts[2].endswith(out[2][-90:]) and len(out[2]) < 300
 
 
 # --- quality ------------------------------------------------------------------------------------------------
