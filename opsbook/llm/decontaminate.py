@@ -1,32 +1,45 @@
-"""Benchmark decontamination: n-gram seeds find candidates, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+Seeds are counted over all documents. Of each item the commonest quarter of its distinct seeds, by that count,
+starts no comparison; every place of a document that has one of the others is aligned. So a copy that keeps more
+than a quarter of an item's seeds, whichever they are, is always aligned, and a stem that many items or documents
+share makes no candidates by itself.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 SEED = 3  # words in a seed
+COMMON = 0.25  # of an item's seeds, the commonest: no candidates by themselves
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4  # of the score that the item has against itself
-BLOCK_ITEMS = 20_000  # benchmark items, of at most BLOCK_WORDS words together, sent to the executors at a time
-BLOCK_WORDS = 2_000_000
+FILTER_LOG = 26  # the filter of seeds that items have is 2**FILTER_LOG bits, whatever the benchmark's size
 CELLS = 4_000_000  # alignment cells computed at once
 HELD_WORDS = 4_000_000  # words of windows held before they are aligned
 
+_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()}
+# scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han; each character counts as a word
+_SOLO = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 
 def words_of(text: str | None) -> np.ndarray:
     """32-bit hashes of the lower-case alphanumeric words."""
-    kept = "".join(c if c.isalnum() else " " for c in (text or "").lower()) if not (text or "").isascii() else (text or "").lower().translate(_ASCII)
-    words = kept.encode().split()
-    return np.array([xxhash.xxh32_intdigest(w) for w in words], np.uint32)
-
-
-_ASCII = {c: " " for c in range(128) if not chr(c).isalnum()}
+    kept = (text or "").lower()
+    if kept.isascii():
+        kept = kept.translate(_ASCII)
+    else:
+        kept = _SOLO.sub(r" \g<0> ", "".join(c if c.isalnum() else " " for c in kept))
+    return np.array([xxhash.xxh32_intdigest(w) for w in kept.encode().split()], np.uint32)
 
 
 def seeds_of(words: np.ndarray) -> np.ndarray:
@@ -40,59 +53,79 @@ def seeds_of(words: np.ndarray) -> np.ndarray:
     return h
 
 
-class Items:
-    """A block of benchmark items: words of each and the seeds in sorted order."""
+def item_rows(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, size, words, seeds, places): each different item with a number of its own, written once."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t in zip(b["item_id"], b["text"]):
+                words = words_of(t)
+                seeds, place = np.unique(seeds_of(words), return_index=True)
+                out.append((i, len(words), words.tobytes(), seeds.view(np.int64), place))
+            yield pd.DataFrame(out, columns=["item_id", "size", "words", "seeds", "places"])
 
-    def __init__(self, rows: list[tuple[int, str | None]]) -> None:
-        self.ids = np.array([i for i, _ in rows], np.int64)
-        self.words = [words_of(t) for _, t in rows]
-        seeds = [seeds_of(w) for w in self.words]
-        key, item = np.concatenate([*seeds, np.empty(0, np.uint64)]), np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
-        pos = np.concatenate([*[np.arange(len(s)) for s in seeds], np.empty(0, np.int64)])
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.pos = key[order], item[order], pos[order]
+    source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
+    made = source.mapInPandas(run, "item_id long, size int, words binary, seeds array<long>, places array<int>")
+    return cut(made.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks of bounded size, in order of item_id; the driver holds one at a time."""
-    rows, n = [], 0
-    source = benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    for i, t in source.orderBy("item_id", "text").toLocalIterator():
-        rows.append((i, t))
-        n += len((t or "").split())
-        if len(rows) >= BLOCK_ITEMS or n >= BLOCK_WORDS:
-            yield Items(rows)
-            rows, n = [], 0
-    if rows:
-        yield Items(rows)
-
-
-def windows(words: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(item, window bounds) of each stretch of the document with seeds near one diagonal."""
-    own = seeds_of(words)
-    lo, hi = np.searchsorted(items.key, own, "left"), np.searchsorted(items.key, own, "right")
-    many = hi - lo
-    if not many.any():
-        return []
-    where = np.repeat(np.arange(len(own)), many)
-    entry = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-    item, start = items.item[entry], where - items.pos[entry]
-    order = np.lexsort((where, start, item))
-    item, start = item[order], start[order]
-    size = np.array([len(items.words[i]) for i in item])
-    slack = size // 4 + 2
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > slack[1:])
-    out = []
-    edges = np.append(np.flatnonzero(new), len(item))
-    for a, b in zip(edges, edges[1:]):
-        i = item[a]
-        s = max(0, int(start[a] - slack[a]))
-        e = min(len(words), int(start[b - 1] + size[a] + slack[a]))
-        out.append((int(i), s, e))
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """Bits of the seeds' upper FILTER_LOG bits as 64-bit words: of fixed size, however many seeds there are."""
+    word = F.shiftrightunsigned("seed", 70 - FILTER_LOG)
+    bit = F.shiftrightunsigned("seed", 64 - FILTER_LOG).bitwiseAND(F.lit(63)).cast("int")
+    rows = seeds.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    out, found = np.zeros(1 << (FILTER_LOG - 6), np.uint64), rows.toPandas()
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
+def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, seed, place, first): places of documents whose seed passes the filter, written once; first in its document."""
+    shared = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for b in batches:
+            ids, found = [], []
+            for i, t in zip(b["doc_id"], b["text"]):
+                own = seeds_of(words_of(t))
+                at = own >> np.uint64(64 - FILTER_LOG)
+                place = np.flatnonzero(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                if len(place):
+                    first = np.zeros(len(place), bool)
+                    first[np.unique(own[place], return_index=True)[1]] = True
+                    ids.append(np.full(len(place), i))
+                    found.append((own[place].view(np.int64), place, first))
+            if ids:
+                yield pd.DataFrame({"doc_id": np.concatenate(ids), **{c: np.concatenate(x) for c, x in zip(("seed", "place", "first"), zip(*found))}})
+
+    return cut(docs.mapInPandas(run, "doc_id long, seed long, place int, first boolean"), "seed-hits")
+
+
+def rare_seeds(seeds: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item, seed, at) without the commonest seeds of each item; documents that have a seed are counted once each."""
+    count = hits.where("first").groupBy("seed").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "seed")
+    ranked = seeds.join(count, "seed", "left").withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= F.col("kinds") - F.floor(F.col("kinds") * COMMON)).where("n is not null").select("item", "seed", "at")
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item, starts): items that share a rare seed with a document, and where the item would begin in it."""
+    seeds = items.select("item", F.size("seeds").alias("kinds"), F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+    seeds = seeds.select("item", "kinds", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    hits = seed_hits(docs, seeds)
+    pairs = hits.select("doc_id", "seed", "place").join(rare_seeds(seeds, hits), "seed")
+    return pairs.groupBy("doc_id", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("starts"))
+
+
+def windows(starts: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
+    """Bounds of each stretch of a document of so many words with starts near one diagonal."""
+    starts, slack = np.sort(starts), size // 4 + 2
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(starts) > slack) + 1, [len(starts)]])
+    return [(max(0, int(starts[a]) - slack), min(length, int(starts[b - 1]) + size + slack)) for a, b in zip(edges, edges[1:])]
+
+
 def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each pair, row by row of the item for all pairs at once."""
     best = np.zeros(len(items))
@@ -128,53 +161,42 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def score(docs: DataFrame, items: Items, least: float) -> DataFrame:
-    """Windows of documents that share a seed with an item of the block and align with it to the least score."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_ITEMS and BLOCK_WORDS
+def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """(doc_id, item_id, score, first_word, words): benchmark items found in documents, best window of each.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = shared.value
+    Items of fewer than 3 words have no seed and match nothing, as do null texts; rows without id are left out.
+    Rows that repeat a doc_id or an item_id count together. Empty tables give no rows.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    items = item_rows(benchmark)
+    found = candidates(docs, items).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "own", "starts")).alias("found"))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def aligned(held: list[tuple]) -> pd.DataFrame:
-            own = [block.words[k].astype(np.int64) for _, k, _, _ in held]
-            texts = [w.astype(np.int64) for _, _, _, w in held]
+            own, texts = [x[2].astype(np.int64) for x in held], [x[4].astype(np.int64) for x in held]
             share = align(own, texts) / np.maximum([MATCH * len(w) for w in own], 1)
-            rows = [(held[j][0], block.ids[held[j][1]], share[j], held[j][2], len(texts[j])) for j in np.flatnonzero(share >= least)]
+            rows = [(held[j][0], held[j][1], share[j], held[j][3], len(texts[j])) for j in np.flatnonzero(share >= least)]
             return pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "words"])
 
         for b in batches:
             held, n = [], 0
-            for i, t in zip(b["doc_id"], b["text"]):
+            for i, t, known in zip(b["doc_id"], b["text"], b["found"]):
                 words = words_of(t)
-                for k, s, e in windows(words, block):
-                    held.append((i, k, s, words[s:e]))
-                    n += e - s + len(block.words[k])
+                for item in known:
+                    own = np.frombuffer(item["own"], np.uint32)
+                    for s, e in windows(np.asarray(item["starts"], np.int64), len(own), len(words)):
+                        held.append((i, item["item_id"], own, s, words[s:e]))
+                        n += e - s + len(own)
                     if n >= HELD_WORDS:
                         yield aligned(held)
                         held, n = [], 0
             if held:
                 yield aligned(held)
 
-    return docs.mapInPandas(run, "doc_id long, item_id long, score double, first_word int, words int")
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """(doc_id, item_id, score, first_word, words): benchmark items found in documents, best window of each.
-
-    Every word run of every document is looked up among the items' seeds, and every window that holds one,
-    rare or common, is aligned. Items of fewer than 3 words have no seed and match nothing, as do null texts;
-    rows without id are left out.
-    """
-    spark = docs.sparkSession
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = None
-    for items in blocks(benchmark):
-        scored = score(docs, items, least)
-        found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word int, words int")
+    scored = docs.join(found, "doc_id").mapInPandas(run, "doc_id long, item_id long, score double, first_word int, words int")
     best = F.max_by(F.struct("score", "first_word", "words"), F.struct("score", -F.col("first_word"), "words"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -437,11 +437,38 @@ def test_partial_copies_beside_a_whole_one_are_found(spark):
     assert {x["doc_id"]: round(x["score"], 3) for x in rows.collect()} == {0: 1.0} | {k: round(40 / 76, 3) for k in range(1, 201)}
 
 
-def test_benchmark_blocks_agree(spark, monkeypatch):
+def test_a_common_stem_makes_no_candidates(spark):
+    """300 items begin alike; documents that hold the stem alone are compared with none, copies with their own item."""
+    r = random.Random(15)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    stem = [word() for _ in range(10)]
+    items = {k: stem + [word() for _ in range(30)] for k in range(300)}
+    docs = {k: [word() for _ in range(40)] + stem + [word() for _ in range(40)] for k in range(20)}
+    docs |= {100 + k: [word() for _ in range(20)] + items[k][15:38] + [word() for _ in range(20)] for k in range(10)}
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows = decontaminate.item_rows(b)
+    pairs = decontaminate.candidates(d, rows).join(rows, "item").select("doc_id", "item_id").collect()
+    assert {tuple(x) for x in pairs} == {(100 + k, k) for k in range(10)}
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.leaks(d, b).collect()} == {(100 + k, k) for k in range(10)}
+
+
+def test_leaks_in_scripts_without_spaces(spark):
+    r = random.Random(16)
+    text = lambda n: "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(n))
+    item = text(40)
+    edited = item[:12] + text(2) + item[13:30] + item[32:]
+    docs = [(1, text(60) + item + text(60)), (2, text(50) + edited + text(50)), (3, text(200)), (4, text(30) + "。" + item[:22] + "。" + text(30))]
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert {x["doc_id"] for x in rows.collect()} == {1, 2, 4}
+
+
+def test_seed_filter_passes_every_seed(spark, monkeypatch):
+    """A filter of 128 bits lets nearly all seeds through; the join decides all the same."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 13)
+    monkeypatch.setattr(decontaminate, "FILTER_LOG", 7)
     assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == whole and whole
 
 
