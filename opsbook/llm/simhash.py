@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .graph import components, local_components
 from .shared import cut, whole_groups
 
-SHARD_ROWS = 16_384  # a larger shard is split into several trees, and its queries go to each
+SHARD_ROWS = 16_384  # rows of one tree, and rows that search it in one task; a larger shard is split
+SET_ROWS = 1024  # the same where rows carry their shingle sets
 BLOCK = 1 << 16  # shingles counted at once in a long text
 BANDS, BAND_ROWS, SIGNATURE = 16, 3, 128
 ESTIMATE_MARGIN = 0.15  # four times a signature's standard error at similarity 0.8: the exact check follows
@@ -82,11 +83,13 @@ def bk_forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.n
     return root, parent, edge, depth
 
 
-def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, alike: Callable | None = None) -> np.ndarray:
+def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, alike: Callable | None = None, given: np.ndarray | None = None) -> np.ndarray:
     """Component (smallest row) of each row: rows of a group link within radius, and if alike(a, b).
 
-    Tree edges within the radius are merged first. A search then leaves out subtrees that lie wholly in
-    the query's component, so a large group of near copies costs its size, not its square.
+    Nodes are in their group's tree. All rows search it, or only those that are no nodes where there are any. Rows of
+    one given component are linked to begin with. Tree edges within the radius are merged first. A search then
+    leaves out subtrees that lie wholly in the query's component, so a large group of near copies costs its size, not
+    its square.
     """
     n = len(fp)
     alike = alike or (lambda a, b: np.ones(len(a), bool))
@@ -96,7 +99,11 @@ def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ali
     ok = (edge[a] <= radius)
     a, b = a[ok], b[ok]
     ok = alike(a, b)
-    comp = local_components(n, a[ok], b[ok])
+    a, b = a[ok], b[ok]
+    if given is not None:
+        lead, inverse = np.unique(given, return_index=True, return_inverse=True)[1:]
+        a, b = np.append(a, np.arange(n)), np.append(b, lead[inverse])
+    comp = local_components(n, a, b)
     order = kids[np.argsort(parent[kids] * 65 + edge[kids], kind="stable")]
     keys = parent[order] * 65 + edge[order]
     deepest = np.argsort(-depth[kids], kind="stable")
@@ -108,7 +115,7 @@ def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ali
             same[parent[v[~same[v] | (comp[v] != comp[parent[v]])]]] = False
         return same
 
-    rows = np.flatnonzero(root >= 0)
+    rows = np.flatnonzero((root >= 0) & ~(node & (~node).any()))
     for start in range(0, len(rows), SHARD_ROWS):
         q = rows[start : start + SHARD_ROWS]
         v, same = root[q], uniform()
@@ -135,29 +142,37 @@ def linked(group: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int, ali
     return comp
 
 
-def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(key, id, fp[, sig[, grams]]) -> (src, dst): links that join each shard's rows into its components.
+def large_keys(rows: DataFrame, most: int) -> DataFrame:
+    """(key, trees) of the keys with more than `most` rows, in how many cells they are dealt."""
+    return rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("trees"))
 
-    With similarity, linked rows have an estimate no more than ESTIMATE_MARGIN below it; with grams also, their
-    Jaccard similarity itself is that high.
 
-    A key with more than SHARD_ROWS rows is split: its rows form several trees, and each row also visits
-    the others as a query, so no link is lost and no task gets the whole key.
+def cells(hot: DataFrame) -> DataFrame:
+    """Rows of large keys, each in one cell of its key."""
+    return hot.withColumns({"shard": F.xxhash64("key", F.pmod(F.xxhash64("id"), "trees")), "node": F.lit(True)})
+
+
+def crossings(hot: DataFrame, comps: DataFrame, most: int) -> DataFrame:
+    """Rows that must yet meet: those outside their key's largest component search every cell of the key.
+
+    A cell's rows are copied to each part of so many searching rows, so a shard holds about twice `most` rows. Keys
+    whose rows have become one component are left out. What the largest component holds is linked already, so
+    a key costs its size times the number of parts that stand outside it, not its square.
     """
-    large = rows.groupBy("key").count().where(F.col("count") > SHARD_ROWS)
-    large = cut(large.select("key", F.ceil(F.col("count") / SHARD_ROWS).cast("int").alias("trees")), "hot-keys")
-    if large.isEmpty():
-        dealt = rows.withColumns({"tree": F.lit(0), "node": F.lit(True)})
-    else:
-        trees = F.coalesce("trees", F.lit(1))
-        dealt = (
-            rows.join(large, "key", "left")
-            .withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
-            .withColumn("node", F.pmod(F.xxhash64("id"), trees) == F.col("tree"))
-            .drop("trees")
-        )
-    dealt = dealt.withColumn("shard", F.xxhash64("key", "tree"))
-    size, exact = SIGNATURE // 2, "grams" in rows.columns
+    rows = hot.join(comps.withColumnRenamed("id", "_id"), hot["id"] == F.col("_id"), "left").withColumn("given", F.coalesce("component", "id")).drop("_id", "component")
+    sizes = rows.groupBy("key", "given").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("given", F.struct("n", "given")).alias("top"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
+    rows = rows.join(keys.withColumn("parts", F.ceil(F.col("outside") / most).cast("int")).drop("outside"), "key")
+    trees = F.sequence(F.lit(0), F.col("trees") - 1)
+    nodes = rows.withColumns({"tree": F.pmod(F.xxhash64("id"), "trees").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "node": F.lit(True)})
+    search = rows.where("given <> top").withColumns({"tree": F.explode(trees), "part": F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int"), "node": F.lit(False)})
+    met = nodes.unionByName(search).withColumn("shard", F.xxhash64("key", "tree", "part"))
+    return met.drop("tree", "part", "trees", "parts", "top")
+
+
+def search_links(dealt: DataFrame, radius: int, similarity: float | None) -> DataFrame:
+    """(shard, id, fp, node[, given][, sig[, grams]]) -> (src, dst): links that join each shard's rows into its components."""
+    size, exact, known = SIGNATURE // 2, "grams" in dealt.columns, "given" in dealt.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, "shard", 5_000 if exact else 50_000):
@@ -181,12 +196,38 @@ def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -
                     return ok
 
             ids = b["id"].to_numpy()
-            comp = linked(group, b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy(), radius, alike)
+            comp = linked(group, b["fp"].to_numpy().view(np.uint64), b["node"].to_numpy(), radius, alike, b["given"].to_numpy() if known else None)
             own = comp != np.arange(len(comp))
             yield pd.DataFrame({"src": ids[own], "dst": ids[comp[own]]})
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInPandas(run, "src long, dst long")
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInPandas(run, "src long, dst long").where("src <> dst")
+
+
+def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(key, id, fp[, sig[, grams]]) -> (src, dst): links that join each key's rows into its components.
+
+    With similarity, linked rows have an estimate no more than ESTIMATE_MARGIN below it; with grams also, their
+    Jaccard similarity itself is that high.
+
+    A key with more rows than a tree takes is linked in steps: each cell of it on its own; then the smallest rows
+    of the components that this leaves, if one tree holds them; then whatever lies in different components still. No
+    link is lost and no task gets the whole key.
+    """
+    most = SET_ROWS if "grams" in rows.columns else SHARD_ROWS
+    large = cut(large_keys(rows, most), "hot-keys")
+    if large.isEmpty():
+        return search_links(rows.withColumns({"shard": F.col("key"), "node": F.lit(True)}), radius, similarity)
+    hot, cool = rows.join(large, "key"), rows.join(large, "key", "left_anti")
+    dealt = cells(hot).drop("trees").unionByName(cool.withColumns({"shard": F.col("key"), "node": F.lit(True)}))
+    links = cut(search_links(dealt, radius, similarity), "links")
+    comps = components(links)
+    led = hot.join(comps.where("id <> component").select("id"), "id", "left_anti").drop("trees")
+    few = led.groupBy("key").count().where(F.col("count").between(2, most)).select("key")
+    heads = led.join(few, "key").withColumns({"shard": F.col("key"), "node": F.lit(True)})
+    links = links.unionByName(cut(search_links(heads, radius, similarity), "links"))
+    met = crossings(hot, components(links), most)
+    return links.unionByName(search_links(met, radius, similarity))
 
 
 # --- linking by fingerprint alone ---------------------------------------------------------------------------

@@ -193,8 +193,31 @@ def test_simhash_components_of_a_split_shard(spark, monkeypatch):
     assert len(set(mine)) == len(set(want)) and all((mine[i] == mine[j]) == (want[i] == want[j]) for i, j in zip(a, b))
 
 
-def test_near_copies_have_the_similarity_itself(spark):
+def test_a_hot_key_is_dealt_in_bounded_shards(spark, monkeypatch):
+    """Ten times SHARD_ROWS rows, most of them near copies: no shard holds more than about two trees' rows, and rows
+    that move stay in proportion."""
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(5)
+    fp = np.unique(np.concatenate([5 + (1 << rng.integers(0, 60, 1500)) + (1 << rng.integers(0, 60, 1500)), rng.integers(0, 2**62, 500)]))
+    rows = spark.createDataFrame([(1, int(x), int(x)) for x in fp], "key long, id long, fp long")
+    hot = rows.join(simhash.large_keys(rows, 200), "key")
+    parts = simhash.cells(hot)
+    assert parts.groupBy("shard").count().agg({"count": "max"}).first()[0] < 300
+    comps = graph.components(simhash.search_links(parts.drop("trees"), 3, None))
+    met = simhash.crossings(hot, comps, 200)
+    assert met.groupBy("shard").count().agg({"count": "max"}).first()[0] < 600
+    found = {r["id"]: r["component"] for r in graph.components(simhash.shard_links(rows, 3)).collect()}
+    a, b = np.triu_indices(len(fp), 1)
+    near = np.bitwise_count(fp[a].astype(np.uint64) ^ fp[b].astype(np.uint64)) <= 3
+    want = graph.local_components(len(fp), a[near], b[near])
+    assert [found.get(int(x), int(x)) for x in fp] == fp[want].tolist()
+
+
+@pytest.mark.parametrize("rows", [1024, 16])
+def test_near_copies_have_the_similarity_itself(spark, monkeypatch, rows):
     """Pairs at many edit counts: exactly those with a Jaccard similarity of 0.8 or more are linked."""
+    monkeypatch.setattr(simhash, "SET_ROWS", rows)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", rows)
     r = random.Random(13)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     texts, want = [], set()
