@@ -16,9 +16,12 @@ from .shared import cut
 from .tokens import Kind, encoder, text_batches
 
 CAPACITY = 2048
-ROUNDS = 200  # of multiplicative weights
-STEP = 0.1
-PARTS = (1.0, 0.75, 0.5, 0.25)  # of the fractional solution, tried in rounding
+PHASES, ROUNDS = 6, 10  # solutions rounded one after another, and rounds of multiplicative weights for each
+ENOUGH = 0.9  # of the pieces placed by the program, and the bound reached: no phase more
+SMALL = 32  # pieces of less than 1 / SMALL of a sequence are kept to fill what the others leave
+CLOSE = 1.001  # times the bound: patterns with room left are not tried as well
+NEAR = 0.02  # a pattern worth this much less than the best still counts as an answer to the prices
+STEP, RATE = 0.5, 1.0  # most of a length's need that a round covers, and how fast prices fall with it
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 
@@ -58,67 +61,122 @@ def pieces(docs: DataFrame, kind: Kind, end_id: int = 0, capacity: int = CAPACIT
 # --- the linear program -------------------------------------------------------------------------------------
 
 
-def best_pattern(lengths: np.ndarray, value: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Lengths to put together for the greatest total value: knapsack by dynamic programming over room used.
-
-    A length is used at most `most` times; uses beyond that are cut from the solution.
-    """
+def price_table(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest value that fits each room, and the length to take there (-1: leave one place empty): knapsack by
+    dynamic programming."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        best[room], choice[room] = best[room - 1], -1
+        best[room] = best[room - 1]
+        n = fits[room]
         if n:
             gain = value[:n] + best[room - lengths[:n]]
             k = int(gain.argmax())
             if gain[k] > best[room]:
                 best[room], choice[room] = gain[k], k
+    return best, choice
+
+
+def trace(room: int, lengths: np.ndarray, choice: np.ndarray, most: np.ndarray, first: int | None = None) -> tuple[tuple[int, int], ...]:
+    """The pattern ((length index, times), …) that the table holds for this room, with `first` in it; a length is used at
+    most `most` times, and room that this leaves goes to the next best."""
     used: dict[int, int] = defaultdict(int)
-    room = capacity
+    if first is not None:
+        used[first] = 1
+        room -= int(lengths[first])
     while room > 0:
         k = int(choice[room])
-        if k < 0:
+        if k < 0 or used[k] >= most[k]:
             room -= 1
             continue
-        if used[k] < most[k]:
-            used[k] += 1
+        used[k] += 1
         room -= int(lengths[k])
-    return {k: n for k, n in used.items() if n}
+    return tuple(sorted((k, n) for k, n in used.items() if n))
+
+
+def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """(amount of each pattern, lower bound) of the covering program: least sum of x_p, every length covered.
+
+    Each round prices lengths, fills the knapsack table once, and reads from it the best pattern with each length; those
+    worth nearly the best are used as far as their scarcest length allows, all scaled so that no length gets over
+    STEP of its need; then prices fall where needs were covered. Any prices give a bound: the worth of all pieces
+    by the worth of the best pattern.
+    """
+    value, share, bound = lengths / capacity, np.zeros(len(lengths)), 0.0
+    amount: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    for _ in range(rounds):
+        best, choice = price_table(lengths, value, capacity)
+        bound = max(bound, float(value @ need) / best[capacity])
+        worth = value + best[capacity - lengths]
+        found: dict[tuple[tuple[int, int], ...], float] = {}
+        for k in np.flatnonzero(worth >= (1 - NEAR) * best[capacity]).tolist():
+            p = trace(capacity, lengths, choice, need, k)
+            found[p] = min(need[j] / n for j, n in p)
+        covered = np.zeros(len(lengths))
+        for p, x in found.items():
+            for j, n in p:
+                covered[j] += x * n / need[j]
+        scale = STEP / covered.max()
+        for p, x in found.items():
+            amount[p] += scale * x
+        share += scale * covered
+        value = value * np.exp(-RATE * scale * covered)
+    reached = share[share > 0]
+    return {p: x / float(np.median(reached)) for p, x in amount.items()}, bound
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) that hold every piece of the histogram.
+    """(lengths of a sequence, how many such sequences) that hold every piece of the histogram."""
+    return packed(histogram, capacity, rounds)[0]
+
 
-    Covering program: least sum of x_p so that each length gets its count. Each round prices lengths by
-    their weight, takes the most valuable pattern (knapsack), uses it as often as its scarcest length
-    allows at this step, and lowers the weights of what it covers. Each part of the solution in PARTS is rounded
-    down, where a pattern fills its sequence; what is left is placed best-fit in decreasing order. The
-    fewest sequences win.
+def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int, int]:
+    """(patterns and how often, pieces that the program placed, lower bound of sequences).
+
+    The program is solved and rounded in phases, each on what the ones before left. Rounding takes patterns in order of
+    their amount, at least once and while pieces are left. What no phase places goes best-fit in decreasing order.
+    Of the states after each phase, with full patterns only and, far from the bound, with all, the one with the fewest sequences wins; of
+    equal ones, that with the most pieces placed by the program.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
     if not len(lengths):
-        return []
-    need = np.array([histogram[int(k)] for k in lengths], np.float64)
-    weight, share = lengths / capacity, np.zeros(len(lengths))
-    amount: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
-    for _ in range(rounds):
-        p = best_pattern(lengths, weight, need, capacity)
-        ks, ns = np.array(list(p)), np.array(list(p.values()))
-        step = STEP * (need[ks] / ns).min()
-        amount[tuple(sorted(p.items()))] += step
-        share[ks] += step * ns / need[ks]
-        weight[ks] *= np.exp(-0.5 * step * ns / need[ks])
-    tried = []
-    for part in PARTS:
-        left, rows = need.astype(np.int64), []
-        scale = part / max(share.max(), 1e-9)
-        for p, x in sorted(amount.items(), key=lambda item: -item[1]):
-            n = min([int(x * scale), *(int(left[k]) // c for k, c in p)])
-            if n > 0 and sum(int(lengths[k]) * c for k, c in p) == capacity:
-                rows.append((dict(p), n))
-                for k, c in p:
-                    left[k] -= c * n
-        tried.append(best_fit(lengths, left, rows, capacity))
-    return min(tried, key=lambda found: sum(n for _, n in found))
+        return [], 0, 0
+    need = np.array([histogram[int(k)] for k in lengths], np.int64)
+    small = capacity // SMALL if lengths[-1] >= capacity // SMALL else 0
+    bound, answers = 0, []
+    for parts in range(5):  # prices by room, and by whole parts of a sequence, which bound better where few pieces fit one
+        steps = np.where(lengths * (parts + 1) % capacity, lengths * (parts + 1) // capacity / max(parts, 1), lengths / capacity) if parts else lengths / capacity
+        if steps.any():
+            bound = max(bound, int(np.ceil(float(steps @ need) / price_table(lengths, steps, capacity)[0][capacity] - 1e-6)))
+    for whole in (True, False):
+        least = min(answers, key=lambda found: found[:2], default=None)
+        if least and least[0] <= bound * CLOSE and -2 * least[1] > need.sum():
+            break
+        left, rows = need.copy(), []
+        for phase in range(PHASES):
+            own = np.flatnonzero((left > 0) & (lengths >= small))
+            if not len(own):
+                break
+            amount, low = solve(lengths[own], left[own].astype(np.float64), capacity, rounds)
+            bound = max(bound, int(np.ceil(low - 1e-6)) if not phase else 0)  # holds for part of the pieces, so for all
+            before = len(rows)
+            for p, x in sorted(amount.items(), key=lambda item: (-item[1], item[0])):
+                n = min(max(1, round(x)), *(int(left[own[k]]) // c for k, c in p))
+                if n > 0 and not (whole and sum(int(lengths[own[k]]) * c for k, c in p) < capacity):
+                    rows.append(({int(own[k]): c for k, c in p}, n))
+                    for k, c in p:
+                        left[own[k]] -= c * n
+            if len(rows) == before:
+                break
+            placed = int(need.sum() - left.sum())
+            made = best_fit(lengths, left, rows, capacity)
+            answers.append((sum(n for _, n in made), -placed, made))
+            if answers[-1][0] <= bound and placed >= ENOUGH * need.sum():
+                return made, placed, bound
+    plain = best_fit(lengths, need, [], capacity)
+    answers.append((sum(n for _, n in plain), 0, plain))
+    _, placed, made = min(answers, key=lambda found: found[:2])
+    return made, -placed, bound
 
 
 def best_fit(lengths: np.ndarray, left: np.ndarray, rows: list[tuple[dict[int, int], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:

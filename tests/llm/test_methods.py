@@ -516,14 +516,44 @@ def test_patterns_cover_the_histogram(seed):
 
 def test_knapsack_prices():
     r = random.Random(3)
-    lengths = np.array([3, 5, 7, 11])
+    lengths, many = np.array([3, 5, 7, 11]), np.full(4, 99)
     for _ in range(20):
         value = np.array([r.random() for _ in range(4)])
-        p = packing.best_pattern(lengths, value, np.full(4, 99), 30)
-        best = max(
-            a * value[0] + b * value[1] + c * value[2] + d * value[3] for a in range(11) for b in range(7) for c in range(5) for d in range(3) if 3 * a + 5 * b + 7 * c + 11 * d <= 30
-        )
-        assert abs(sum(value[k] * n for k, n in p.items()) - best) < 1e-9
+        best, choice = packing.price_table(lengths, value, 30)
+        rows = [
+            (a * value[0] + b * value[1] + c * value[2] + d * value[3], (a, b, c, d)) for a in range(11) for b in range(7) for c in range(5) for d in range(3) if 3 * a + 5 * b + 7 * c + 11 * d <= 30
+        ]
+        assert abs(max(rows)[0] - best[30]) < 1e-9
+        for first in (None, 0, 1, 2, 3):
+            p = packing.trace(30, lengths, choice, many, first)
+            most = max(x for x, n in rows if first is None or n[first])
+            assert sum(lengths[k] * n for k, n in p) <= 30 and abs(sum(value[k] * n for k, n in p) - most) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["documents", "short", "halves", "thirds"])
+def test_the_program_places_most_pieces(kind):
+    """How many pieces the program places, and how far the sequences are from its own lower bound."""
+    r = random.Random(17)
+    if kind == "documents":
+        sizes: dict[int, int] = {}
+        for _ in range(12_000):
+            n = int(r.lognormvariate(6.2, 1.0)) + 1
+            for size in [2048] * (n // 2048) + [n % 2048]:
+                sizes[size] = sizes.get(size, 0) + 1
+        sizes.pop(0, None)
+    elif kind == "short":
+        sizes = {k: r.randrange(1, 900) for k in range(20, 300)}
+    elif kind == "halves":
+        sizes = {k: r.randrange(1, 60) for k in range(700, 1100, 3)}
+    else:
+        sizes = {k: 40 for k in range(600, 760)}
+    found, placed, bound = packing.packed(sizes)
+    n, pieces = sum(x for _, x in found), sum(sizes.values())
+    lengths = np.array(sorted(sizes))
+    plain = sum(x for _, x in packing.best_fit(lengths, np.array([sizes[int(k)] for k in lengths]), [], 2048))
+    assert bound >= -(-sum(k * x for k, x in sizes.items()) // 2048) and bound <= n <= plain
+    assert placed > 0.5 * pieces, (placed, pieces)
+    assert n <= bound * 1.02 + 2, (n, bound)
 
 
 # --- language -----------------------------------------------------------------------------------------------
