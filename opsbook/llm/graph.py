@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut_at, new_path, remove
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,15 +42,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(src long, dst long) -> (id, component): each linked vertex with its smallest reachable one.
 
     Alternating large and small stars (Kiveris et al. 2014): every round joins on the vertex, keeps at
-    most as many edges as before and is written to the shared folder. No edge reaches the driver.
+    most as many edges as before and is written to the shared folder in place of the round before. No edge
+    reaches the driver.
     """
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    edges = cut(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
+    spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
+    edges = cut_at(edges.where("src <> dst").select("src", "dst").distinct(), path)
     before = state(edges)
     while before[0]:
-        edges = cut(_star(_star(edges, large=True), large=False), "edges")
+        last, path = path, new_path(spark, "edges")
+        edges = cut_at(_star(_star(edges, large=True), large=False), path)
+        remove(spark, last)
         now = state(edges)
         if now == before:
             break

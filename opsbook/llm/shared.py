@@ -11,24 +11,62 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []  # folders and files that this session has made
+_own: list[str] = []  # the folder of a local session that names none
+
+
+def _hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Spark itself finds them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only a local session without one gets a folder of its own."""
+    """spark.checkpoint.dir of the session, with its scheme; only a local session without one gets a folder of its own.
+
+    A folder named without a scheme is in the default file system, for Spark and for tasks that write files alike.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        folder = _own[0]
+    if "://" not in folder:
+        path, store = _hadoop_path(spark, folder)
+        folder = store.makeQualified(path).toString()
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p, store = _hadoop_path(spark, path)
+    store.delete(p, True)
+
+
+def mark() -> int:
+    """Where sweep() may begin: what this session has written so far."""
+    return len(_written)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove what was written since the mark. Call it once results have been written elsewhere: they are read from there."""
+    for path in _written[since:]:
+        remove(spark, path)
+    del _written[since:]
 
 
 def cut(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once and read it back: later stages and retries start from the files."""
-    path = new_path(df.sparkSession, name)
+    return cut_at(df, new_path(df.sparkSession, name), **options)
+
+
+def cut_at(df: DataFrame, path: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

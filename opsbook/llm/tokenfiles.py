@@ -3,8 +3,8 @@
 A file holds consecutive documents. Its ids are cut into blocks of BLOCK ids, each coded on its own; in a
 block, id k belongs to lane k mod LANES, and the lanes share one stream of 32-bit words. Every STEP_MARK steps
 the lanes' states and the place in the stream are recorded, so that parts of a block decode side by side.
-Layout, little-endian: magic, header, doc ids and lengths, then for each block its checkpoints, word count,
-CRC-32 and words. The frequency table is a file of its own beside them.
+Layout, little-endian: header, doc ids and lengths, CRC-32 of these, then for each block its word count, CRC-32,
+checkpoints and words. The frequency table is a file of its own beside them.
 """
 
 from __future__ import annotations
@@ -98,8 +98,8 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[tuple[np.ndarray, np.nd
     return [(states[b], np.concatenate([[0], places[b][:-1]]), words[b][out[b]]) for b in range(blocks)]
 
 
-def decode_parts(states: np.ndarray, places: np.ndarray, words: np.ndarray, table: Table) -> np.ndarray:
-    """Ids of the parts that begin at these checkpoints (states: parts x LANES), all side by side."""
+def decode_parts(states: np.ndarray, places: np.ndarray, words: np.ndarray, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the parts that begin at these checkpoints (states: parts x LANES), all side by side; last states and places."""
     x, at = states.copy(), places.astype(np.int64)
     ids = np.empty((STEP_MARK, *x.shape), np.uint32)
     bits, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
@@ -113,12 +113,13 @@ def decode_parts(states: np.ndarray, places: np.ndarray, words: np.ndarray, tabl
         place = at[:, None] + np.cumsum(need, axis=1) - 1
         x = np.where(need, (x << np.uint64(32)) | words[np.where(need, place, 0)], x)
         at += need.sum(1)
-    return ids.transpose(1, 0, 2).reshape(len(states), -1)
+    return ids.transpose(1, 0, 2).reshape(len(states), -1), x, at
 
 
 def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, table: Table, table_crc: int) -> list[bytes]:
     blocks = encode_blocks(ids, table)
-    parts = [HEADER.pack(MAGIC, table_crc, BLOCK, LANES, len(blocks), len(doc_ids), len(ids)), doc_ids.astype("<i8").tobytes(), lengths.astype("<u8").tobytes()]
+    head = HEADER.pack(MAGIC, table_crc, BLOCK, LANES, len(blocks), len(doc_ids), len(ids)) + doc_ids.astype("<i8").tobytes() + lengths.astype("<u8").tobytes()
+    parts = [head, struct.pack("<I", zlib.crc32(head))]
     for states, places, words in blocks:
         body = states.astype("<u8").tobytes() + places.astype("<u8").tobytes() + words.astype("<u4").tobytes()
         parts += [struct.pack("<II", len(words), zlib.crc32(body)), body]
@@ -126,13 +127,18 @@ def pack_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, table:
 
 
 def unpack_file(data: bytes, table: Table, table_crc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, lengths, ids) of a file; checks the table, each block's CRC and each part's last state."""
+    """(doc ids, lengths, ids) of a file; checks the table, the CRC of the header and of each block, and that each part
+    ends in the state and place where the next begins."""
+    if len(data) < HEADER.size:
+        raise ValueError("not a token file of this table")
     magic, crc, block, lanes, n_blocks, n_docs, n_ids = HEADER.unpack_from(data)
     if magic != MAGIC or crc != table_crc or (block, lanes) != (BLOCK, LANES):
         raise ValueError("not a token file of this table")
     at = HEADER.size
+    if len(data) < at + 16 * n_docs + 4 or zlib.crc32(data[: at + 16 * n_docs]) != struct.unpack_from("<I", data, at + 16 * n_docs)[0]:
+        raise ValueError("damaged header")
     doc_ids, lengths = np.frombuffer(data, "<i8", n_docs, at), np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
-    at += 16 * n_docs
+    at += 16 * n_docs + 4
     marks = BLOCK // LANES // STEP_MARK
     states, places, words, base = [], [], [], 0
     for _ in range(n_blocks):
@@ -148,7 +154,12 @@ def unpack_file(data: bytes, table: Table, table_crc: int) -> tuple[np.ndarray,
         at += size
     if not n_blocks:
         return doc_ids, lengths, np.empty(0, np.uint32)
-    ids = decode_parts(np.concatenate(states), np.concatenate(places), np.concatenate(words), table)
+    firsts, starts = np.concatenate(states), np.concatenate(places)
+    ids, lasts, stops = decode_parts(firsts, starts, np.concatenate(words), table)
+    inner = np.arange(1, len(firsts)) % marks != 0  # parts with a next one in their block
+    ends = np.arange(len(firsts)) % marks == marks - 1
+    if (lasts[:-1][inner] != firsts[1:][inner]).any() or (lasts[ends] != LOW).any() or (stops != np.append(starts[1:], base)).any():
+        raise ValueError("damaged block")
     return doc_ids, lengths, ids.reshape(-1)[:n_ids]
 
 
@@ -234,12 +245,15 @@ def write_token_files(docs: DataFrame, folder: str, kind: Kind, end_id: int) ->
         if held:
             yield flush()
 
-    files = max(1, -(-int(counts.sum()) // FILE_IDS))
+    # no more tasks than the session sets for a shuffle: a task writes as many files as its ids need
+    files = max(1, min(-(-int(counts.sum()) // FILE_IDS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     order = rows.withColumn("tie", F.xxhash64("ids"))
     order = order.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     made = cut(order.select("doc_id", "ids").mapInPandas(run, "task int, number int, uri string, ids long"), "manifest")
-    before = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per 4 million ids
-    return made.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    tasks = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    bases = made.groupBy("task").agg(F.sum("ids").alias("ids")).select("task", F.coalesce(F.sum("ids").over(tasks), F.lit(0)).alias("base"))
+    before = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    return made.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).join(bases, "task").withColumn("first", F.col("first") + F.col("base")).drop("base")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:

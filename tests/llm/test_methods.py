@@ -12,7 +12,7 @@ import zipfile
 import numpy as np
 import pytest
 
-from opsbook.llm import chat, decontaminate, graph, language, packing, quality, simhash, substrings, tokencount, tokenfiles, tokens, warc
+from opsbook.llm import chat, decontaminate, graph, language, packing, quality, shared, simhash, substrings, tokencount, tokenfiles, tokens, warc
 
 P = pytest.importorskip("public_tokenizers")
 TEXTS = ["a", "b", "the", "ing", "er", "<s>", "</s>", "don't", " ", "  ", "\n", "\t", "1", "23", "é", "É", "ß", "İ", "Σ", "σ", "’", "—", "!", "...", "日本", "́", "😀", "▁", "\U0010ffff", "x'll", "'LL", "'d ", "\x1c", "\x85", "²", "_", "$", "<|endoftext|>"]
@@ -136,9 +136,43 @@ def test_rans_parts_decode_alone():
     ids = np.random.default_rng(1).integers(0, 500, 65_536).astype(np.uint32)
     table = tokenfiles.Table.of_counts(np.bincount(ids))
     states, places, words = tokenfiles.encode_blocks(ids, table)[0]
-    part = tokenfiles.decode_parts(states[2:3], places[2:3], words, table)
+    part, last, place = tokenfiles.decode_parts(states[2:3], places[2:3], words, table)
     size = tokenfiles.STEP_MARK * tokenfiles.LANES
-    assert (part[0] == ids[2 * size : 3 * size]).all()
+    assert (part[0] == ids[2 * size : 3 * size]).all() and (last[0] == states[3]).all() and place[0] == places[3]
+
+
+def test_every_damaged_bit_of_a_token_file_is_noticed():
+    ids = np.random.default_rng(2).integers(0, 500, 3000).astype(np.uint32)
+    table = tokenfiles.Table.of_counts(np.bincount(ids))
+    data = b"".join(tokenfiles.pack_file(np.arange(30), np.full(30, 100), ids, table, 7))
+    for k in [*range(8 * (tokenfiles.HEADER.size + 16 * 30 + 12)), *range(0, 8 * len(data), 401)]:
+        broken = bytearray(data)
+        broken[k // 8] ^= 1 << k % 8
+        with pytest.raises((ValueError, struct.error)):
+            tokenfiles.unpack_file(bytes(broken), table, 7)
+
+
+def test_shared_folder_has_a_scheme(spark):
+    class Named:  # a session whose setting names no scheme
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default: "/tmp/spark-plain-folder")
+
+    assert shared.shared_dir(Named) == "file:/tmp/spark-plain-folder"
+    assert shared.open_store(shared.shared_dir(Named) + "/x")[1] == "/tmp/spark-plain-folder/x"
+    assert "file:" in shared.shared_dir(spark)
+
+
+def test_sweep_removes_what_was_written(spark):
+    from pathlib import Path
+
+    since = shared.mark()
+    rows = shared.cut(spark.range(5).toDF("id"), "swept")
+    path = Path(rows.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and rows.count() == 5
+    shared.sweep(spark, since)
+    assert not path.exists() and shared.mark() == since
 
 
 # --- SimHash ------------------------------------------------------------------------------------------------
