@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from opsbook.llm import decontaminate, packing, quality, simhash, substrings
-from opsbook.llm.shared import shared_dir
+from opsbook.llm.shared import mark, remove, shared_dir, sweep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +52,17 @@ ORACLE_SQL = None  # SQL can express none of the stages; tests hold them against
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage has read and what it wrote on the way go once its result is written; the last result stays.
+    """
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
+        since = mark()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        sweep(spark, since)
+        if k:
+            remove(spark, f"{at}/{k - 1}")
         docs = spark.read.parquet(f"{at}/{k}")
     return docs
