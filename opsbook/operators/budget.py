@@ -35,9 +35,11 @@ def fold_other(parts: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
 
 
 def category_groups(spend: DataFrame, category_group: DataFrame, listed: DataFrame) -> DataFrame:
-    """Categories in use with their group, `Yours` without one; `unlisted` says a category is no longer in the list."""
+    """Categories in use with their group, `Yours` without one; `unlisted` says the book's list (book_id, cat) no longer
+    has it."""
     used = spend.groupBy("book_id", "cat").agg(F.count("*").alias("n"))
-    j = used.join(F.broadcast(category_group), "cat", "left").join(F.broadcast(listed.select("cat", F.lit(False).alias("_no"))), "cat", "left")
+    own = listed.select("book_id", "cat", F.lit(False).alias("_no")).distinct()
+    j = used.join(category_group.select("cat", "group"), "cat", "left").join(own, ["book_id", "cat"], "left")
     return j.select("book_id", "cat", "n", F.coalesce("group", F.lit("Yours")).alias("group"), F.coalesce("_no", F.lit(True)).alias("unlisted"))
 
 
@@ -51,7 +53,7 @@ def items_due(items: DataFrame, months: DataFrame, received: DataFrame | None =
     cycles = F.explode(F.array(*(F.struct(F.lit(c).alias("cycle"), F.lit(n).alias("n")) for c, n in CYCLE.items()))).alias("k")
     when = months.select("month", cycles).select(F.col("k.cycle").alias("cycle"), F.pmod(place, F.col("k.n")).alias("rest"), "month")
     start = F.pmod(F.year("start") * 12 + F.month("start"), _every())
-    rows = items.withColumn("rest", start).join(F.broadcast(when), ["cycle", "rest"]).where(month_diff(F.col("start"), F.col("month")) >= 0)
+    rows = items.withColumn("rest", start).join(when, ["cycle", "rest"]).where(month_diff(F.col("start"), F.col("month")) >= 0)
     out = rows.select("book_id", "list", "id", "name", "month", "amount", (F.col("amount") / _every()).alias("average"))
     if received is None:
         return out
@@ -66,9 +68,9 @@ def month_summary(items: DataFrame, schedule: DataFrame, loans: DataFrame, spend
     income = due.where("list = 'income'").groupBy(*key).agg(F.sum("amount").alias("income"))
     fixed = due.where("list = 'fixed'").groupBy(*key).agg(F.sum("amount").alias("fixed"))
     rows = schedule.join(loans.select("book_id", F.col("id").alias("loan_id"), "start"), ["book_id", "loan_id"])
-    rows = rows.withColumn("month", F.add_months(month_start(F.col("start")), F.col("month_no") - 1)).join(F.broadcast(months.select("month")), "month", "left_semi")
+    rows = rows.withColumn("month", F.add_months(month_start(F.col("start")), F.col("month_no") - 1)).join(months.select("month"), "month", "left_semi")
     paid = rows.groupBy(*key).agg(F.sum(F.col("interest") + F.col("principal_paid")).alias("instalments"))
-    spent = spend.withColumn("month", month_start(F.col("date"))).join(F.broadcast(months.select("month")), "month", "left_semi").groupBy(*key).agg(F.sum("amount").alias("spent"))
+    spent = spend.withColumn("month", month_start(F.col("date"))).join(months.select("month"), "month", "left_semi").groupBy(*key).agg(F.sum("amount").alias("spent"))
     out = income.join(paid, key, "full_outer").join(fixed, key, "full_outer").join(spent, key, "full_outer").na.fill(0.0)
     return out.withColumn("left", F.col("income") - F.col("instalments") - F.col("fixed") - F.col("spent"))
 
@@ -123,19 +125,20 @@ def one_per_day(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def price_asof(holdings: DataFrame, prices: DataFrame, days: list[dt.date]) -> DataFrame:
-    """(holding_id, day, price): the latest price on or before each of the days, null before the first.
+    """(book_id, holding_id, day, price): the latest price on or before each of the days, null before the first.
 
     One pass over prices and days sorted together in each holding; no join by inequality.
     """
-    ask = holdings.select(F.col("id").alias("holding_id"), F.explode(F.array(*map(F.lit, days))).alias("d"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("ask"))
-    rows = prices.select("holding_id", "d", F.col("p").cast("double").alias("p"), F.lit(0).alias("ask")).unionByName(ask)
-    w = Window.partitionBy("holding_id").orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("price", F.last("p", ignorenulls=True).over(w)).where("ask = 1").select("holding_id", F.col("d").alias("day"), "price")
+    ask = holdings.select("book_id", F.col("id").alias("holding_id"), F.explode(F.array(*map(F.lit, days))).alias("d"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("ask"))
+    rows = prices.select("book_id", "holding_id", "d", F.col("p").cast("double").alias("p"), F.lit(0).alias("ask")).unionByName(ask)
+    w = Window.partitionBy("book_id", "holding_id").orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("price", F.last("p", ignorenulls=True).over(w)).where("ask = 1").select("book_id", "holding_id", F.col("d").alias("day"), "price")
 
 
 def price_trend(prices: DataFrame) -> DataFrame:
     """First and last price of holdings with two prices or more."""
-    return prices.groupBy("holding_id").agg(F.min_by("p", "d").alias("first"), F.max_by("p", "d").alias("last"), F.count("*").alias("n")).where("n >= 2").withColumn("change", F.col("last") / F.col("first") - 1)
+    both = prices.groupBy("book_id", "holding_id").agg(F.min_by("p", "d").alias("first"), F.max_by("p", "d").alias("last"), F.count("*").alias("n"))
+    return both.where("n >= 2").withColumn("change", F.col("last") / F.col("first") - 1)
 
 
 def apply_price_sheet(invest: DataFrame, sheet: DataFrame, asof: dt.date) -> tuple[DataFrame, DataFrame]:
@@ -143,10 +146,17 @@ def apply_price_sheet(invest: DataFrame, sheet: DataFrame, asof: dt.date) -> tup
     new = sheet.select("book_id", "id", F.col("price").alias("_p"))
     j = invest.join(new, ["book_id", "id"], "left")
     hit = F.col("_p").isNotNull() & ~F.col("kind").isin("fd", "rd")
-    points = j.where(hit).select(F.col("id").alias("holding_id"), F.lit(asof).alias("d"), F.col("_p").alias("p"), F.lit("sheet").alias("src"))
+    points = j.where(hit).select("book_id", F.col("id").alias("holding_id"), F.lit(asof).alias("d"), F.col("_p").alias("p"), F.lit("sheet").alias("src"))
     return j.withColumns({"price": F.when(hit, F.col("_p")).otherwise(F.col("price")), "asof": F.when(hit, F.lit(asof)).otherwise(F.col("asof"))}).drop("_p"), points
 
 
+def snapshot(invest: DataFrame, points: DataFrame, asof: dt.date) -> DataFrame:
+    """(book_id, d, value, cost): one row for each book that the price sheet touched, all its holdings valued that day."""
+    touched = points.select("book_id").distinct()
+    per = holding_values(invest, asof).join(touched, "book_id", "left_semi").groupBy("book_id")
+    return per.agg(F.sum("value").alias("value"), F.sum("cost").alias("cost")).select("book_id", F.lit(asof).alias("d"), "value", "cost")
+
+
 def merge_categories(a: DataFrame, b: DataFrame) -> DataFrame:
     """Category lists (book_id, cats) of both sides together, without loss."""
     x, y = a.select("book_id", F.col("cats").alias("_a")), b.select("book_id", F.col("cats").alias("_b"))

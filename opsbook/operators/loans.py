@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LONGEST = 1200  # months of a schedule
+from ..functions.dates import month_diff
+
+CHUNK = 200_000  # schedule rows held before they are handed on
 
 SCHEDULE = "book_id long, loan_id string, month_no int, opening double, interest double, principal_paid double, extra double, closing double, never boolean"
 
@@ -29,46 +31,68 @@ def loan_balance(principal: Column, rate: Column, months: Column, k: Column) ->
     return F.when(rate == 0, principal - e * k).otherwise(principal * grown - e * (grown - 1) / i)
 
 
-def amortise(loans: DataFrame, prepayments: DataFrame | None = None) -> DataFrame:
-    """Schedule rows of every loan; row k is the start month plus k - 1.
+def amortise(loans: DataFrame, prepayments: DataFrame | None = None, between: tuple[dt.date, dt.date] | None = None) -> DataFrame:
+    """Schedule rows of every loan until nothing is owed; row k is the start month plus k - 1.
 
-    Prepayments (loan_id, month_no, amount) are made after the month's instalment and trimmed to what is left;
-    those before the first month count in it. An instalment that does not cover the first month's interest gives one
-    row with `never` set. All loans of a batch go through the months together.
+    Prepayments (book_id, loan_id, month_no, amount) are made after the month's instalment and trimmed to what is left;
+    those before the first month count in it. An instalment that does not cover the first month's interest, or pays off
+    less than a float can show, gives one row with `never` set. With `between`, only rows of months from the first day's
+    to the last day's are made; earlier months are computed, later ones not. All loans of a batch go through
+    the months together.
     """
-    base = loans.select("book_id", F.col("id").alias("loan_id"), "principal", "rate", "months", F.coalesce("emi", emi(F.col("principal"), F.col("rate"), F.col("months"))).alias("emi"))
+    base = loans.select(
+        "book_id", F.col("id").alias("loan_id"), "principal", "rate", F.coalesce("emi", emi(F.col("principal"), F.col("rate"), F.col("months"))).alias("emi"),
+        *(month_diff(F.col("start"), F.lit(day)).alias(name) for day, name in zip(between or (), ("lo", "hi"))),
+    )
     if prepayments is None:
-        base = base.withColumn("extras", F.lit(None).cast("map<int, double>"))
+        base = base.withColumns({"m": F.array().cast("array<int>"), "a": F.array().cast("array<double>")})
     else:
-        per = prepayments.groupBy("loan_id", F.greatest("month_no", F.lit(1)).alias("m")).agg(F.sum("amount").alias("a"))
-        per = per.groupBy("loan_id").agg(F.map_from_entries(F.collect_list(F.struct("m", "a"))).alias("extras"))
-        base = base.join(per, "loan_id", "left")
+        per = prepayments.groupBy("book_id", "loan_id", F.greatest("month_no", F.lit(1)).alias("m")).agg(F.sum("amount").alias("a"))
+        per = per.groupBy("book_id", "loan_id").agg(F.sort_array(F.collect_list(F.struct("m", "a"))).alias("x"))
+        base = base.join(per.select("book_id", "loan_id", F.col("x.m").alias("m"), F.col("x.a").alias("a")), ["book_id", "loan_id"], "left")
+    names = [c.split()[0] for c in SCHEDULE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            owed, rate, due = b["principal"].to_numpy(float), b["rate"].to_numpy(float) / 1200, b["emi"].to_numpy(float)
-            extras = [dict(x) if x is not None else {} for x in b["extras"]]
-            never = (due <= owed * rate) & (owed > 0)
-            live, k, out = np.flatnonzero(owed > 0), 0, []
-            while len(live) and k < LONGEST:
+            owed, rate, due = b["principal"].to_numpy(float).copy(), b["rate"].to_numpy(float) / 1200, b["emi"].to_numpy(float)
+            lo, hi = (b["lo"].to_numpy() + 1, b["hi"].to_numpy() + 1) if between else (np.zeros(len(b)), np.full(len(b), np.inf))
+            of = np.repeat(np.arange(len(b)), [0 if m is None else len(m) for m in b["m"]])
+            months, amounts = (np.concatenate([np.empty(0), *(x for x in b[c] if x is not None)]) for c in ("m", "a"))
+            order = np.argsort(months, kind="stable")
+            of, months, amounts = of[order], months[order], amounts[order]
+            never = (owed > 0) & ((due <= owed * rate) | (owed - (due - owed * rate) == owed))
+            live, k, out, held = np.flatnonzero(owed > 0), 0, [], 0
+
+            def rows(out: list[tuple]) -> pd.DataFrame:
+                i, *columns = (np.concatenate(c) for c in zip(*out))
+                made = pd.DataFrame(dict(zip(names[2:8], columns)))
+                return made.assign(book_id=b["book_id"].to_numpy()[i], loan_id=b["loan_id"].to_numpy()[i], never=never[i])[names]
+
+            while len(live):
                 k += 1
                 opening = owed[live]
                 interest = opening * rate[live]
                 part = np.where(never[live], due[live] - interest, np.minimum(due[live] - interest, opening))
                 part = np.where(opening - part < 0.005, opening, part)
-                extra = np.minimum([extras[j].get(k, 0.0) for j in live], opening - part)
-                extra = np.where(never[live], 0.0, extra)
+                now = slice(*np.searchsorted(months, [k, k + 1]))
+                paid = np.zeros(len(owed))
+                paid[of[now]] = amounts[now]
+                extra = np.where(never[live], 0.0, np.minimum(paid[live], opening - part))
                 closing = opening - part - extra
                 closing = np.where(closing < 0.005, 0.0, closing)
-                out.append(pd.DataFrame({"i": live, "month_no": k, "opening": opening, "interest": interest, "principal_paid": part, "extra": extra, "closing": closing}))
+                shown = (lo[live] <= k) & (k <= hi[live])
+                if shown.any():
+                    out.append(tuple(x[shown] for x in (live, np.full(len(live), k), opening, interest, part, extra, closing)))
+                    held += int(shown.sum())
+                    if held >= CHUNK:
+                        yield rows(out)
+                        out, held = [], 0
                 owed[live] = closing
-                live = live[(closing > 0) & ~never[live]]
+                live = live[(closing > 0) & ~never[live] & (k < hi[live])]
             if out:
-                rows = pd.concat(out, ignore_index=True)
-                i = rows.pop("i").to_numpy()
-                yield rows.assign(book_id=b["book_id"].to_numpy()[i], loan_id=b["loan_id"].to_numpy()[i], never=never[i])[[c.split()[0] for c in SCHEDULE.split(", ")]]
+                yield rows(out)
 
     return base.mapInPandas(run, SCHEDULE)
 
@@ -81,15 +105,17 @@ def schedule_summary(schedule: DataFrame, loans: DataFrame) -> DataFrame:
 
 
 def loan_status(schedule: DataFrame, plain: DataFrame, loans: DataFrame, today: dt.date) -> DataFrame:
-    """Interest to date, balance now, months left, and what prepayments save against the schedule without them."""
+    """Interest to date, balance now, months left, the month it clears (null: never), and what prepayments save against
+    the schedule without them."""
     past = F.add_months("start", F.col("month_no") - 1) <= F.lit(today)
     rows = schedule.join(loans.select("book_id", F.col("id").alias("loan_id"), "start", "principal"), ["book_id", "loan_id"])
     now = rows.groupBy("book_id", "loan_id").agg(
         F.coalesce(F.sum(F.when(past, F.col("interest"))), F.lit(0.0)).alias("interest_to_date"),
         F.coalesce(F.max_by("closing", F.when(past, F.col("month_no"))), F.first("principal")).alias("balance"),
         F.count("*").alias("months"), F.sum("interest").alias("interest"),
+        F.max(F.when(~F.col("never") & (F.col("closing") == 0), F.trunc(F.add_months("start", F.col("month_no") - 1), "month"))).alias("clears"),
     )
     was = plain.groupBy("book_id", "loan_id").agg(F.count("*").alias("m0"), F.sum("interest").alias("i0"))
     return now.join(was, ["book_id", "loan_id"]).select(
-        "book_id", "loan_id", "interest_to_date", "balance", "months", (F.col("m0") - F.col("months")).alias("months_saved"), (F.col("i0") - F.col("interest")).alias("interest_saved")
+        "book_id", "loan_id", "interest_to_date", "balance", "months", "clears", (F.col("m0") - F.col("months")).alias("months_saved"), (F.col("i0") - F.col("interest")).alias("interest_saved")
     )

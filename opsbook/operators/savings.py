@@ -44,8 +44,11 @@ def rd_value(monthly: Column, rate: Column, comp: Column, months: Column, start:
     return F.when(rate == 0, monthly * done).otherwise(monthly * F.pow(g, last) * (F.pow(g, done) - 1) / (g - 1))
 
 
+KEY = ["book_id", "id"]
+
+
 def project_savings(plans: DataFrame) -> DataFrame:
-    """(id, month_no, value, paid, instalment): v = (v + instalment) * g each month, the lump at the start.
+    """(book_id, id, month_no, value, paid, instalment): v = (v + instalment) * g each month, the lump at the start.
 
     The instalment grows by step percent every 12 months. The value is a running sum of discounted instalments
     times the growth so far, so no row waits for another.
@@ -53,29 +56,29 @@ def project_savings(plans: DataFrame) -> DataFrame:
     rows = plans.withColumn("month_no", F.explode(F.sequence(F.lit(1), F.col("years") * 12)))
     g, k = growth(F.col("rate"), F.col("comp")), F.col("month_no")
     rows = rows.withColumns({"g": g, "instalment": F.col("monthly") * F.pow(1 + F.col("step") / 100, F.floor((k - 1) / 12))})
-    w = Window.partitionBy("id").orderBy("month_no")
+    w = Window.partitionBy(*KEY).orderBy("month_no")
     flow = F.col("instalment") * F.pow("g", -(k - 1))
     value = (F.sum(flow).over(w) + F.col("lump")) * F.pow("g", k)
-    return rows.select("id", "month_no", value.alias("value"), (F.sum("instalment").over(w) + F.col("lump")).alias("paid"), "instalment")
+    return rows.select(*KEY, "month_no", value.alias("value"), (F.sum("instalment").over(w) + F.col("lump")).alias("paid"), "instalment")
 
 
 def _unit_value(plans: DataFrame) -> DataFrame:
     """Final value of an instalment of 1 with the plan's steps, and the growth of a lump of 1."""
     unit = plans.withColumns({"monthly": F.lit(1.0), "lump": F.lit(0.0)})
-    end = project_savings(unit).groupBy("id").agg(F.max_by("value", "month_no").alias("unit"))
-    return plans.join(end, "id").withColumn("lump_growth", F.pow(growth(F.col("rate"), F.col("comp")), F.col("years") * 12))
+    end = project_savings(unit).groupBy(*KEY).agg(F.max_by("value", "month_no").alias("unit"))
+    return plans.join(end, KEY).withColumn("lump_growth", F.pow(growth(F.col("rate"), F.col("comp")), F.col("years") * 12))
 
 
 def solve_monthly(plans: DataFrame) -> DataFrame:
-    """(id, needed): the instalment that reaches the target; 0 if the lump does."""
+    """(book_id, id, needed): the instalment that reaches the target; 0 if the lump does."""
     need = (F.col("target") - F.col("lump") * F.col("lump_growth")) / F.col("unit")
-    return _unit_value(plans).select("id", F.greatest(need, F.lit(0.0)).alias("needed"))
+    return _unit_value(plans).select(*KEY, F.greatest(need, F.lit(0.0)).alias("needed"))
 
 
 def solve_lump(plans: DataFrame) -> DataFrame:
-    """(id, needed): the lump that reaches the target beside the instalments; 0 if they do."""
+    """(book_id, id, needed): the lump that reaches the target beside the instalments; 0 if they do."""
     need = (F.col("target") - F.col("monthly") * F.col("unit")) / F.col("lump_growth")
-    return _unit_value(plans).select("id", F.greatest(need, F.lit(0.0)).alias("needed"))
+    return _unit_value(plans).select(*KEY, F.greatest(need, F.lit(0.0)).alias("needed"))
 
 
 # --- returns ------------------------------------------------------------------------------------------------
@@ -131,20 +134,22 @@ def irr(flows: DataFrame, key: list[str]) -> DataFrame:
 
 def plan_flows(projected: DataFrame, plans: DataFrame) -> DataFrame:
     """Signed flows of a plan: the lump and instalments paid in, the final value taken out at the end."""
-    paid = projected.select("id", (F.col("month_no") - 1).alias("month"), (-F.col("instalment")).alias("amount"))
-    lump = plans.where("lump <> 0").select("id", F.lit(0).alias("month"), (-F.col("lump")).alias("amount"))
-    end = projected.groupBy("id").agg(F.max("month_no").alias("month"), F.max_by("value", "month_no").alias("amount"))
+    paid = projected.select(*KEY, (F.col("month_no") - 1).alias("month"), (-F.col("instalment")).alias("amount"))
+    lump = plans.where("lump <> 0").select(*KEY, F.lit(0).alias("month"), (-F.col("lump")).alias("amount"))
+    end = projected.groupBy(*KEY).agg(F.max("month_no").alias("month"), F.max_by("value", "month_no").alias("amount"))
     return paid.unionByName(lump).unionByName(end)
 
 
 def period_returns(projected: DataFrame, plans: DataFrame, months: int) -> DataFrame:
-    """(id, period, value, paid, period_return): each `months` months, the money-weighted return on opening value and flows."""
+    """(book_id, id, period, value, paid, period_return): each `months` months, the money-weighted return on opening value
+    and flows."""
+    each = [*KEY, "period"]
     rows = projected.withColumn("period", F.ceil(F.col("month_no") / months).cast("int"))
-    end = rows.groupBy("id", "period").agg(F.max_by("value", "month_no").alias("value"), F.max_by("paid", "month_no").alias("paid"), F.count("*").alias("n"))
-    opening = F.lag("value").over(Window.partitionBy("id").orderBy("period"))
-    end = end.join(plans.select("id", "lump"), "id").withColumn("opening", F.coalesce(opening, F.col("lump")))
-    flows = rows.select("id", "period", ((F.col("month_no") - 1) % months).alias("month"), (-F.col("instalment")).alias("amount"))
-    flows = flows.unionByName(end.select("id", "period", F.lit(0).alias("month"), (-F.col("opening")).alias("amount")))
-    flows = flows.unionByName(end.select("id", "period", F.col("n").cast("int").alias("month"), F.col("value").alias("amount")))
-    rate = irr(flows, ["id", "period"])
-    return end.join(rate, ["id", "period"]).select("id", "period", "value", "paid", (F.pow(1 + F.col("monthly_rate"), F.col("n")) - 1).alias("period_return"))
+    end = rows.groupBy(*each).agg(F.max_by("value", "month_no").alias("value"), F.max_by("paid", "month_no").alias("paid"), F.count("*").alias("n"))
+    opening = F.lag("value").over(Window.partitionBy(*KEY).orderBy("period"))
+    end = end.join(plans.select(*KEY, "lump"), KEY).withColumn("opening", F.coalesce(opening, F.col("lump")))
+    flows = rows.select(*each, ((F.col("month_no") - 1) % months).alias("month"), (-F.col("instalment")).alias("amount"))
+    flows = flows.unionByName(end.select(*each, F.lit(0).alias("month"), (-F.col("opening")).alias("amount")))
+    flows = flows.unionByName(end.select(*each, F.col("n").cast("int").alias("month"), F.col("value").alias("amount")))
+    rate = irr(flows, each)
+    return end.join(rate, each).select(*each, "value", "paid", (F.pow(1 + F.col("monthly_rate"), F.col("n")) - 1).alias("period_return"))

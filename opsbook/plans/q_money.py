@@ -40,7 +40,7 @@ def q62_loan_balance(spark, sf):
     return money(rows.select("book_id", "id", "k", loans.loan_balance(c("principal"), c("rate"), c("months"), c("k")).alias("balance")), "balance")
 
 
-SCHEDULE = f"""WITH RECURSIVE pre AS (SELECT loan_id, month_no, sum(amount) AS amount FROM prepayments GROUP BY 1, 2),
+SCHEDULE = f"""WITH RECURSIVE pre AS (SELECT book_id, loan_id, month_no, sum(amount) AS amount FROM prepayments GROUP BY 1, 2, 3),
 base AS (SELECT book_id, id AS loan_id, principal, rate / 1200 AS i, coalesce(emi, {EMI}) AS e FROM loans),
 s AS (
   SELECT book_id, loan_id, i, e, 0 AS month_no, CAST(0 AS DOUBLE) AS opening, CAST(0 AS DOUBLE) AS interest, CAST(0 AS DOUBLE) AS principal_paid, CAST(0 AS DOUBLE) AS extra, CAST(principal AS DOUBLE) AS closing, e <= principal * i AS never FROM base
@@ -49,17 +49,17 @@ s AS (
     SELECT q.*, CASE WHEN never THEN 0 ELSE least(coalesce(p.amount, 0), opening - part) END AS extra FROM (
       SELECT book_id, loan_id, i, e, month_no + 1 AS month_no, closing AS opening, closing * i AS interest, never,
         CASE WHEN never THEN e - closing * i WHEN closing - least(e - closing * i, closing) < 0.005 THEN closing ELSE least(e - closing * i, closing) END AS part
-      FROM s WHERE closing > 0 AND NOT (never AND month_no = 1) AND month_no < 1200) q LEFT JOIN pre p ON p.loan_id = q.loan_id AND p.month_no = q.month_no)
+      FROM s WHERE closing > 0 AND NOT (never AND month_no = 1){{until}}) q LEFT JOIN pre p ON p.book_id = q.book_id AND p.loan_id = q.loan_id AND p.month_no = q.month_no)
 ), schedule AS (SELECT book_id, loan_id, month_no, opening, interest, principal_paid, extra, closing, never FROM s WHERE month_no > 0)"""
 
 
-def _recursive(sql, *names):
+def _recursive(sql, *names, until=""):
     """The views as expressions after WITH RECURSIVE."""
-    return SCHEDULE.replace("WITH RECURSIVE pre", "WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in ("loans", "prepayments", *names)) + ", pre") + sql
+    return SCHEDULE.replace("{until}", until).replace("WITH RECURSIVE pre", "WITH RECURSIVE " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in ("loans", "prepayments", *names)) + ", pre") + sql
 
 
-def _schedule(spark, sf):
-    return loans.amortise(view(spark, sf, "loans"), view(spark, sf, "prepayments"))
+def _schedule(spark, sf, between=None):
+    return loans.amortise(view(spark, sf, "loans"), view(spark, sf, "prepayments"), between)
 
 
 @query(_recursive(" SELECT book_id, loan_id, month_no, round(opening + 1e-7, 4) + 0.0 AS opening, round(interest + 1e-7, 4) + 0.0 AS interest, round(principal_paid + 1e-7, 4) + 0.0 AS principal_paid, round(extra + 1e-7, 4) + 0.0 AS extra, round(closing + 1e-7, 4) + 0.0 AS closing, never FROM schedule"))
@@ -77,7 +77,7 @@ def q67_schedule_summary(spark, sf):
   SELECT book_id, loan_id, CASE WHEN e <= principal * i THEN 1 ELSE months END AS m0, CASE WHEN e <= principal * i THEN principal * i WHEN i = 0 THEN 0 ELSE e * months - principal END AS i0
   FROM (SELECT book_id, id AS loan_id, principal, rate / 1200 AS i, months, {EMI} AS e FROM loans WHERE emi IS NULL))
 SELECT s.book_id, s.loan_id, round(coalesce(sum(interest) FILTER (WHERE month_no <= 18), 0) + 1e-5, 2) + 0.0 AS interest_to_date, round(max_by(closing, CASE WHEN month_no <= 18 THEN month_no END) + 1e-5, 2) + 0.0 AS balance,
-count(*) AS months, any_value(m0) - count(*) AS months_saved, round(any_value(i0) - sum(interest) + 1e-3, 1) + 0.0 AS interest_saved
+count(*) AS months, CASE WHEN NOT bool_or(never) THEN CAST(DATE '2024-01-01' + to_months(CAST(count(*) - 1 AS INT)) AS DATE) END AS clears, any_value(m0) - count(*) AS months_saved, round(any_value(i0) - sum(interest) + 1e-3, 1) + 0.0 AS interest_saved
 FROM schedule s JOIN plain USING (book_id, loan_id) GROUP BY 1, 2"""))
 def q68_loan_status(spark, sf):
     own = view(spark, sf, "loans").where("emi IS NULL")
@@ -110,46 +110,63 @@ def q65_rd_value(spark, sf):
     return view(spark, sf, "holdings").where("kind = 'rd'").select("book_id", "id", savings.rd_done(c("months"), c("start"), on).alias("done"), F.round(v, 4).alias("value"))
 
 
-PROJECTED = """SELECT id, CAST(month_no AS INT) AS month_no, lump * pow(g, month_no) + sum_pow AS value, lump + paid AS paid, monthly * pow(1 + step / 100, (month_no - 1) // 12) AS instalment FROM (
-  SELECT p.id, p.month_no, p.monthly, p.lump, p.step, p.g, sum(p.monthly * pow(1 + p.step / 100, (j - 1) // 12) * pow(p.g, p.month_no - j + 1)) AS sum_pow, sum(p.monthly * pow(1 + p.step / 100, (j - 1) // 12)) AS paid
+PROJECTED = """SELECT book_id, id, CAST(month_no AS INT) AS month_no, lump * pow(g, month_no) + sum_pow AS value, lump + paid AS paid, monthly * pow(1 + step / 100, (month_no - 1) // 12) AS instalment FROM (
+  SELECT p.book_id, p.id, p.month_no, p.monthly, p.lump, p.step, p.g, sum(p.monthly * pow(1 + p.step / 100, (j - 1) // 12) * pow(p.g, p.month_no - j + 1)) AS sum_pow, sum(p.monthly * pow(1 + p.step / 100, (j - 1) // 12)) AS paid
   FROM (SELECT *, 1 + rate / 1200 AS g, unnest(range(1, years * 12 + 1)) AS month_no FROM plans) p, range(1, 61) r(j) WHERE j <= p.month_no GROUP BY ALL)"""
 
 
-@query(with_views(f"SELECT id, month_no, round(value + 1e-7, 4) AS value, round(paid + 1e-7, 4) AS paid, round(instalment + 1e-7, 4) AS instalment FROM ({PROJECTED})", "plans"))
+@query(with_views(f"SELECT book_id, id, month_no, round(value + 1e-7, 4) AS value, round(paid + 1e-7, 4) AS paid, round(instalment + 1e-7, 4) AS instalment FROM ({PROJECTED})", "plans"))
 def q69_project_savings(spark, sf):
     return money(savings.project_savings(view(spark, sf, "plans")), "value", "paid", "instalment", nudge=1e-7)
 
 
 UNIT = f"""SELECT p.*, u.unit, pow(1 + rate / 1200, years * 12) AS lump_growth FROM plans p JOIN (
-SELECT p.id, sum(pow(1 + step / 100, (j - 1) // 12) * pow(1 + rate / 1200, years * 12 - j + 1)) AS unit FROM plans p, range(1, 61) r(j) WHERE j <= years * 12 GROUP BY 1) u USING (id)"""
+SELECT p.book_id, p.id, sum(pow(1 + step / 100, (j - 1) // 12) * pow(1 + rate / 1200, years * 12 - j + 1)) AS unit FROM plans p, range(1, 61) r(j) WHERE j <= years * 12 GROUP BY 1, 2) u USING (book_id, id)"""
 
 
-@query(with_views(f"SELECT id, round(greatest((target - lump * lump_growth) / unit, 0), 4) AS needed FROM ({UNIT})", "plans"))
+@query(with_views(f"SELECT book_id, id, round(greatest((target - lump * lump_growth) / unit, 0), 4) AS needed FROM ({UNIT})", "plans"))
 def q66_solve_monthly(spark, sf):
     return money(savings.solve_monthly(view(spark, sf, "plans")), "needed")
 
 
-@query(with_views(f"SELECT id, round(greatest((target - monthly * unit) / lump_growth, 0), 4) AS needed FROM ({UNIT})", "plans"))
+@query(with_views(f"SELECT book_id, id, round(greatest((target - monthly * unit) / lump_growth, 0), 4) AS needed FROM ({UNIT})", "plans"))
 def q66_solve_lump(spark, sf):
     return money(savings.solve_lump(view(spark, sf, "plans")), "needed")
 
 
-@query(with_views("SELECT id, round(rate / 1200, 8) AS monthly_rate, round(pow(1 + rate / 1200, 12) - 1, 8) AS annual FROM plans", "plans"))
+@query(with_views("SELECT book_id, id, round(rate / 1200, 8) AS monthly_rate, round(pow(1 + rate / 1200, 12) - 1, 8) AS annual FROM plans", "plans"))
 def q70_irr(spark, sf):
     """A plan whose growth is its rate must return that rate."""
     plans = view(spark, sf, "plans")
-    out = savings.irr(savings.plan_flows(savings.project_savings(plans), plans), ["id"])
+    out = savings.irr(savings.plan_flows(savings.project_savings(plans), plans), savings.KEY)
     return out.withColumns({c: F.round(c, 8) for c in ("monthly_rate", "annual")})
 
 
-@query(with_views(f"""SELECT id, CAST(month_no // 3 AS INT) AS period, round(value + 1e-7, 4) AS value, round(paid + 1e-7, 4) AS paid, round(pow(1 + rate / 1200, 3) - 1, 7) AS period_return
-FROM ({PROJECTED}) JOIN (SELECT id, rate FROM plans) USING (id) WHERE month_no % 3 = 0""", "plans"))
+@query(with_views(f"""SELECT book_id, id, CAST(month_no // 3 AS INT) AS period, round(value + 1e-7, 4) AS value, round(paid + 1e-7, 4) AS paid, round(pow(1 + rate / 1200, 3) - 1, 7) AS period_return
+FROM ({PROJECTED}) JOIN (SELECT book_id, id, rate FROM plans) USING (book_id, id) WHERE month_no % 3 = 0""", "plans"))
 def q71_period_returns(spark, sf):
     plans = view(spark, sf, "plans")
     out = savings.period_returns(savings.project_savings(plans), plans, 3)
     return money(out, "value", "paid", nudge=1e-7).withColumn("period_return", F.round("period_return", 7))
 
 
+FLOWS = """SELECT book_id, id, month, amount FROM (
+  SELECT CAST(o_custkey % 150 AS BIGINT) AS book_id, o_custkey AS id, CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS INT) AS month,
+    CASE WHEN o_orderkey % 4 = 3 THEN o_totalprice / 2 ELSE -o_totalprice END AS amount FROM orders
+  UNION ALL SELECT CAST(o_custkey % 150 AS BIGINT), o_custkey, CAST(96 AS INT), sum(o_totalprice) FROM orders GROUP BY 1, 2)"""
+
+
+# the rate by halving, in SQL: present value of each key's flows at the middle, 46 times
+@query(f"""WITH RECURSIVE flows AS ({FLOWS}), ends AS (SELECT book_id, id, sum(amount / pow(1 - 0.99, month)) AS low, sum(amount / pow(1 + 10.0, month)) AS high FROM flows GROUP BY 1, 2),
+halves AS (SELECT book_id, id, CAST(-0.99 AS DOUBLE) AS a, CAST(10 AS DOUBLE) AS b, sign(low) AS s, 0 AS n FROM ends WHERE sign(low) * sign(high) < 0
+  UNION ALL SELECT book_id, id, CASE WHEN sign(v) = s THEN (a + b) / 2 ELSE a END, CASE WHEN sign(v) = s THEN b ELSE (a + b) / 2 END, s, n + 1 FROM (
+    SELECT h.book_id, h.id, a, b, s, n, sum(amount / pow(1 + (a + b) / 2, month)) AS v FROM halves h JOIN flows f ON f.book_id = h.book_id AND f.id = h.id WHERE n < 46 GROUP BY 1, 2, 3, 4, 5, 6))
+SELECT e.book_id, e.id, round((a + b) / 2, 7) AS monthly_rate FROM ends e LEFT JOIN (SELECT * FROM halves WHERE n = 46) h ON h.book_id = e.book_id AND h.id = e.id""")
+def q70_irr_of_uneven_flows(spark, sf):
+    spark.read.parquet(f"{sf}/orders.parquet").createOrReplaceTempView("orders")
+    return savings.irr(spark.sql(FLOWS), savings.KEY).select("book_id", "id", F.round("monthly_rate", 7).alias("monthly_rate"))
+
+
 @query(with_views("SELECT book_id, CAST(date_trunc('month', date) AS DATE) AS month, cat, round(sum(amount), 4) AS total, count(*) AS n FROM spend GROUP BY ALL", "spend"))
 def q42_spend_by_category(spark, sf):
     return money(budget.spend_by_category(view(spark, sf, "spend")), "total")
@@ -164,10 +181,12 @@ def q43_fold_other(spark, sf):
 
 
 @query(with_views("""SELECT book_id, cat, count(*) AS n, CASE WHEN CAST(substr(cat, 4) AS INT) < 5 THEN 'House' WHEN CAST(substr(cat, 4) AS INT) < 11 THEN 'Travel' ELSE 'Yours' END AS "group",
-CAST(substr(cat, 4) AS INT) >= 14 AS unlisted FROM spend GROUP BY book_id, cat""", "spend"))
+CAST(substr(cat, 4) AS INT) >= 14 - book_id % 3 AS unlisted FROM spend GROUP BY book_id, cat""", "spend"))
 def q36_category_groups(spark, sf):
     groups = spark.range(11).select(F.concat(F.lit("cat"), "id").alias("cat"), F.when(F.col("id") < 5, "House").otherwise("Travel").alias("group"))
-    return budget.category_groups(view(spark, sf, "spend"), groups, spark.range(14).select(F.concat(F.lit("cat"), "id").alias("cat")))
+    own = view(spark, sf, "spend")
+    listed = own.select("book_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), (13 - F.col("book_id") % 3).cast("int"))))
+    return budget.category_groups(own, groups, listed.select("book_id", F.concat(F.lit("cat"), "k").alias("cat")))
 
 
 K = "CASE cycle WHEN 'monthly' THEN 1 WHEN 'quarterly' THEN 3 ELSE 12 END"
@@ -187,9 +206,9 @@ inst AS (SELECT book_id, CAST(DATE '2024-01-01' + to_months(month_no - 1) AS DAT
 sp AS (SELECT book_id, CAST(date_trunc('month', date) AS DATE) AS month, sum(amount) AS spent FROM spend WHERE date >= DATE '2024-01-01' AND date < DATE '2024-07-01' GROUP BY 1, 2)
 SELECT book_id, month, round(coalesce(income, 0), 4) AS income, round(coalesce(instalments, 0), 4) AS instalments, round(coalesce(fixed, 0), 4) AS fixed, round(coalesce(spent, 0), 4) AS spent,
 round(coalesce(income, 0) - coalesce(instalments, 0) - coalesce(fixed, 0) - coalesce(spent, 0), 4) + 0.0 AS "left"
-FROM inc FULL JOIN inst USING (book_id, month) FULL JOIN fix USING (book_id, month) FULL JOIN sp USING (book_id, month)""", "cash_items", "spend"))
+FROM inc FULL JOIN inst USING (book_id, month) FULL JOIN fix USING (book_id, month) FULL JOIN sp USING (book_id, month)""", "cash_items", "spend", until=" AND month_no < 6"))
 def q45_month_summary(spark, sf):
-    out = budget.month_summary(view(spark, sf, "cash_items"), _schedule(spark, sf), view(spark, sf, "loans"), view(spark, sf, "spend"), _months(spark))
+    out = budget.month_summary(view(spark, sf, "cash_items"), _schedule(spark, sf, (dt.date(2024, 1, 1), dt.date(2024, 6, 1))), view(spark, sf, "loans"), view(spark, sf, "spend"), _months(spark))
     return money(out, "income", "instalments", "fixed", "spent", "left")
 
 
@@ -229,7 +248,7 @@ def q18_stale_prices(spark, sf):
     return budget.stale_prices(own, TODAY).select("book_id", "id", "asof")
 
 
-@query(with_views("""SELECT h.id AS holding_id, m.day, (SELECT max_by(p, d) FROM prices p WHERE p.holding_id = h.id AND p.d <= m.day) AS price
+@query(with_views("""SELECT h.book_id, h.id AS holding_id, m.day, (SELECT max_by(p, d) FROM prices p WHERE p.book_id = h.book_id AND p.holding_id = h.id AND p.d <= m.day) AS price
 FROM holdings h, (SELECT CAST(unnest(range(DATE '1995-06-01', DATE '2002-01-01', INTERVAL 6 MONTH)) AS DATE) AS day) m""", "holdings", "prices"))
 def q33_price_asof(spark, sf):
     days = [dt.date(y, m, 1) for y in range(1995, 2002) for m in (6, 12)]
@@ -245,7 +264,7 @@ def q56_one_per_day(spark, sf):
     return budget.one_per_day(rows, ["holding_id"])
 
 
-@query(with_views('SELECT holding_id, min_by(p, d) AS "first", max_by(p, d) AS "last", count(*) AS n, round(max_by(p, d) / min_by(p, d) - 1, 8) AS change FROM prices GROUP BY 1 HAVING count(*) >= 2', "prices"))
+@query(with_views('SELECT book_id, holding_id, min_by(p, d) AS "first", max_by(p, d) AS "last", count(*) AS n, round(max_by(p, d) / min_by(p, d) - 1, 8) AS change FROM prices GROUP BY 1, 2 HAVING count(*) >= 2', "prices"))
 def q57_price_trend(spark, sf):
     return budget.price_trend(view(spark, sf, "prices")).withColumn("change", F.round("change", 8))
 
@@ -258,6 +277,14 @@ def q37_apply_price_sheet(spark, sf):
     return money(budget.apply_price_sheet(own, sheet, TODAY)[0].select("book_id", "id", "price", "asof"), "price")
 
 
+@query(with_views(f"""SELECT book_id, DATE '2002-06-15' AS d, round(sum(CASE WHEN kind IN ('fd', 'rd') OR substr(id, 2)::INT % 3 <> 0 THEN value ELSE value * 1.1 END), 4) AS value, round(sum(cost), 4) AS cost
+FROM ({HELD}) GROUP BY book_id HAVING bool_or(kind NOT IN ('fd', 'rd') AND substr(id, 2)::INT % 3 = 0)""", "holdings"))
+def q37_snapshot(spark, sf):
+    own = view(spark, sf, "holdings").withColumn("asof", F.col("start"))
+    sheet = own.where("cast(substring(id, 2, 9) as int) % 3 = 0").select("book_id", "id", (F.col("price") * 1.1).alias("price"))
+    return money(budget.snapshot(*budget.apply_price_sheet(own, sheet, ASOF), ASOF), "value", "cost")
+
+
 @query(with_views("SELECT book_id, string_agg(DISTINCT cat, ',' ORDER BY cat) AS cats FROM spend GROUP BY 1", "spend"))
 def q58_merge_categories(spark, sf):
     own = view(spark, sf, "spend")

@@ -23,7 +23,7 @@ FROM orders""",
     "extras": """SELECT CAST(o_custkey % 40 AS INT) AS book_id, 'x' || CAST(o_orderkey AS STRING) AS id,
        'Extra ' || CAST(o_orderkey % 31 AS STRING) AS job, CAST(o_orderdate AS DATE) AS date,
        o_orderkey % 2 = 0 AS ra, 'PERMIT ' || CAST(o_orderkey % 11 AS STRING) AS ptw_type, '' AS remarks
-FROM orders WHERE o_orderkey % 11 = 0""",
+FROM orders""",
     "photo_refs": """SELECT CAST(o.o_custkey % 40 AS INT) AS book_id, 'j' || CAST(o.o_orderkey AS STRING) AS job_id, n.i AS pos,
        'p:' || CAST(o.o_orderkey AS STRING) || '-' || CAST(n.i AS STRING) AS ref
 FROM orders o JOIN (VALUES (0),(1),(2),(3),(4)) AS n(i) ON n.i < o.o_orderkey % 6""",
@@ -46,18 +46,18 @@ FROM events WHERE event_type IN ('purchase','click')""",
        CAST(12 * (1 + c_custkey % 20) AS INT) AS months, CAST('2024-01-01' AS DATE) AS start,
        CASE WHEN c_custkey % 41 = 0 THEN CAST(100.0 AS DOUBLE) END AS emi
 FROM customer""",
-    "prepayments": """SELECT 'l' || CAST(o_custkey AS STRING) AS loan_id, 'p' || CAST(o_orderkey AS STRING) AS id,
-       CAST(1 + o_orderkey % 36 AS INT) AS month_no, o_totalprice / 10 AS amount
-FROM orders WHERE o_orderkey % 8 = 0""",
+    "prepayments": """SELECT CAST(o_custkey % 150 AS BIGINT) AS book_id, 'l' || CAST(o_custkey AS STRING) AS loan_id, 'p' || CAST(o_orderkey AS STRING) AS id,
+       CAST(1 + o_orderkey % 36 AS INT) AS month_no, o_totalprice / 80 AS amount
+FROM orders""",
     "holdings": """SELECT CAST(p_partkey % 150 AS BIGINT) AS book_id, 'h' || CAST(p_partkey AS STRING) AS id,
        CASE p_partkey % 5 WHEN 0 THEN 'equity' WHEN 1 THEN 'mf' WHEN 2 THEN 'bond' WHEN 3 THEN 'fd' ELSE 'rd' END AS kind,
        CAST(p_size AS DOUBLE) AS units, p_retailprice * 0.9 AS buy, p_retailprice AS price,
        p_retailprice * 100 AS principal, p_retailprice AS monthly, CAST(5 + p_partkey % 4 AS DOUBLE) AS rate,
        CAST(12 + p_partkey % 49 AS INT) AS months, CAST(4 AS INT) AS comp, CAST('2000-01-01' AS DATE) AS start
 FROM part""",
-    "prices": """SELECT 'h' || CAST(l_partkey AS STRING) AS holding_id, CAST(l_shipdate AS DATE) AS d,
+    "prices": """SELECT CAST(l_partkey % 150 AS BIGINT) AS book_id, 'h' || CAST(l_partkey AS STRING) AS holding_id, CAST(l_shipdate AS DATE) AS d,
        max(l_extendedprice / l_quantity) AS p, max(l_orderkey) AS upd
-FROM lineitem WHERE l_partkey % 5 < 3 GROUP BY 1, 2""",
+FROM lineitem WHERE l_partkey % 5 < 3 GROUP BY 1, 2, 3""",
     "side_a": """SELECT CAST(o_custkey % 40 AS INT) AS book_id, 'jobs' AS list, 'j' || CAST(o_orderkey AS STRING) AS id,
        o_orderkey % 1000 AS upd, CAST(o_orderkey % 2 AS INT) AS ctr, 'dA' AS dev, o_totalprice AS amount
 FROM orders WHERE o_orderkey % 3 <> 0""",
@@ -66,7 +66,7 @@ FROM orders WHERE o_orderkey % 3 <> 0""",
 FROM orders WHERE o_orderkey % 3 <> 1""",
     "tombs": """SELECT CAST(o_custkey % 40 AS INT) AS book_id, 'j' || CAST(o_orderkey AS STRING) AS id,
        (o_orderkey * 3) % 1000 AS upd, CAST(0 AS INT) AS ctr, 'dB' AS dev
-FROM orders WHERE o_orderkey % 10 = 0""",
+FROM orders WHERE o_orderkey % 10 = 0""",  # the records that were deleted
     "voyages": """SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) AS departure,
        CAST(CASE WHEN o_orderkey % 19 = 0 THEN NULL ELSE 100 + o_orderkey % 5000 END AS DOUBLE) AS distance_nm,
        CAST((o_orderkey % 200) / 10.0 AS DOUBLE) AS speed_kn
@@ -93,11 +93,11 @@ FROM supplier""",
 FROM events WHERE event_type = 'signup'""",
     "search_docs": """SELECT doc_id, source AS category, substring(text, 1, 80) AS title, text AS body, doc_id % 10 = 0 AS pinned
 FROM documents""",
-    "plans": """SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 0.0 ELSE 1000.0 + c_custkey % 90 END AS monthly,
+    "plans": """SELECT CAST(c_custkey % 150 AS BIGINT) AS book_id, CAST((c_custkey - c_custkey % 150) / 150 AS BIGINT) AS id, CASE WHEN c_custkey % 12 IN (3, 6, 9) THEN 0.0 ELSE 1000.0 + c_custkey % 90 END AS monthly,
        CASE WHEN c_custkey % 3 = 0 THEN 50000.0 ELSE 0.0 END AS lump, CAST(4 + c_custkey % 9 AS DOUBLE) AS rate,
        CAST(1 + c_custkey % 5 AS INT) AS years, CAST(c_custkey % 3 * 5 AS DOUBLE) AS step, CAST(12 AS INT) AS comp,
        CAST(200000 AS DOUBLE) AS target
-FROM customer WHERE c_custkey % 4 <> 0 OR c_custkey % 3 = 0""",
+FROM customer""",
     "repeat_days": "SELECT * FROM (VALUES ('daily',1),('weekly',7),('fortnightly',14),('monthly',30),('quarterly',90),('halfyearly',180),('yearly',365)) AS t(code, days)",
 }
 
