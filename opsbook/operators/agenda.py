@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 
 
 
-def project_occurrences(jobs: DataFrame, repeat_days: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
-    """Forecast days due + k * interval (k >= 1) of open repeating jobs, inside the period; daily jobs have none.
+def project_occurrences(jobs: DataFrame, repeat_days: DataFrame, start: dt.date, end: dt.date, daily: bool = False) -> DataFrame:
+    """Forecast days due + k * interval (k >= 1) of open repeating jobs, inside the period; of daily jobs only if asked.
 
     The first occurrence in the period is found by division, so old due dates make no extra rows.
     """
-    own = jobs.where("not done and due is not null and repeat <> 'daily'").join(F.broadcast(repeat_days), F.col("repeat") == F.col("code"))
+    own = jobs.where("not done and due is not null" + ("" if daily else " and repeat <> 'daily'")).join(repeat_days, F.col("repeat") == F.col("code"))
     k = F.greatest(F.lit(1), F.ceil(F.date_diff(F.lit(start), "due") / F.col("days"))).cast("int")
     first = own.withColumn("first", F.date_add("due", (k * F.col("days")).cast("int"))).where(F.col("first") <= F.lit(end))
     steps = F.sequence(F.lit(0), F.floor(F.date_diff(F.lit(end), "first") / F.col("days")).cast("int"))
-    return first.withColumn("k", F.explode(steps)).select("book_id", "id", "job", "priority", F.expr("date_add(first, k * days)").alias("day"))
+    return first.withColumn("k", F.explode(steps)).select("book_id", "id", "job", "priority", *(["repeat"] if daily else []), F.expr("date_add(first, k * days)").alias("day"))
 
 
 def roll_daily(jobs: DataFrame, today: dt.date) -> DataFrame:
@@ -43,25 +43,35 @@ def birthdays_on(birthdays: DataFrame, days: DataFrame, kind: str | None = None,
     return month_day_matches(own, days, feb29)
 
 
-def build_agenda(jobs: DataFrame, repeat_days: DataFrame, today: dt.date, months: int = 3) -> DataFrame:
-    """Rows (book_id, day, id, job, priority, done, note, forecast, daily) of so many months each side of today.
+def build_agenda(jobs: DataFrame, repeat_days: DataFrame, today: dt.date, months: int = 3, birthdays: DataFrame | None = None) -> DataFrame:
+    """Rows (book_id, day, id, job, priority, done, note, forecast, daily, birthday) of so many months each side of today.
 
-    Dated jobs stand on their day; open overdue ones also on today, undated open ones on today.
+    Dated jobs stand on their day; open overdue ones also on today, undated open ones on today. Daily jobs are rolled to
+    today and projected onto the days ahead like others, and flagged. birthdays: (book_id, id, label, dob), on each day
+    of the period that is theirs.
     """
-    start, end = F.add_months(F.lit(today), -months), F.add_months(F.lit(today), months)
+    first, last = _shift(today, -months), _shift(today, months)
+    jobs = roll_daily(jobs, today)
     base = ["book_id", "id", "job", "priority", "done"]
     daily = (F.coalesce("repeat", F.lit("")) == "daily").alias("daily")
 
-    def rows(df: DataFrame, day, note: str, forecast: bool = False) -> DataFrame:
-        return df.select(*base, day.alias("day"), F.lit(note).alias("note"), F.lit(forecast).alias("forecast"), daily)
+    def rows(df: DataFrame, day, note: str) -> DataFrame:
+        return df.select(*base, day.alias("day"), F.lit(note).alias("note"), F.lit(False).alias("forecast"), daily, F.lit(False).alias("birthday"))
 
-    dated = rows(jobs.where(F.col("due").between(start, end)), F.col("due"), "")
+    dated = rows(jobs.where(F.col("due").between(F.lit(first), F.lit(last))), F.col("due"), "")
     late = rows(jobs.where(~F.col("done") & (F.col("due") < F.lit(today))), F.lit(today), "overdue")
     undated = rows(jobs.where("not done and due is null"), F.lit(today), "no date")
-    first, last = _shift(today, -months), _shift(today, months)
-    ahead = project_occurrences(jobs, repeat_days, first, last)
-    ahead = ahead.select("book_id", "id", "job", "priority", F.lit(False).alias("done"), "day", F.lit("").alias("note"), F.lit(True).alias("forecast"), F.lit(False).alias("daily"))
-    return dated.unionByName(late).unionByName(undated).unionByName(ahead)
+    ahead = project_occurrences(jobs, repeat_days, first, last, daily=True).withColumn("done", F.lit(False))
+    ahead = ahead.select(*base, "day", F.lit("").alias("note"), F.lit(True).alias("forecast"), daily, F.lit(False).alias("birthday"))
+    out = dated.unionByName(late).unionByName(undated).unionByName(ahead)
+    if birthdays is None:
+        return out
+    days = jobs.sparkSession.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day"))
+    theirs = month_day_matches(birthdays.select("book_id", "id", "label", "dob"), days)
+    return out.unionByName(theirs.select(
+        "book_id", "id", F.col("label").alias("job"), F.lit("normal").alias("priority"), F.lit(False).alias("done"), "day", F.lit("").alias("note"),
+        F.lit(False).alias("forecast"), F.lit(False).alias("daily"), F.lit(True).alias("birthday"),
+    ))
 
 
 def _shift(d: dt.date, months: int) -> dt.date:
@@ -73,14 +83,19 @@ def _shift(d: dt.date, months: int) -> dt.date:
 def month_cells(agenda: DataFrame, cap: int = 3) -> DataFrame:
     """Per book and day: how many entries, the first `cap`, how many more, and the cell's severity.
 
-    Daily jobs are left out. Severity: overdue or urgent, important, all done, plain.
+    Daily jobs are left out; birthdays come first, then overdue jobs. Severity: overdue or urgent, important, only
+    birthdays, all done, plain.
     """
     own = agenda.where(~F.col("daily"))
-    order = Window.partitionBy("book_id", "day").orderBy("done", "job", "id", "note", "forecast")
+    order = Window.partitionBy("book_id", "day").orderBy(F.desc("birthday"), F.col("note") != "overdue", "done", "job", "id", "note", "forecast")
     ranked = own.withColumn("rn", F.row_number().over(order))
-    hot = F.max(F.when(~F.col("done") & ((F.col("note") == "overdue") | (F.col("priority") == "urgent")), 1).otherwise(0))
-    warm = F.max(F.when(~F.col("done") & (F.col("priority") == "important"), 1).otherwise(0))
-    severity = F.when(hot == 1, "urgent").when(warm == 1, "important").when(F.min(F.col("done").cast("int")) == 1, "done").otherwise("plain")
+    job = ~F.col("birthday")
+    hot = F.max(F.when(job & ~F.col("done") & ((F.col("note") == "overdue") | (F.col("priority") == "urgent")), 1).otherwise(0))
+    warm = F.max(F.when(job & ~F.col("done") & (F.col("priority") == "important"), 1).otherwise(0))
+    severity = (
+        F.when(hot == 1, "urgent").when(warm == 1, "important").when(F.bool_and("birthday"), "birthday")
+        .when(F.bool_and(F.col("birthday") | F.col("done")), "done").otherwise("plain")
+    )
     shown = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= cap, F.struct("rn", "job")))), lambda x: x["job"]), "; ")
     return ranked.groupBy("book_id", "day").agg(F.count("*").alias("n"), shown.alias("shown"), F.greatest(F.count("*") - cap, F.lit(0)).alias("more"), severity.alias("severity"))
 
@@ -89,27 +104,33 @@ def reminder_summary(agenda: DataFrame, today: dt.date, settings: DataFrame, min
     """One reminder per book with outstanding entries today: counts, wording and the first three texts.
 
     settings: (book_id, enabled, at_minute, last_sent). A book gets none when disabled, before its minute, or
-    when sent today already.
+    when sent today already. Birthdays are no outstanding entries.
     """
-    due = agenda.where((F.col("day") == F.lit(today)) & ~F.col("done") & ~F.col("forecast"))
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("job", "id"))), lambda x: x["job"])
-    per = due.groupBy("book_id").agg(F.count("*").alias("outstanding"), F.count_if(F.col("note") == "overdue").alias("overdue"), texts.alias("t"))
+    due = agenda.where((F.col("day") == F.lit(today)) & ~F.col("done") & ~F.col("forecast") & ~F.col("birthday"))
+    ranked = due.withColumn("rn", F.row_number().over(Window.partitionBy("book_id").orderBy("job", "id")))
+    texts = F.transform(F.sort_array(F.collect_list(F.when(F.col("rn") <= 3, F.struct("rn", "job")))), lambda x: x["job"])
+    per = ranked.groupBy("book_id").agg(F.count("*").alias("outstanding"), F.count_if(F.col("note") == "overdue").alias("overdue"), texts.alias("t"))
     allowed = settings.where(F.col("enabled") & (F.col("at_minute") <= minute) & (F.col("last_sent").isNull() | (F.col("last_sent") < F.lit(today))))
     words = F.concat(F.col("outstanding").cast("string"), F.when(F.col("outstanding") == 1, " job today").otherwise(" jobs today"))
     title = F.when(F.col("overdue") > 0, F.concat(words, F.lit(", "), F.col("overdue").cast("string"), F.lit(" overdue"))).otherwise(words)
-    body = F.concat(F.array_join(F.slice("t", 1, 3), "; "), F.when(F.col("outstanding") > 3, "…").otherwise(""))
+    body = F.concat(F.array_join("t", "; "), F.when(F.col("outstanding") > 3, "…").otherwise(""))
     return per.join(allowed.select("book_id"), "book_id", "left_semi").select("book_id", "outstanding", "overdue", title.alias("title"), body.alias("body"))
 
 
 def agenda_payload(agenda: DataFrame) -> DataFrame:
-    """(book_id, day, payload): the day's entries as JSON; a day without entries has no row."""
+    """(book_id, day, payload): the day's `jobs` and `bdays` (labels) as JSON; a day without entries has no row."""
     entry = F.struct(
         F.col("id").alias("i"), F.col("job").alias("t"), F.col("priority").alias("p"), F.col("done").alias("d"), F.col("forecast").alias("r"), F.col("note").alias("w"), F.col("daily").alias("dy")
     )
-    return agenda.groupBy("book_id", "day").agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("payload"))
+    jobs, bdays = F.collect_list(F.when(~F.col("birthday"), entry)), F.collect_list(F.when(F.col("birthday"), F.col("job")))
+    return agenda.groupBy("book_id", "day").agg(F.to_json(F.struct(F.sort_array(jobs).alias("jobs"), F.sort_array(bdays).alias("bdays"))).alias("payload"))
 
 
 def read_agenda(payloads: DataFrame) -> DataFrame:
-    kind = "array<struct<i: string, t: string, p: string, d: boolean, r: boolean, w: string, dy: boolean>>"
-    rows = payloads.select("book_id", "day", F.explode(F.from_json("payload", kind)).alias("e"))
-    return rows.select("book_id", "day", *(F.col(f"e.{a}").alias(b) for a, b in (("i", "id"), ("t", "job"), ("p", "priority"), ("d", "done"), ("r", "forecast"), ("w", "note"), ("dy", "daily"))))
+    """Jobs and birthdays of the payloads; a birthday has its label and day only."""
+    kind = "struct<jobs: array<struct<i: string, t: string, p: string, d: boolean, r: boolean, w: string, dy: boolean>>, bdays: array<string>>"
+    days = payloads.select("book_id", "day", F.from_json("payload", kind).alias("a"))
+    rows = days.select("book_id", "day", F.explode("a.jobs").alias("e"))
+    jobs = rows.select("book_id", "day", *(F.col(f"e.{a}").alias(b) for a, b in (("i", "id"), ("t", "job"), ("p", "priority"), ("d", "done"), ("r", "forecast"), ("w", "note"), ("dy", "daily"))), F.lit(False).alias("birthday"))
+    bdays = days.select("book_id", "day", F.explode("a.bdays").alias("job"), F.lit(True).alias("birthday"))
+    return jobs.unionByName(bdays, allowMissingColumns=True)

@@ -19,8 +19,8 @@ def _remarks() -> Column:
 
 
 def expand_calls(calls: DataFrame, checklist: DataFrame) -> DataFrame:
-    """A job for each call and item of its kind's checklist. The checklist is a short template table."""
-    rows = calls.join(F.broadcast(checklist.select("kind", "seq", "item", "ra", "ptw")), "kind")
+    """A job for each call and item of its kind's checklist."""
+    rows = calls.join(checklist.select("kind", "seq", "item", "ra", "ptw"), "kind")
     title = F.when(F.coalesce("port", F.lit("")) != "", F.concat(F.col("item"), F.lit(" — "), F.col("port"))).otherwise(F.col("item"))
     return rows.select(
         "book_id", F.concat(F.col("id"), F.lit("/"), F.col("seq").cast("string")).alias("id"), F.col("id").alias("call_id"), title.alias("job"), call_day().alias("due"),
@@ -29,11 +29,12 @@ def expand_calls(calls: DataFrame, checklist: DataFrame) -> DataFrame:
 
 
 def accept_calls(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming calls whose (book, port in any case, date, kind) is new; of equal ones, the smallest id."""
+    """Incoming calls whose (book, port in any case, date, kind) is new; of equal ones, the smallest id. Nulls are equal."""
     key = ["book_id", "_port", "date", "kind"]
-    have = current.select("book_id", F.lower("port").alias("_port"), "date", "kind").distinct()
+    have = current.select(F.col("book_id").alias("_b"), F.lower("port").alias("_p"), F.col("date").alias("_d"), F.col("kind").alias("_k")).distinct()
     once = incoming.withColumn("_port", F.lower("port")).groupBy(key).agg(F.min_by(F.struct(*incoming.columns), "id").alias("_r"))
-    return once.join(have, key, "left_anti").select("_r.*")
+    same = [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(key, have.columns)]
+    return once.join(have, same[0] & same[1] & same[2] & same[3], "left_anti").select("_r.*")
 
 
 def redate_calls(jobs: DataFrame, calls: DataFrame, changes: DataFrame) -> DataFrame:

@@ -86,9 +86,8 @@ def raise_next(jobs: DataFrame, repeat_days: DataFrame, children: DataFrame | No
     """The next occurrence of each closed repeating job, due so many days after it was done.
 
     children: (book_id, parent_id) of occurrences raised before; a job that has one raises no second.
-    repeat_days is the short list of intervals, so it is joined as a small table.
     """
-    closed = jobs.where("done and date_completed is not null").join(F.broadcast(repeat_days), jobs["repeat"] == repeat_days["code"])
+    closed = jobs.where("done and date_completed is not null").join(repeat_days, jobs["repeat"] == repeat_days["code"])
     new = closed.select(
         "book_id", F.concat(F.col("id"), F.lit("+")).alias("id"), F.col("id").alias("parent_id"), "job", F.expr("date_add(date_completed, days)").alias("due"),
         "priority", "remarks", "weekly_report", "planner", "ra", "ptw", "ptw_type", "repeat", F.lit(False).alias("done"),

@@ -102,21 +102,36 @@ def restore_settings(current: DataFrame, file: DataFrame) -> DataFrame:
     return j.select("book_id", "dev", F.col("_c.ms").alias("ms"), F.col("_c.c").alias("c"))
 
 
+def restore_lists(current: dict[str, DataFrame], file: dict[str, DataFrame], book_ids: DataFrame) -> dict[str, DataFrame]:
+    """Every list with the restored books (book_id) replaced by what the file has of them; other books stay.
+
+    A list that the file lacks becomes empty in those books: a restore is the file, not a merge with it.
+    """
+    books = book_ids.select("book_id").distinct()
+    out = {}
+    for name, own in current.items():
+        rest = own.join(books, "book_id", "left_anti")
+        out[name] = rest.unionByName(file[name].join(books, "book_id", "left_semi"), allowMissingColumns=True) if name in file else rest
+    return out
+
+
 # --- hybrid clocks ------------------------------------------------------------------------------------------
 
 
 def absorb_clock(clocks: DataFrame, seen: DataFrame, now: int) -> DataFrame:
-    """clocks (dev, ms, c) after seeing stamps (dev, ms, c): the latest time of own, seen and now, its counter and one more."""
-    top = seen.groupBy("dev").agg(F.max(F.struct("ms", "c")).alias("s"))
-    j = clocks.join(top, "dev", "left")
+    """clocks ([book_id,] dev, ms, c) after seeing stamps of the same key: the latest time of own, seen and now, its counter
+    and one more."""
+    key = [c for c in ("book_id", "dev") if c in clocks.columns]
+    top = seen.groupBy(*key).agg(F.max(F.struct("ms", "c")).alias("s"))
+    j = clocks.join(top, key, "left")
     own, got, s_ms = F.col("ms"), F.col("s.c"), F.coalesce("s.ms", F.lit(-1))
     late = F.greatest(own, s_ms, F.lit(now))
     count = F.when((late == own) & (late == s_ms), F.greatest("c", got) + 1).when(late == own, F.col("c") + 1).when(late == s_ms, got + 1).otherwise(0)
-    return j.select("dev", late.alias("ms"), count.alias("c"))
+    return j.select(*key, late.alias("ms"), count.alias("c"))
 
 
 def next_stamps(clocks: DataFrame, n: int, now: int) -> DataFrame:
     """n stamps for each device; stamps of one millisecond count on."""
     late = F.greatest(F.col("ms"), F.lit(now))
     first = F.when(late == F.col("ms"), F.col("c") + 1).otherwise(0)
-    return clocks.select("dev", late.alias("ms"), F.explode(F.sequence(first, first + (n - 1))).alias("c"))
+    return clocks.select(*(c for c in ("book_id", "dev") if c in clocks.columns), late.alias("ms"), F.explode(F.sequence(first, first + (n - 1))).alias("c"))

@@ -24,7 +24,7 @@ def refile(birthdays: DataFrame, changes: DataFrame) -> DataFrame:
 
 def birthday_label(df: DataFrame, rank_abbrev: DataFrame) -> DataFrame:
     """Ship: `<abbreviation> name (ship)`; others: `name (Family)`. A rank without abbreviation stands as it is."""
-    named = df.join(F.broadcast(rank_abbrev), "rank", "left")
+    named = df.join(rank_abbrev, "rank", "left")
     ship = F.concat(F.concat_ws(" ", F.coalesce("abbrev", "rank"), "name"), F.when(F.coalesce("ship", F.lit("")) != "", F.concat(F.lit(" ("), "ship", F.lit(")"))).otherwise(""))
     return named.withColumn("label", F.when(F.col("kind") == "ship", ship).otherwise(F.concat("name", F.lit(" ("), F.initcap("kind"), F.lit(")")))).drop("abbrev")
 

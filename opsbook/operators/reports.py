@@ -23,20 +23,25 @@ def week_labels(jobs: DataFrame) -> DataFrame:
 
 
 def report_layout(jobs: DataFrame, photos: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """Photo pairs of each week's report: two pairs a page from page 2, a job's caption on each of its pairs.
+    """Pages of each week's report: the statements of all its jobs on page 1, then two photo pairs a page.
 
-    photos: (book_id, job_id, pos, ref). override: (book_id, week, id, place), the saved order of a week.
+    A row of page 1 has `no`, the statement's number, and no pair; a job's caption stands on each of its pairs.
+    photos: (book_id, job_id, pos, ref). override: (book_id, week, id, place), the saved order of a week, which
+    statements and photos follow.
     """
     rows = jobs.where("weekly_report").withColumn("day", planner_day()).where("day is not null").withColumn("week", week_start(F.col("day")))
     if override is not None:
         rows = rows.join(override, ["book_id", "week", "id"], "left")
     else:
         rows = rows.withColumn("place", F.lit(None).cast("int"))
+    order = [F.col("place").asc_nulls_last(), "day", "serial", "id"]
+    said = number_rows(rows, ["book_id", "week"], order).select("book_id", "week", F.lit(1).alias("page"), "no", "id", F.col("job").alias("caption"))
     pics = photos.select("book_id", F.col("job_id").alias("id"), F.floor(F.col("pos") / 2).cast("int").alias("pair"), "pos", "ref")
     pairs = pics.groupBy("book_id", "id", "pair").agg(F.sort_array(F.collect_list(F.struct("pos", "ref"))).alias("p"))
     pairs = pairs.select("book_id", "id", "pair", F.col("p")[0]["ref"].alias("left_ref"), F.expr("try_element_at(p, 2).ref").alias("right_ref"))
-    order = [F.col("place").asc_nulls_last(), "day", "serial", "id", "pair"]
-    rank = F.row_number().over(Window.partitionBy("book_id", "week").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("book_id", "week").orderBy(*order, "pair"))
     laid = rows.join(pairs, ["book_id", "id"]).withColumn("page", F.ceil(rank / 2).cast("int") + 1)
+    laid = laid.select("book_id", "week", "page", "id", F.col("job").alias("caption"), "pair", "left_ref", "right_ref")
     pages = F.max("page").over(Window.partitionBy("book_id", "week"))
-    return laid.select("book_id", "week", "page", pages.alias("pages"), "id", "pair", "left_ref", "right_ref", F.col("job").alias("caption"))
+    whole = said.unionByName(laid, allowMissingColumns=True).withColumn("pages", pages)
+    return whole.select("book_id", "week", "page", "pages", "no", "id", "pair", "left_ref", "right_ref", "caption")

@@ -13,8 +13,8 @@ def convert_units(values: DataFrame, unit_factor: DataFrame) -> DataFrame:
 
     unit_factor (category, unit, factor, offset) is a short reference table.
     """
-    own = F.broadcast(unit_factor.select("category", "unit", "factor", "offset"))
-    all_ = F.broadcast(unit_factor.select("category", F.col("unit").alias("to_unit"), F.col("factor").alias("f2"), F.col("offset").alias("o2")))
+    own = unit_factor.select("category", "unit", "factor", "offset")
+    all_ = unit_factor.select("category", F.col("unit").alias("to_unit"), F.col("factor").alias("f2"), F.col("offset").alias("o2"))
     rows = values.where("value is not null").join(own, ["category", "unit"]).join(all_, "category")
     out = F.when(F.col("unit") == F.col("to_unit"), F.col("value")).otherwise((F.col("value") * F.col("factor") + F.col("offset") - F.col("o2")) / F.col("f2"))
     return rows.select("id", "category", "unit", "value", "to_unit", out.alias("converted"))
@@ -23,7 +23,7 @@ def convert_units(values: DataFrame, unit_factor: DataFrame) -> DataFrame:
 def conversion_formula(unit_factor: DataFrame) -> DataFrame:
     """(category, unit, to_unit, formula): `psi = bar × 14.50377`, `÷` for a factor below 1, offsets written out."""
     a = unit_factor.select("category", "unit", "factor", "offset")
-    b = F.broadcast(unit_factor.select("category", F.col("unit").alias("to_unit"), F.col("factor").alias("f2"), F.col("offset").alias("o2")))
+    b = unit_factor.select("category", F.col("unit").alias("to_unit"), F.col("factor").alias("f2"), F.col("offset").alias("o2"))
     k, shift = F.col("factor") / F.col("f2"), (F.col("offset") - F.col("o2")) / F.col("f2")
     times = F.when(k == 1, "").when(k >= 1, F.concat(F.lit(" × "), format_sig(k))).otherwise(F.concat(F.lit(" ÷ "), format_sig(1 / k)))
     plus = F.when(F.abs(shift) < 1e-9, "").when(shift > 0, F.concat(F.lit(" + "), format_sig(shift))).otherwise(F.concat(F.lit(" − "), format_sig(-shift)))
@@ -54,7 +54,7 @@ def interp_lookup(points: DataFrame, table: DataFrame, x: str, ys: list[str]) ->
     t = t.select("product", F.col("_x").alias("_lo"), F.lead("_x").over(w).alias("_hi"), F.lead("_x", 2).over(w).isNull().alias("_last"), *(F.col(f"_{y}") for y in ys), *(F.lead(f"_{y}").over(w).alias(f"_{y}2") for y in ys)).where("_hi is not null")
     t = t.withColumnRenamed("product", "_product")
     inside = (F.col(x) >= F.col("_lo")) & ((F.col(x) < F.col("_hi")) | (F.col("_last") & (F.col(x) == F.col("_hi"))))
-    j = points.join(F.broadcast(t), (F.col("product") == F.col("_product")) & inside, "left")
+    j = points.join(t, (F.col("product") == F.col("_product")) & inside, "left")
     part = (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     status = F.when(F.col(x).isNull(), "no value").when(F.col("_lo").isNull(), "out of range").otherwise("ok")
     return j.select(*points.columns, *((F.col(f"_{y}") + part * (F.col(f"_{y}2") - F.col(f"_{y}"))).alias(y) for y in ys), status.alias("status"))

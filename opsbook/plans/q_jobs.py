@@ -132,11 +132,14 @@ def q51_planner_export(spark, sf):
     return jobs.planner_export(jobs.planner_rows(own, view(spark, sf, "extras")), standing)
 
 
-@query(with_views(f"""SELECT book_id, week, CAST(ceil(rk / 2.0) AS INT) + 1 AS page, max(CAST(ceil(rk / 2.0) AS INT) + 1) OVER (PARTITION BY book_id, week) AS pages,
-id, pair, left_ref, right_ref, job AS caption FROM (
-  SELECT j.*, p.pair, p.left_ref, p.right_ref, row_number() OVER (PARTITION BY j.book_id, week ORDER BY CASE WHEN serial % 5 = 0 THEN -serial END NULLS LAST, day, serial, id, pair) AS rk
-  FROM (SELECT *, {WEEK} AS week FROM (SELECT *, {DAY} AS day FROM jobs WHERE weekly_report) WHERE day IS NOT NULL) j
-  JOIN (SELECT book_id, job_id, CAST(floor(pos / 2) AS INT) AS pair, min_by(ref, pos) AS left_ref, CASE WHEN count(*) = 2 THEN max_by(ref, pos) END AS right_ref FROM photo_refs GROUP BY 1, 2, 3) p
+LAID = f"""SELECT *, row_number() OVER (PARTITION BY book_id, week ORDER BY CASE WHEN serial % 5 = 0 THEN -serial END NULLS LAST, day, serial, id) AS no
+FROM (SELECT *, {WEEK} AS week FROM (SELECT *, {DAY} AS day FROM jobs WHERE weekly_report) WHERE day IS NOT NULL)"""
+
+
+@query(with_views(f"""SELECT *, max(page) OVER (PARTITION BY book_id, week) AS pages FROM (
+  SELECT book_id, week, 1 AS page, no, id, NULL AS pair, NULL AS left_ref, NULL AS right_ref, job AS caption FROM ({LAID})
+  UNION ALL SELECT j.book_id, week, CAST(ceil(row_number() OVER (PARTITION BY j.book_id, week ORDER BY no, pair) / 2.0) AS INT) + 1, NULL, id, p.pair, p.left_ref, p.right_ref, job
+  FROM ({LAID}) j JOIN (SELECT book_id, job_id, CAST(floor(pos / 2) AS INT) AS pair, min_by(ref, pos) AS left_ref, CASE WHEN count(*) = 2 THEN max_by(ref, pos) END AS right_ref FROM photo_refs GROUP BY 1, 2, 3) p
   ON p.book_id = j.book_id AND p.job_id = j.id)""", "jobs", "photo_refs"))
 def q52_report_layout(spark, sf):
     own = view(spark, sf, "jobs")
@@ -189,24 +192,29 @@ def q60e_roll_daily(spark, sf):
     return agenda.roll_daily(view(spark, sf, "jobs"), TODAY).select("book_id", "id", "due")
 
 
-AGENDA = f"""SELECT book_id, id, job, priority, done, due AS day, '' AS note, false AS forecast, repeat = 'daily' AS daily FROM jobs WHERE due BETWEEN DATE '1998-03-15' AND DATE '1998-09-15'
-UNION ALL SELECT book_id, id, job, priority, done, DATE '1998-06-15', 'overdue', false, repeat = 'daily' FROM jobs WHERE NOT done AND due < DATE '1998-06-15'
-UNION ALL SELECT book_id, id, job, priority, done, DATE '1998-06-15', 'no date', false, repeat = 'daily' FROM jobs WHERE NOT done AND due IS NULL
-UNION ALL SELECT book_id, id, job, priority, false, day, '', true, false FROM ({AHEAD})"""
+ROLLED = "SELECT * REPLACE (CASE WHEN repeat = 'daily' AND NOT done AND due < DATE '1998-06-15' THEN DATE '1998-06-15' ELSE due END AS due) FROM jobs"
+AGENDA = f"""SELECT book_id, id, job, priority, done, due AS day, '' AS note, false AS forecast, repeat = 'daily' AS daily, false AS birthday FROM ({ROLLED}) WHERE due BETWEEN DATE '1998-03-15' AND DATE '1998-09-15'
+UNION ALL SELECT book_id, id, job, priority, done, DATE '1998-06-15', 'overdue', false, repeat = 'daily', false FROM ({ROLLED}) WHERE NOT done AND due < DATE '1998-06-15'
+UNION ALL SELECT book_id, id, job, priority, done, DATE '1998-06-15', 'no date', false, repeat = 'daily', false FROM ({ROLLED}) WHERE NOT done AND due IS NULL
+UNION ALL SELECT book_id, id, job, priority, false, day, '', true, false, false FROM ({AHEAD})
+UNION ALL SELECT book_id, id, job, priority, false, CAST(d AS DATE), '', true, true, false FROM ({ROLLED}) r, range(DATE '1998-03-15', DATE '1998-09-16', INTERVAL 1 DAY) t(d) WHERE repeat = 'daily' AND NOT done AND CAST(d AS DATE) > due
+UNION ALL SELECT book_id, id, name, 'normal', false, CAST(d AS DATE), '', false, false, true FROM crew, range(DATE '1998-03-15', DATE '1998-09-16', INTERVAL 1 DAY) t(d) WHERE month(d) = month(dob) AND day(d) = day(dob)"""
 
 
 def _agenda(spark, sf):
-    return agenda.build_agenda(view(spark, sf, "jobs"), view(spark, sf, "repeat_days"), TODAY)
+    crew = view(spark, sf, "crew").withColumnRenamed("name", "label")
+    return agenda.build_agenda(view(spark, sf, "jobs"), view(spark, sf, "repeat_days"), TODAY, birthdays=crew)
 
 
-@query(with_views(AGENDA, "jobs", "repeat_days"))
+@query(with_views(AGENDA, "jobs", "repeat_days", "crew"))
 def q60f_build_agenda(spark, sf):
     return _agenda(spark, sf)
 
 
 @query(with_views(f"""SELECT book_id, day, count(*) AS n, string_agg(CASE WHEN rn <= 3 THEN job END, '; ' ORDER BY rn) AS shown, greatest(count(*) - 3, 0) AS more,
-CASE WHEN bool_or(NOT done AND (note = 'overdue' OR priority = 'urgent')) THEN 'urgent' WHEN bool_or(NOT done AND priority = 'important') THEN 'important' WHEN bool_and(done) THEN 'done' ELSE 'plain' END AS severity
-FROM (SELECT *, row_number() OVER (PARTITION BY book_id, day ORDER BY done, job, id, note, forecast) AS rn FROM ({AGENDA}) WHERE NOT daily) GROUP BY book_id, day""", "jobs", "repeat_days"))
+CASE WHEN bool_or(NOT birthday AND NOT done AND (note = 'overdue' OR priority = 'urgent')) THEN 'urgent' WHEN bool_or(NOT birthday AND NOT done AND priority = 'important') THEN 'important'
+WHEN bool_and(birthday) THEN 'birthday' WHEN bool_and(birthday OR done) THEN 'done' ELSE 'plain' END AS severity
+FROM (SELECT *, row_number() OVER (PARTITION BY book_id, day ORDER BY birthday DESC, note <> 'overdue', done, job, id, note, forecast) AS rn FROM ({AGENDA}) WHERE NOT daily) GROUP BY book_id, day""", "jobs", "repeat_days", "crew"))
 def q55_month_cells(spark, sf):
     return agenda.month_cells(_agenda(spark, sf))
 
@@ -214,14 +222,15 @@ def q55_month_cells(spark, sf):
 @query(with_views(f"""SELECT book_id, outstanding, overdue, CAST(outstanding AS STRING) || CASE WHEN outstanding = 1 THEN ' job today' ELSE ' jobs today' END
 || CASE WHEN overdue > 0 THEN ', ' || CAST(overdue AS STRING) || ' overdue' ELSE '' END AS title, array_to_string(t[1:3], '; ') || CASE WHEN outstanding > 3 THEN '…' ELSE '' END AS body
 FROM (SELECT book_id, count(*) AS outstanding, count(*) FILTER (WHERE note = 'overdue') AS overdue, list(job ORDER BY job, id) AS t FROM ({AGENDA})
-WHERE day = DATE '1998-06-15' AND NOT done AND NOT forecast AND book_id % 5 NOT IN (1, 2) GROUP BY book_id)""", "jobs", "repeat_days"))
+WHERE day = DATE '1998-06-15' AND NOT done AND NOT forecast AND NOT birthday AND book_id % 5 NOT IN (1, 2) GROUP BY book_id)""", "jobs", "repeat_days", "crew"))
 def q40_reminder_summary(spark, sf):
     books = view(spark, sf, "jobs").select("book_id").distinct()
     settings = books.select("book_id", (F.col("book_id") % 5 != 1).alias("enabled"), F.lit(480).alias("at_minute"), F.when(F.col("book_id") % 5 == 2, F.lit(TODAY)).alias("last_sent"))
     return agenda.reminder_summary(_agenda(spark, sf), TODAY, settings, 500)
 
 
-@query(with_views(f"SELECT book_id, day, id, job, priority, done, forecast, note, daily FROM ({AGENDA}) WHERE day IS NOT NULL", "jobs", "repeat_days"))
+@query(with_views(f"""SELECT book_id, day, CASE WHEN NOT birthday THEN id END AS id, job, CASE WHEN NOT birthday THEN priority END AS priority, CASE WHEN NOT birthday THEN done END AS done, CASE WHEN NOT birthday THEN forecast END AS forecast,
+CASE WHEN NOT birthday THEN note END AS note, CASE WHEN NOT birthday THEN daily END AS daily, birthday FROM ({AGENDA}) WHERE day IS NOT NULL""", "jobs", "repeat_days", "crew"))
 def q8_agenda_round_trip(spark, sf):
     return agenda.read_agenda(agenda.agenda_payload(_agenda(spark, sf)))
 

@@ -111,6 +111,14 @@ def q78_restore_settings(spark, sf):
     return ledger.restore_settings(own, own.select("book_id", F.lit(7000).cast("long").alias("ms"), F.lit(2).alias("c")))
 
 
+@query(with_views("SELECT book_id, id, CASE WHEN book_id % 3 = 0 THEN amount * 2 ELSE amount END AS amount FROM cash_items WHERE NOT (book_id % 3 = 0 AND list = 'fixed')", "cash_items"))
+def q78_restore_lists(spark, sf):
+    """A third of the books restored from a file that has their income, doubled."""
+    own = view(spark, sf, "cash_items").select("book_id", "id", "list", "amount")
+    file = own.where("list = 'income'").withColumn("amount", F.col("amount") * 2)
+    return ledger.restore_lists({"items": own}, {"items": file}, own.where("book_id % 3 = 0"))["items"].select("book_id", "id", "amount")
+
+
 LISTS = {"loans": "id string, principal double, rate double", "cash_items": "id string, name string, list string, amount double"}
 
 
@@ -160,4 +168,4 @@ def q80_stream_merge(spark, sf):
     stream = spark.readStream.schema(edits.schema).option("maxFilesPerTrigger", 2).parquet(source)
     running = merge.stream_merge(stream, folder, store.new_folder(spark, "progress"))
     running.awaitTermination()
-    return merge.live_records(merge.last_version(running, spark, folder))
+    return merge.live_records(merge.last_version(spark, folder))

@@ -49,13 +49,14 @@ def q82_conversion_formula(spark, sf):
     formulas = units.conversion_formula(_factors(spark))
     pick = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'in' ELSE 'C' END"), F.expr("CASE p_partkey % 4 WHEN 0 THEN 'psi' WHEN 1 THEN 'm' WHEN 2 THEN 'K' ELSE 'F' END")
     parts = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", pick[0].alias("unit"), pick[1].alias("to_unit"))
-    return parts.join(F.broadcast(formulas), ["unit", "to_unit"]).select("p_partkey", "formula")
+    return parts.join(formulas, ["unit", "to_unit"]).select("p_partkey", "formula")
 
 
 RAW = "text || ',' || chr(10) || ';' || chr(92)"
 
 
-@query(f"""SELECT doc_id, array_to_string(list_transform(range(0, CAST(ceil(length(t) / 74.0) AS BIGINT)), lambda i: substr(t, i * 74 + 1, 74)), chr(13) || chr(10) || ' ') AS line
+@query(f"""SELECT doc_id, CASE WHEN t = '' THEN '' ELSE list_reduce(list_transform(string_split(t, ''), lambda x: {{'s': x, 'n': strlen(x)}}),
+  lambda a, x: {{'s': a.s || CASE WHEN a.n + x.n > 74 THEN chr(13) || chr(10) || ' ' ELSE '' END || x.s, 'n': CASE WHEN a.n + x.n > 74 THEN x.n ELSE a.n + x.n END}}).s END AS line
 FROM (SELECT doc_id, replace(replace(replace(replace({RAW}, chr(92), chr(92) || chr(92)), ',', chr(92) || ','), ';', chr(92) || ';'), chr(10), chr(92) || 'n') AS t FROM documents)""")
 def q83_ics_text(spark, sf):
     """The documents as calendar lines."""

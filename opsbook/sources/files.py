@@ -9,6 +9,8 @@ from ..functions.text import ics_escape, ics_fold
 
 CRLF = "\r\n"
 DAY = "dd-MMM-yyyy"
+SHEET = ("Due Date", "Job", "Priority", "Status", "Date Completed", "Remarks", "Weekly Report", "RA", "PTW", "Permit Type", "Interval")
+SHEET_WIDTH = 64
 
 
 # --- jobs ---------------------------------------------------------------------------------------------------
@@ -44,9 +46,24 @@ def parse_jobs_csv(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Job sheets with `source`, the file each row is from; files may differ in their columns."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
-    return parse_jobs_csv(raw.withColumn("source", F.input_file_name()), keep=["source"])
+    """Job sheets with `source`, the file each row is from.
+
+    Files may differ in their columns, of which each may have SHEET_WIDTH: a file's first record names them, and its
+    rows are read by those names.
+    """
+    cells = [f"c{k}" for k in range(SHEET_WIDTH)]
+    raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in cells), header=False, encoding="UTF-8", multiLine=True, enforceSchema=True)
+    rows = raw.select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("n"), F.array(*cells).alias("cells"))
+    heads = rows.groupBy("source").agg(F.min("n").alias("first"), F.min_by("cells", "n").alias("names"))
+    heads = heads.withColumn("names", F.transform("names", lambda x: F.trim(F.replace(x, F.lit("\ufeff"), F.lit("")))))
+    rows = rows.join(heads, "source").where("n > first")
+    planner = F.try_element_at(F.filter("names", lambda x: x.endswith("Planner")), F.lit(1))
+
+    def cell(name: Column) -> Column:
+        return F.try_element_at("cells", F.nullif(F.array_position("names", name), F.lit(0)).cast("int"))
+
+    named = rows.select("source", *(cell(F.lit(c)).alias(c) for c in SHEET), cell(planner).alias("Planner"))
+    return parse_jobs_csv(named, keep=["source"])
 
 
 def jobs_csv_rows(jobs: DataFrame, repeat_days: DataFrame) -> DataFrame:
@@ -56,7 +73,7 @@ def jobs_csv_rows(jobs: DataFrame, repeat_days: DataFrame) -> DataFrame:
     def day(c: str) -> Column:
         return F.coalesce(F.date_format(c, DAY), F.lit(""))
 
-    j = jobs.join(F.broadcast(repeat_days), jobs["repeat"] == repeat_days["code"], "left")
+    j = jobs.join(repeat_days, jobs["repeat"] == repeat_days["code"], "left")
     label = F.coalesce(F.concat(F.col("repeat"), F.lit(" ("), F.col("days").cast("string"), F.lit(" days)")), F.lit(""))
     return j.select(
         "book_id", "id", day("due").alias("Due Date"), F.col("job").alias("Job"), F.col("priority").alias("Priority"), F.when(F.col("done"), "Completed").otherwise("Pending").alias("Status"),
@@ -109,8 +126,8 @@ def write_ledger_csv(lists: dict[str, DataFrame], path: str) -> None:
     ledger_flat_rows(lists).write.partitionBy("book_id").csv(path, header=True, quoteAll=True)
 
 
-def backup_documents(lists: dict[str, DataFrame], app: str = "opsbook", version: int = 1) -> DataFrame:
-    """(book_id, document): each book's lists as one JSON document."""
+def backup_documents(lists: dict[str, DataFrame], app: str = "opsbook", version: int = 1, settings: DataFrame | None = None) -> DataFrame:
+    """(book_id, document): each book's lists, and its settings (book_id, …; one row), as one JSON document."""
     rows = None
     for name, df in lists.items():
         row = F.to_json(F.struct(*(c for c in df.columns if c != "book_id")))
@@ -119,22 +136,35 @@ def backup_documents(lists: dict[str, DataFrame], app: str = "opsbook", version:
     per_list = rows.groupBy("book_id", "list").agg(F.array_join(F.sort_array(F.collect_list("row")), ",").alias("rows"))
     part = F.concat(F.lit('"'), "list", F.lit('":['), "rows", F.lit("]"))
     whole = per_list.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_list(part)), ",").alias("data"))
-    return whole.select("book_id", F.concat(F.lit(f'{{"app":"{app}","version":{version},"book_id":'), F.col("book_id").cast("string"), F.lit(',"data":{'), "data", F.lit("}}")).alias("document"))
+    head = F.concat(F.lit(f'{{"app":"{app}","version":{version},"book_id":'), F.col("book_id").cast("string"))
+    if settings is not None:
+        own = settings.select("book_id", F.to_json(F.struct(*(c for c in settings.columns if c != "book_id"))).alias("s"))
+        whole = whole.join(own, "book_id", "left")
+        head = F.concat(head, F.when(F.col("s").isNull(), "").otherwise(F.concat(F.lit(',"settings":'), "s")))
+    return whole.select("book_id", F.concat(head, F.lit(',"data":{'), "data", F.lit("}}")).alias("document"))
 
 
-def write_backup_json(lists: dict[str, DataFrame], path: str) -> None:
-    backup_documents(lists).select(F.col("document").alias("value")).write.text(path)
+def write_backup_json(lists: dict[str, DataFrame], path: str, settings: DataFrame | None = None) -> None:
+    backup_documents(lists, settings=settings).select(F.col("document").alias("value")).write.text(path)
 
 
-def parse_backups(documents: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """Documents back to one DataFrame per list; a list that a document lacks gives no rows."""
+def parse_backups(documents: DataFrame, schemas: dict[str, str], settings: str | None = None) -> dict[str, DataFrame]:
+    """Documents back to one DataFrame per list, and `settings` if their fields are given; a list that a document lacks
+    gives no rows."""
     data = ", ".join(f"{name}: array<struct<{schema}>>" for name, schema in schemas.items())
-    read = documents.select(F.from_json("document", f"struct<app: string, version: int, book_id: bigint, data: struct<{data}>>").alias("d"))
-    return {n: read.select(F.col("d.book_id").alias("book_id"), F.explode(f"d.data.{n}").alias("r")).select("book_id", "r.*") for n in schemas}
-
-
-def read_backup_json(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    return parse_backups(spark.read.text(path, wholetext=False).select(F.col("value").alias("document")), schemas)
+    own = f"settings: struct<{settings}>, " if settings else ""
+    read = documents.select(F.from_json("document", f"struct<app: string, version: int, book_id: bigint, {own}data: struct<{data}>>").alias("d"))
+    out = {n: read.select(F.col("d.book_id").alias("book_id"), F.explode(f"d.data.{n}").alias("r")).select("book_id", "r.*") for n in schemas}
+    if settings:
+        out["settings"] = read.where("d.settings is not null").select(F.col("d.book_id").alias("book_id"), "d.settings.*")
+    return out
+
+
+def read_backup_json(spark: SparkSession, path: str, schemas: dict[str, str], settings: str | None = None) -> dict[str, DataFrame]:
+    """Backups of files with a document a line, or with documents over several lines; a file is one row until divided."""
+    whole = spark.read.text(path, wholetext=True)
+    documents = whole.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("document")).where(F.trim("document") != "")
+    return parse_backups(documents, schemas, settings)
 
 
 # --- instruments --------------------------------------------------------------------------------------------

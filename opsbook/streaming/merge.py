@@ -1,10 +1,14 @@
 """The ledger merge as a stream: edits arrive in any order, any number of times, and the result is the batch merge's.
 
-No watermark: a late edit is compared by its stamp, and an old one loses anyway. The state is the table itself.
+No watermark: a late edit is compared by its stamp, and an old one loses anyway. The state is the table itself, in
+BUCKETS by book and id. Batch n writes version n of the buckets that its edits touch, from their versions before n, so
+a batch that runs again gives the same files, and what it does not touch is not read or written.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.ledger import KEY, alive, latest
 
 EDIT_KEY = [*KEY, "deleted"]
+BUCKETS = 64
+PLACE = re.compile(r"version-(\d+)/bucket=(\d+)$")
 
 
 def reduce_edits(edits: DataFrame) -> DataFrame:
@@ -20,31 +26,57 @@ def reduce_edits(edits: DataFrame) -> DataFrame:
 
 
 def live_records(edits: DataFrame) -> DataFrame:
-    """The ledger that the edits (…, deleted) make."""
+    """The ledger that the edits (…, deleted) make; as in the batch merge, a delete is of a book's id in any list."""
     cols = [c for c in edits.columns if c != "deleted"]
-    return alive(edits.where("not deleted").select(cols), edits.where("deleted").select(cols), KEY)
+    return alive(edits.where("not deleted").select(cols), edits.where("deleted").select(cols), ["book_id", "id"])
+
+
+def _files(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def version(folder: str, epoch: int) -> str:
-    return f"{folder}/version-{epoch:09d}"
+def versions(spark: SparkSession, folder: str) -> dict[int, list[tuple[int, str]]]:
+    """(version, path) of each bucket, the newest first, of batches that have been written whole."""
+    path, store = _files(spark, folder)
+    if not store.exists(path):
+        return {}
+    found: dict[int, list[tuple[int, str]]] = {}
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for batch in store.listStatus(path):
+        if store.exists(jvm.Path(batch.getPath(), "_SUCCESS")):
+            for part in store.listStatus(batch.getPath()):
+                name = part.getPath().toString()
+                if m := PLACE.search(name):
+                    found.setdefault(int(m[2]), []).append((int(m[1]), name))
+    return {b: sorted(v, reverse=True) for b, v in found.items()}
 
 
 def stream_merge(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Fold the stream's edits into versions of a table; version n is written from version n - 1 and batch n.
+    """Fold the stream's edits into the table in `folder`, batch by batch, as far as there are files."""
+    bucket = F.pmod(F.xxhash64("book_id", "id"), F.lit(BUCKETS)).cast("int")
 
-    A batch that runs again overwrites its own version, so a restart changes nothing.
-    """
     def fold(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
         rows = reduce_edits(batch)
-        if epoch:
-            old = batch.sparkSession.read.schema(rows.schema).parquet(version(folder, epoch - 1))
-            rows = reduce_edits(old.unionByName(rows))
-        rows.write.mode("overwrite").parquet(version(folder, epoch))
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]  # BUCKETS numbers at most
+        if not touched:
+            return
+        have = versions(spark, folder)
+        old = [next((p for n, p in have.get(b, []) if n < epoch), None) for b in touched]
+        if any(old):
+            rows = reduce_edits(spark.read.schema(rows.schema).parquet(*(p for p in old if p)).unionByName(rows))
+        at = f"{folder}/version-{epoch:09d}"
+        rows.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(at)
+        store = _files(spark, folder)[1]
+        for b in touched:  # the last but one is what this batch would read again; older ones are no more needed
+            for _, p in [v for v in have.get(b, []) if v[0] < epoch][1:]:
+                store.delete(_files(spark, p)[0], True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def last_version(query: StreamingQuery, spark: SparkSession, folder: str) -> DataFrame | None:
-    """The newest version that the query has written."""
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
-    return spark.read.parquet(version(folder, max(done))) if done else None
+def last_version(spark: SparkSession, folder: str) -> DataFrame | None:
+    """All edits that count, as last written by any run of the stream; None before the first."""
+    paths = [v[0][1] for v in versions(spark, folder).values()]
+    return spark.read.parquet(*paths) if paths else None

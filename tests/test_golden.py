@@ -32,13 +32,16 @@ def test_months_and_weeks(spark):
 LOAN = "book_id long, id string, principal double, rate double, months int, start date, emi double"
 
 
+PREPAID = "book_id long, loan_id string, month_no int, amount double"
+
+
 def test_loans(spark):
     rows = [
         (1, "plain", 3.5e6, 8.6, 240, D(2026, 1, 1), None), (1, "prepaid", 3.5e6, 8.6, 240, D(2026, 1, 1), None), (1, "big", 3.5e6, 8.6, 240, D(2026, 1, 1), None),
         (1, "never", 1e6, 12.0, 240, D(2026, 1, 1), 5000.0), (1, "free", 120000.0, 0.0, 12, D(2026, 1, 1), None), (1, "none", 0.0, 5.0, 12, D(2026, 1, 1), None),
     ]
     df = spark.createDataFrame(rows, LOAN)
-    extra = spark.createDataFrame([("prepaid", 25, 500000.0), ("big", 3, 99999999.0), ("big", 0, 0.0)], "loan_id string, month_no int, amount double")
+    extra = spark.createDataFrame([(1, "prepaid", 25, 500000.0), (1, "big", 3, 99999999.0), (1, "big", 0, 0.0), (2, "plain", 2, 9e9)], PREPAID)
     schedule = loans.amortise(df, extra)
     s = {r["loan_id"]: r for r in loans.schedule_summary(schedule, df).collect()}
     assert s["plain"]["months"] == 240 and abs(s["plain"]["total_interest"] - 3842967.14) < 1 and s["plain"]["payoff"] == D(2045, 12, 1)
@@ -52,6 +55,34 @@ def test_loans(spark):
     assert loans.amortise(df.limit(0), extra).count() == 0
 
 
+def test_loans_of_two_books_and_long_ones(spark):
+    """Equal ids in two books, a loan of 2,400 months that clears, and the rows of a span of months alone."""
+    rows = [(1, "l1", 120000.0, 0.0, 12, D(2026, 1, 1), None), (2, "l1", 120000.0, 0.0, 12, D(2026, 1, 1), None), (1, "long", 1e6, 6.0, 2400, D(2026, 1, 1), None)]
+    rows += [(2, "barely", 1e6, 12.0, 12, D(2026, 1, 1), 10000.000001), (2, "unseen", 1e6, 12.0, 12, D(2026, 1, 1), 10000.000000000002)]
+    df = spark.createDataFrame(rows, LOAN)
+    extra = spark.createDataFrame([(1, "l1", 1, 60000.0)], PREPAID)
+    schedule = loans.amortise(df, extra)
+    s = {(r["book_id"], r["loan_id"]): r for r in loans.schedule_summary(schedule, df).collect()}
+    assert s[1, "l1"]["months"] == 6 and s[2, "l1"]["months"] == 12
+    assert s[1, "long"]["months"] in (2400, 2401) and s[1, "long"]["payoff"] in (D(2225, 12, 1), D(2226, 1, 1))
+    assert s[2, "barely"]["months"] > 2000 and s[2, "unseen"]["months"] == 1 and s[2, "unseen"]["payoff"] is None
+    assert schedule.groupBy("book_id", "loan_id").agg(F.min_by("closing", -F.col("month_no")).alias("c")).where("c > 0").count() == 1
+    span = loans.amortise(df, extra, (D(2026, 5, 1), D(2026, 8, 1)))
+    assert sorted(map(tuple, span.collect())) == sorted(map(tuple, schedule.where("month_no between 5 and 8").collect()))
+    status = {(r["book_id"], r["loan_id"]): r["clears"] for r in loans.loan_status(schedule, loans.amortise(df), df, D(2026, 3, 1)).collect()}
+    assert status[1, "l1"] == D(2026, 6, 1) and status[2, "l1"] == D(2026, 12, 1) and status[2, "unseen"] is None
+
+
+def test_plans_of_two_books(spark):
+    plan = spark.createDataFrame([(1, 1, 100.0, 0.0, 5.0, 1, 0.0, 12, 1e4), (2, 1, 900.0, 0.0, 5.0, 1, 0.0, 12, 1e4)], PLAN)
+    rows = savings.project_savings(plan)
+    end = {r["book_id"]: r["value"] for r in rows.where("month_no = 12").collect()}
+    assert abs(9 * end[1] - end[2]) < 1e-6
+    need = {r["book_id"]: r["needed"] for r in savings.solve_monthly(plan).collect()}
+    assert len(need) == 2 and abs(need[1] - need[2]) < 1e-9
+    assert savings.period_returns(rows, plan, 3).count() == 8 and savings.irr(savings.plan_flows(rows, plan), savings.KEY).count() == 2
+
+
 def test_deposits(spark):
     def fd(day, *more):
         return savings.fd_value(F.lit(500000.0), F.lit(7.1), F.lit(4), F.lit(60), F.lit(D(2024, 1, 1)), F.lit(day), *more)
@@ -64,12 +95,15 @@ def test_deposits(spark):
         assert abs(got - want) < 0.5
 
 
+PLAN = "book_id long, id int, monthly double, lump double, rate double, years int, step double, comp int, target double"
+
+
 def test_savings_and_returns(spark):
-    plan = spark.createDataFrame([(1, 10000.0, 0.0, 12.0, 10, 10.0, 12, 1e6), (2, 1000.0, 9e9, 5.0, 1, 0.0, 12, 5.0)], "id int, monthly double, lump double, rate double, years int, step double, comp int, target double")
+    plan = spark.createDataFrame([(7, 1, 10000.0, 0.0, 12.0, 10, 10.0, 12, 1e6), (7, 2, 1000.0, 9e9, 5.0, 1, 0.0, 12, 5.0)], PLAN)
     rows = savings.project_savings(plan)
     last = rows.where("id = 1 and month_no = 120").first()
     assert abs(last["value"] - 3374326.26) < 1 and abs(last["paid"] - 1912490.95) < 1 and abs(last["instalment"] - 23579.48) < 0.01
-    r = savings.irr(savings.plan_flows(rows, plan).where("id = 1"), ["id"]).first()
+    r = savings.irr(savings.plan_flows(rows, plan).where("id = 1"), savings.KEY).first()
     assert abs(r["annual"] - 0.126825) < 1e-6
     assert {x["id"]: x["needed"] for x in savings.solve_monthly(plan).collect()}[2] == 0
     need = savings.solve_monthly(plan).where("id = 1").first()["needed"]
@@ -89,10 +123,11 @@ def test_fold(spark):
 
 
 def test_prices(spark):
-    p = spark.createDataFrame([("h", D(2026, 1, 1), 120.0, 1), ("h", D(2026, 1, 1), 130.0, 2), ("h", D(2026, 2, 1), 140.0, 3)], "holding_id string, d date, p double, upd long")
-    assert [r["p"] for r in budget.one_per_day(p, ["holding_id"]).orderBy("d").collect()] == [130, 140]
+    points = [(1, "h", D(2026, 1, 1), 120.0, 1), (1, "h", D(2026, 1, 1), 130.0, 2), (1, "h", D(2026, 2, 1), 140.0, 3), (2, "h", D(2025, 1, 1), 7.0, 1)]
+    p, key = spark.createDataFrame(points, "book_id int, holding_id string, d date, p double, upd long"), ["book_id", "holding_id"]
+    assert [r["p"] for r in budget.one_per_day(p, key).orderBy("book_id", "d").collect()] == [130, 140, 7]
     days = [D(2025, 1, 1), D(2026, 1, 31), D(2026, 2, 1)]
-    asked = budget.price_asof(spark.createDataFrame([("h",)], "id string"), budget.one_per_day(p, ["holding_id"]), days)
+    asked = budget.price_asof(spark.createDataFrame([(1, "h")], "book_id int, id string"), budget.one_per_day(p, key), days)
     assert [r["price"] for r in asked.orderBy("day").collect()] == [None, 130, 140]
 
 
@@ -122,6 +157,21 @@ def job(i, due=None, done=False, completed=None, repeat="", **k):
     return (1, f"j{i}", i, k.get("job", f"job {i}"), due, "normal", "", k.get("weekly", True), k.get("planner", False), False, True, "P", repeat, done, completed)
 
 
+def test_folding_counts_octets(spark):
+    long = ["é" * 200, "a" * 200, "日本" * 60, "", "x" * 74 + "é", "😀" * 40]
+    out = spark.createDataFrame([(t,) for t in long], "t string").select(text.ics_fold(F.col("t"))).collect()
+    for t, (folded,) in zip(long, out):
+        lines = folded.split("\r\n")
+        assert max(len(x.encode()) for x in lines) <= 75 and lines[0] + "".join(x[1:] for x in lines[1:]) == t
+
+
+def test_restored_lists(spark):
+    own = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "book_id int, id string")
+    file = spark.createDataFrame([(1, "x"), (9, "y")], "book_id int, id string")
+    got = ledger.restore_lists({"spend": own, "goals": own}, {"spend": file}, own.where("book_id < 3"))
+    assert sorted(map(tuple, got["spend"].collect())) == [(1, "x"), (3, "c")] and [tuple(r) for r in got["goals"].collect()] == [(3, "c")]
+
+
 def test_jobs(spark):
     days = spark.sql(VIEWS["repeat_days"])
     df = spark.createDataFrame([job(1, D(2026, 7, 6), True, D(2026, 7, 9), "weekly"), job(2, D(2026, 7, 6), True, D(2026, 7, 9), "quarterly"), job(3, D(2026, 7, 6), True, D(2026, 7, 9))], JOB)
@@ -141,7 +191,12 @@ def test_report_pages(spark):
     df = spark.createDataFrame([job(k, D(2026, 8, 25)) for k in range(1, 5)], JOB)
     pics = spark.createDataFrame([(1, f"j{k}", p, f"p:{k}-{p}") for k, n in ((1, 3), (2, 3), (3, 3), (4, 1)) for p in range(n)], "book_id int, job_id string, pos int, ref string")
     rows = reports.report_layout(df, pics).collect()
-    assert len(rows) == 7 and {r["pages"] for r in rows} == {5}
+    said, rows = [r for r in rows if r["page"] == 1], [r for r in rows if r["page"] > 1]
+    assert [(r["no"], r["id"], r["pair"]) for r in sorted(said, key=lambda r: r["no"])] == [(k, f"j{k}", None) for k in range(1, 5)]
+    assert len(rows) == 7 and {r["pages"] for r in rows + said} == {5}
+    saved = spark.createDataFrame([(1, D(2026, 8, 24), "j3", 1)], "book_id int, week date, id string, place int")
+    moved = reports.report_layout(df, pics.limit(0), saved).orderBy("no").collect()
+    assert [r["id"] for r in moved] == ["j3", "j1", "j2", "j4"] and {r["pages"] for r in moved} == {1}
     per = {}
     for r in rows:
         per[r["page"]] = per.get(r["page"], 0) + 1 + (r["right_ref"] is not None)
@@ -156,6 +211,8 @@ def test_calls(spark):
     assert rows["k1"]["due"] == D(2028, 2, 29) and rows["k1"]["job"] == "Item — Port A" and rows["k2"]["job"] == "Other"
     again = spark.createDataFrame([(1, "k3", "PORT A", "lastmin", D(2028, 3, 1), None), (1, "k4", "Port A", "arrival", D(2028, 3, 1), None)], schema)
     assert [r["id"] for r in calls.accept_calls(c, again).collect()] == ["k4"]
+    nowhere = spark.createDataFrame([(1, "k5", None, "arrival", D(2028, 3, 1), None)], schema)
+    assert calls.accept_calls(nowhere, nowhere).count() == 0 and calls.accept_calls(c, nowhere).count() == 1
 
 
 def test_ids_and_clocks(spark):
@@ -175,7 +232,7 @@ EDIT = "book_id int, list string, id string, upd long, ctr int, dev string, amou
 def test_merge_in_any_order(spark, tmp_path, seed):
     """Random edits in k files, shuffled and repeated: the same ledger each time, from the batch and from the stream."""
     r = random.Random(seed)
-    edits = [(1, "spend", f"s{r.randrange(12)}", r.randrange(6), r.randrange(2), r.choice("ab"), float(r.randrange(100)), r.random() < 0.25) for _ in range(80)]
+    edits = [(1, r.choice(["spend", "income"]), f"s{r.randrange(12)}", r.randrange(6), r.randrange(2), r.choice("ab"), float(r.randrange(100)), r.random() < 0.25) for _ in range(80)]
     want = None
     for _ in range(2):
         own = edits + r.sample(edits, 20)
@@ -192,9 +249,36 @@ def test_merge_in_any_order(spark, tmp_path, seed):
     source = f"file://{tmp_path}/in"
     spark.createDataFrame(edits, EDIT).repartition(5).write.parquet(source)
     stream = spark.readStream.schema(spark.createDataFrame(edits, EDIT).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = merge.stream_merge(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/progress")
-    q.awaitTermination()
-    assert sorted(map(tuple, merge.live_records(merge.last_version(q, spark, f"file://{tmp_path}/out")).collect())) == want
+    out, progress = f"file://{tmp_path}/out", f"file://{tmp_path}/progress"
+    assert merge.last_version(spark, out) is None
+    merge.stream_merge(stream, out, progress).awaitTermination()
+    assert sorted(map(tuple, merge.live_records(merge.last_version(spark, out)).collect())) == want
+    merge.stream_merge(stream, out, progress).awaitTermination()  # a restart without new files
+    assert sorted(map(tuple, merge.live_records(merge.last_version(spark, out)).collect())) == want
+    assert max(len(v) for v in merge.versions(spark, out).values()) <= 2
+    late = [(1, "spend", "s0", 99, 0, "a", 5.0, False)]
+    spark.createDataFrame(late, EDIT).write.mode("append").parquet(source)
+    before = merge.versions(spark, out)
+    merge.stream_merge(stream, out, progress).awaitTermination()
+    assert sum(before[b][0] != v[0] for b, v in merge.versions(spark, out).items() if b in before) <= 1
+    again = merge.live_records(merge.reduce_edits(spark.createDataFrame(edits + late, EDIT)))
+    assert sorted(map(tuple, merge.live_records(merge.last_version(spark, out)).collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_agenda_with_birthdays(spark):
+    today = D(2026, 8, 25)
+    rows = [job(1, D(2026, 8, 27)), job(2, D(2026, 8, 20), repeat="daily"), job(3, D(2026, 8, 20))]
+    df = spark.createDataFrame(rows, JOB)
+    people = spark.createDataFrame([(1, "b1", "2/O Ali", D(1990, 8, 27)), (1, "b2", "Eva (Family)", D(1985, 9, 2))], "book_id int, id string, label string, dob date")
+    plan = agenda.build_agenda(df, spark.sql(VIEWS["repeat_days"]), today, 1, people)
+    got = {(r["day"], r["id"], r["note"]) for r in plan.where("not daily").collect()}
+    assert got == {(D(2026, 8, 27), "j1", ""), (D(2026, 8, 20), "j3", ""), (today, "j3", "overdue"), (D(2026, 8, 27), "b1", ""), (D(2026, 9, 2), "b2", "")}
+    daily = sorted((r["day"], r["forecast"]) for r in plan.where("daily").collect())
+    assert daily[0] == (today, False) and daily[1:] == [(today + dt.timedelta(k), True) for k in range(1, 32)]
+    cells = {r["day"]: r for r in agenda.month_cells(plan).collect()}
+    assert cells[D(2026, 8, 27)]["shown"].startswith("2/O Ali; ") and cells[D(2026, 9, 2)]["severity"] == "birthday" and cells[today]["severity"] == "urgent"
+    back = agenda.read_agenda(agenda.agenda_payload(plan))
+    assert back.count() == plan.count() and {r["job"] for r in back.where("birthday").collect()} == {"2/O Ali", "Eva (Family)"}
 
 
 def test_backups(spark):
@@ -218,6 +302,12 @@ def test_files(spark, tmp_path):
     sheet.write_text("﻿Due Date,Job,Interval\n03-Jul-2026,\"Grease, all\",weekly (7 days)\n,Undated,\nbad,Odd,\n05-Jul-2026,,\n", encoding="utf-8")
     rows = {r["job"]: r for r in files.read_jobs_csv(spark, f"file://{sheet}").collect()}
     assert rows["Grease, all"]["due"] == D(2026, 7, 3) and rows["Grease, all"]["repeat"] == "weekly" and rows["Undated"]["due"] is None and rows["Odd"]["priority"] == "normal" and len(rows) == 3
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed/a.csv").write_text("Job,Due Date,Interval\nShort sheet,05-Jul-2026,weekly (7 days)\n")
+    (tmp_path / "mixed/b.csv").write_text("Due Date,Job,Priority,Status,Date Completed,Remarks,Weekly Report,Deck Planner,RA,PTW,Permit Type,Interval\n01-Jul-2026,Long sheet,Urgent,Pending,,\"two\nlines\",Yes,Yes,No,No,,\n")
+    mixed = {r["job"]: r for r in files.read_jobs_csv(spark, f"file://{tmp_path}/mixed").collect()}
+    assert set(mixed) == {"Short sheet", "Long sheet"} and mixed["Short sheet"]["due"] == D(2026, 7, 5) and mixed["Short sheet"]["priority"] == "normal"
+    assert mixed["Long sheet"]["priority"] == "urgent" and mixed["Long sheet"]["remarks"] == "two\nlines" and mixed["Long sheet"]["planner"] and not mixed["Short sheet"]["planner"]
     days = spark.sql(VIEWS["repeat_days"])
     df = spark.createDataFrame([job(1, D(2026, 5, 10), job="Sound, tanks"), job(2, None), job(3, D(2026, 5, 11), True, D(2026, 5, 12))], JOB)
     files.write_jobs_csv(df, days, f"file://{tmp_path}/out")
@@ -230,6 +320,14 @@ def test_files(spark, tmp_path):
     files.write_backup_json(lists, f"file://{tmp_path}/backup")
     got = files.read_backup_json(spark, f"file://{tmp_path}/backup", {"loans": "id: string, principal: double", "spend": "id: string"})
     assert sorted(map(tuple, got["loans"].collect())) == [(1, "l1", 5.0), (2, "l2", 6.0)] and got["spend"].count() == 0
+    own = spark.createDataFrame([(2, "EUR", 3)], "book_id long, currency string, place int")
+    (tmp_path / "pretty").mkdir()
+    (tmp_path / "pretty/a.json").write_text('{\n  "app": "opsbook",\n  "book_id": 7,\n  "settings": {\n    "currency": "INR"\n  },\n  "data": {\n    "loans": [\n      {"id": "l9", "principal": 1.5}\n    ]\n  }\n}\n')
+    for r in files.backup_documents(lists, settings=own).collect():
+        (tmp_path / f"pretty/{r['book_id']}.json").write_text(r["document"] + "\n")
+    got = files.read_backup_json(spark, f"file://{tmp_path}/pretty", {"loans": "id: string, principal: double"}, settings="currency: string")
+    assert sorted(map(tuple, got["loans"].collect())) == [(1, "l1", 5.0), (2, "l2", 6.0), (7, "l9", 1.5)]
+    assert sorted(map(tuple, got["settings"].collect())) == [(2, "EUR"), (7, "INR")]
     files.write_ledger_csv(lists, f"file://{tmp_path}/flat")
     assert any(p.read_text().startswith('"list","id","name"') for p in (tmp_path / "flat").rglob("*.csv"))
     good = tmp_path / "i1.json"
