@@ -229,10 +229,10 @@ def parse(source: str) -> Block:
             elif kind == "print":
                 parts.append(Print(Expression(text).whole()))
             else:
-                word, _, rest = text.partition(" ")
+                word, rest = (text.split(None, 1) + ["", ""])[:2]
                 if word in ends:
                     return Block(tuple(parts)), text
-                parts.append(tag(word, rest.strip()))
+                parts.append(tag(word, rest))
         if ends:
             raise TemplateError(f"no {ends[-1]}")
         return Block(tuple(parts)), ""
@@ -399,7 +399,10 @@ class Template:
     """render(messages) gives the text and the spans, in code points, that generation marks."""
 
     def __init__(self, source: str) -> None:
-        self.run = writer_of(fold(parse(source)))
+        try:
+            self.run = writer_of(fold(parse(source)))
+        except RecursionError:
+            raise TemplateError("nested too deeply") from None
 
     def render(self, **names: Any) -> tuple[str, list[tuple[int, int]]]:
         out = Out()

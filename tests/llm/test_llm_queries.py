@@ -107,6 +107,18 @@ def test_op7(spark, sf_dir, docs):
         for k in range(len(w) - quality.REPEAT_WORDS + 1):
             long.setdefault(tuple(w[k : k + quality.REPEAT_WORDS]), []).append(k)
         assert r["covered_words"] == len({k + d for at in long.values() if len(at) > 1 for k in at for d in range(quality.REPEAT_WORDS)})
+        longest, place = 0, {}  # by growing windows from the words that repeat at all
+        for k in (k for at in long.values() if len(at) > 1 for k in at):
+            place.setdefault(tuple(w[k : k + quality.REPEAT_WORDS]), []).append(k)
+        for at in place.values():
+            for x in range(len(at)):
+                for y in at[x + 1 :]:
+                    n = quality.REPEAT_WORDS
+                    while y + n < len(w) and w[at[x] + n] == w[y + n]:
+                        n += 1
+                    longest = max(longest, n)
+        assert r["longest_repeat"] == longest
+        assert r["kept"] == (not r["base_failed"] and r["covered_words"] <= 0.3 * len(w) and longest <= 100)
 
 
 def test_op8(spark, sf_dir, docs):

@@ -610,6 +610,44 @@ def test_gradients():
         assert abs((high - low) / (2 * e) - got[i, j]) < 0.05 * max(1, abs(got[i, j]))
 
 
+def test_network_is_its_formula():
+    """States and probabilities of both directions, byte by byte, and the gradient of the byte rows."""
+    rng = np.random.default_rng(6)
+    look, back = ((rng.standard_normal(s) * 0.6).astype(np.float32) for s in ((256, 12), (4, 12)))
+    d = language.Direction(look, back)
+    text = rng.integers(0, 256, (9, 2))
+
+    def states(column: list[int]) -> list[np.ndarray]:
+        h, out = np.zeros(4), []
+        for c in column:
+            u = h @ back
+            z, r = (np.clip(0.5 + 0.25 * (look[c][k : k + 4] + u[k : k + 4]), 0, 1) for k in (0, 4))
+            new = np.clip(look[c][8:] + r * u[8:], -1, 1)
+            h = z * h + (1 - z) * new
+            out.append(h)
+        return out
+
+    got = d.run(text, None)
+    for lane in range(2):
+        assert np.allclose(got[:, lane], states(text[:, lane]), atol=1e-5)
+    net = language.Network(["a", "b"], d, d, rng.standard_normal((8, 2)).astype(np.float32), np.array([0.1, -0.2], np.float32))
+    p = net.documents([bytes(text[:, 0].tolist())])[0]
+    both = np.concatenate([states(text[:, 0]), states(text[::-1, 0])[::-1]], axis=1) @ net.out + net.bias
+    share = np.exp(both) / np.exp(both).sum(1, keepdims=True)
+    assert np.allclose(p, share.mean(0), atol=1e-5)
+    mask, up, tape = np.ones((9, 2), np.float32), rng.standard_normal((9, 2, 4)), []
+    d.run(text, mask, tape)
+    d_look, _ = d.grads(text, mask, tape, up)
+    for c in (int(text[0, 0]), int(text[4, 1]), int(text[8, 0])):
+        for j in (1, 6, 10):
+            look[c, j] += 1e-2
+            high = float((d.run(text, mask) * up).sum())
+            look[c, j] -= 2e-2
+            low = float((d.run(text, mask) * up).sum())
+            look[c, j] += 1e-2
+            assert abs((high - low) / 2e-2 - d_look[c, j]) < 0.05 * max(1, abs(d_look[c, j]))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
@@ -629,6 +667,10 @@ def test_templates():
         with pytest.raises(chat.TemplateError):
             chat.Template(bad)
     assert chat.Template("{{ x.__class__ }}").render(x="s")[0] == ""
+    assert chat.Template("{%\tfor\tm in ms\t%}{%\nif m\n%}{{ m }}{% endif %}{% endfor %}").render(ms=["a", "", "b"])[0] == "ab"
+    for deep in ("{{ " + "(" * 3000 + "x" + ")" * 3000 + " }}", "{{ " + "not " * 20_000 + "x }}", "{% if x %}" * 5000 + "{% endif %}" * 5000):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(deep)
 
 
 def test_chat_round_trip():
