@@ -20,6 +20,7 @@ from .shared import cut, whole_groups
 
 SHARD_ROWS = 16_384  # rows of one tree, and rows that search it in one task; a larger shard is split
 SET_ROWS = 1024  # the same where rows carry their shingle sets
+DEALS = 2  # times that the rows of a larger shard are dealt in cells
 BLOCK = 1 << 16  # shingles counted at once in a long text
 BANDS, BAND_ROWS, SIGNATURE = 16, 3, 128
 ESTIMATE_MARGIN = 0.15  # four times a signature's standard error at similarity 0.8: the exact check follows
@@ -148,24 +149,29 @@ def large_keys(rows: DataFrame, most: int) -> DataFrame:
 
 
 def cells(hot: DataFrame) -> DataFrame:
-    """Rows of large keys, each in one cell of its key."""
-    return hot.withColumns({"shard": F.xxhash64("key", F.pmod(F.xxhash64("id"), "trees")), "node": F.lit(True)})
+    """Rows of large keys, each in a cell of its key in each of DEALS dealings: cells of two dealings overlap, so what is
+    one component in most cells becomes one in all."""
+    dealt = hot.withColumn("deal", F.explode(F.array(*map(F.lit, range(DEALS)))))
+    return dealt.withColumns({"shard": F.xxhash64("key", "deal", F.pmod(F.xxhash64("id", "key", "deal"), "trees")), "node": F.lit(True)}).drop("deal", "trees")
 
 
-def crossings(hot: DataFrame, comps: DataFrame, most: int) -> DataFrame:
+def crossings(hot: DataFrame, comps: DataFrame, most: int) -> DataFrame | None:
     """Rows that must yet meet: those outside their key's largest component search every cell of the key.
 
     A cell's rows are copied to each part of so many searching rows, so a shard holds about twice `most` rows. Keys
-    whose rows have become one component are left out. What the largest component holds is linked already, so
-    a key costs its size times the number of parts that stand outside it, not its square.
+    whose rows have become one component are left out; None if all have. What the largest component holds is linked
+    already, so a key costs its size times the number of parts that stand outside it, not its square.
     """
     rows = hot.join(comps.withColumnRenamed("id", "_id"), hot["id"] == F.col("_id"), "left").withColumn("given", F.coalesce("component", "id")).drop("_id", "component")
     sizes = rows.groupBy("key", "given").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.max_by("given", F.struct("n", "given")).alias("top"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0")
-    rows = rows.join(keys.withColumn("parts", F.ceil(F.col("outside") / most).cast("int")).drop("outside"), "key")
-    trees = F.sequence(F.lit(0), F.col("trees") - 1)
+    keys = cut(keys.withColumn("parts", F.ceil(F.col("outside") / most).cast("int")).drop("outside"), "open-keys")
+    if keys.isEmpty():
+        return None
+    rows = rows.join(keys, "key")
     nodes = rows.withColumns({"tree": F.pmod(F.xxhash64("id"), "trees").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "node": F.lit(True)})
-    search = rows.where("given <> top").withColumns({"tree": F.explode(trees), "part": F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int"), "node": F.lit(False)})
+    trees = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
+    search = rows.where("given <> top").withColumns({"tree": trees, "part": F.pmod(F.xxhash64("id", F.lit(1)), "parts").cast("int"), "node": F.lit(False)})
     met = nodes.unionByName(search).withColumn("shard", F.xxhash64("key", "tree", "part"))
     return met.drop("tree", "part", "trees", "parts", "top")
 
@@ -204,30 +210,27 @@ def search_links(dealt: DataFrame, radius: int, similarity: float | None) -> Dat
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInPandas(run, "src long, dst long").where("src <> dst")
 
 
-def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """(key, id, fp[, sig[, grams]]) -> (src, dst): links that join each key's rows into its components.
+def shard_components(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+    """(key, id, fp[, sig[, grams]]) -> (id, component) of the links between rows of one key.
 
     With similarity, linked rows have an estimate no more than ESTIMATE_MARGIN below it; with grams also, their
     Jaccard similarity itself is that high.
 
-    A key with more rows than a tree takes is linked in steps: each cell of it on its own; then the smallest rows
-    of the components that this leaves, if one tree holds them; then whatever lies in different components still. No
-    link is lost and no task gets the whole key.
+    A key with more rows than a tree takes is linked in steps: its cells on their own, then whatever lies in different
+    components still. No link is lost and no task gets the whole key.
     """
     most = SET_ROWS if "grams" in rows.columns else SHARD_ROWS
     large = cut(large_keys(rows, most), "hot-keys")
     if large.isEmpty():
-        return search_links(rows.withColumns({"shard": F.col("key"), "node": F.lit(True)}), radius, similarity)
+        return components(search_links(rows.withColumns({"shard": F.col("key"), "node": F.lit(True)}), radius, similarity))
     hot, cool = rows.join(large, "key"), rows.join(large, "key", "left_anti")
-    dealt = cells(hot).drop("trees").unionByName(cool.withColumns({"shard": F.col("key"), "node": F.lit(True)}))
-    links = cut(search_links(dealt, radius, similarity), "links")
-    comps = components(links)
-    led = hot.join(comps.where("id <> component").select("id"), "id", "left_anti").drop("trees")
-    few = led.groupBy("key").count().where(F.col("count").between(2, most)).select("key")
-    heads = led.join(few, "key").withColumns({"shard": F.col("key"), "node": F.lit(True)})
-    links = links.unionByName(cut(search_links(heads, radius, similarity), "links"))
-    met = crossings(hot, components(links), most)
-    return links.unionByName(search_links(met, radius, similarity))
+    dealt = cells(hot).unionByName(cool.withColumns({"shard": F.col("key"), "node": F.lit(True)}))
+    found = components(search_links(dealt, radius, similarity))
+    met = crossings(hot, found, most)
+    if met is None:
+        return found
+    known = found.select(F.col("id").alias("src"), F.col("component").alias("dst"))
+    return components(known.unionByName(search_links(met, radius, similarity)))
 
 
 # --- linking by fingerprint alone ---------------------------------------------------------------------------
@@ -265,7 +268,7 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
     fps = cut(fingerprints(docs, width), "fingerprints")
     vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     keyed = vertices.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("id"), "fp")
-    comps = components(shard_links(keyed, radius))
+    comps = shard_components(keyed, radius)
     named = vertices.join(comps.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(least, "component").select("fp", "component_id")
@@ -341,10 +344,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     rows = cut(texts.mapInPandas(run, "doc_id long, same long, fp long, sig binary, keys array<long>"), "sketches")
     vertices = cut(rows.groupBy("same", "fp").agg(F.min_by(F.struct("doc_id", "sig", "keys"), "doc_id").alias("r")).select("same", "fp", "r.*"), "vertices")
     keyed = vertices.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "fp", "sig")
-    near = components(shard_links(keyed, radius, similarity))
+    near = shard_components(keyed, radius, similarity)
     found = texts.join(near, texts["doc_id"] == near["id"]).select(F.col("component").alias("key"), "id", "text")
     found = cut(found.mapInPandas(sets, "key long, id long, fp long, sig binary, grams binary"), "near-sets")
-    comps = components(shard_links(found, radius, similarity))
+    comps = shard_components(found, radius, similarity)
     copies = rows.select("doc_id", "same", "fp").join(vertices.select("same", "fp", F.col("doc_id").alias("id")), ["same", "fp"])
     return (
         copies.join(comps, "id", "left")

@@ -219,7 +219,7 @@ def test_simhash_components_of_a_split_shard(spark, monkeypatch):
     rng = np.random.default_rng(4)
     fp = np.unique(np.array([int(x) for x in rng.integers(0, 3, 120)]) * 7 + (1 << rng.integers(0, 60, 120)))
     rows = spark.createDataFrame([(1, int(x), int(x)) for x in fp], "key long, id long, fp long")
-    found = {r["id"]: r["component"] for r in graph.components(simhash.shard_links(rows, 3)).collect()}
+    found = {r["id"]: r["component"] for r in simhash.shard_components(rows, 3).collect()}
     a, b = np.triu_indices(len(fp), 1)
     near = np.bitwise_count(fp[a].astype(np.uint64) ^ fp[b].astype(np.uint64)) <= 3
     want = graph.local_components(len(fp), a[near], b[near])
@@ -237,10 +237,10 @@ def test_a_hot_key_is_dealt_in_bounded_shards(spark, monkeypatch):
     hot = rows.join(simhash.large_keys(rows, 200), "key")
     parts = simhash.cells(hot)
     assert parts.groupBy("shard").count().agg({"count": "max"}).first()[0] < 300
-    comps = graph.components(simhash.search_links(parts.drop("trees"), 3, None))
+    comps = graph.components(simhash.search_links(parts, 3, None))
     met = simhash.crossings(hot, comps, 200)
     assert met.groupBy("shard").count().agg({"count": "max"}).first()[0] < 600
-    found = {r["id"]: r["component"] for r in graph.components(simhash.shard_links(rows, 3)).collect()}
+    found = {r["id"]: r["component"] for r in simhash.shard_components(rows, 3).collect()}
     a, b = np.triu_indices(len(fp), 1)
     near = np.bitwise_count(fp[a].astype(np.uint64) ^ fp[b].astype(np.uint64)) <= 3
     want = graph.local_components(len(fp), a[near], b[near])
