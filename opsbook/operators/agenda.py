@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PART_ENTRIES = 2_000  # entries of a day in one payload, about
 
 
 def project_occurrences(jobs: DataFrame, repeat_days: DataFrame, start: dt.date, end: dt.date, daily: bool = False) -> DataFrame:
@@ -118,12 +119,17 @@ def reminder_summary(agenda: DataFrame, today: dt.date, settings: DataFrame, min
 
 
 def agenda_payload(agenda: DataFrame) -> DataFrame:
-    """(book_id, day, payload): the day's `jobs` and `bdays` (labels) as JSON; a day without entries has no row."""
+    """(book_id, day, part, payload): the day's `jobs` and `bdays` (labels) as JSON; a day without entries has no row.
+
+    A day of more than PART_ENTRIES entries is dealt in parts by a hash of its entries.
+    """
     entry = F.struct(
         F.col("id").alias("i"), F.col("job").alias("t"), F.col("priority").alias("p"), F.col("done").alias("d"), F.col("forecast").alias("r"), F.col("note").alias("w"), F.col("daily").alias("dy")
     )
+    parts = agenda.groupBy("book_id", "day").agg(F.ceil(F.count("*") / PART_ENTRIES).cast("int").alias("parts"))
+    rows = agenda.join(parts, ["book_id", "day"]).withColumn("part", F.pmod(F.xxhash64("id", "job", "note", "forecast"), "parts").cast("int"))
     jobs, bdays = F.collect_list(F.when(~F.col("birthday"), entry)), F.collect_list(F.when(F.col("birthday"), F.col("job")))
-    return agenda.groupBy("book_id", "day").agg(F.to_json(F.struct(F.sort_array(jobs).alias("jobs"), F.sort_array(bdays).alias("bdays"))).alias("payload"))
+    return rows.groupBy("book_id", "day", "part").agg(F.to_json(F.struct(F.sort_array(jobs).alias("jobs"), F.sort_array(bdays).alias("bdays"))).alias("payload"))
 
 
 def read_agenda(payloads: DataFrame) -> DataFrame:

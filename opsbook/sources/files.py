@@ -11,6 +11,7 @@ CRLF = "\r\n"
 DAY = "dd-MMM-yyyy"
 SHEET = ("Due Date", "Job", "Priority", "Status", "Date Completed", "Remarks", "Weekly Report", "RA", "PTW", "Permit Type", "Interval")
 SHEET_WIDTH = 64
+PART_ROWS = 20_000  # records of a book in one backup document, about
 
 
 # --- jobs ---------------------------------------------------------------------------------------------------
@@ -100,11 +101,13 @@ def calendar_events(jobs: DataFrame) -> DataFrame:
 
 
 def write_ics(jobs: DataFrame, path: str, stamp: str = "20240101T000000Z") -> None:
-    """A calendar per book; a book's events are one text, as the format wants."""
+    """A calendar file per book; its events are rows that one task writes one after another, never one value."""
     events = calendar_events(jobs).withColumn("event", F.replace("event", F.lit(CRLF + "DTSTART"), F.lit(f"{CRLF}DTSTAMP:{stamp}{CRLF}DTSTART")))
-    whole = events.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_list("event")), CRLF).alias("e"))
-    head, tail = CRLF.join(["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//opsbook//jobs//EN", ""]), CRLF + "END:VCALENDAR" + CRLF
-    whole.select("book_id", F.concat(F.lit(head), "e", F.lit(tail)).alias("value")).write.partitionBy("book_id").option("lineSep", "\n").text(path)
+    head = CRLF.join(["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//opsbook//jobs//EN"])
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("place"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("place"), F.lit("END:VCALENDAR").alias("value")))).alias("e")
+    frame = events.select("book_id").distinct().select("book_id", ends).select("book_id", "e.*")
+    rows = events.select("book_id", F.lit(1).alias("place"), F.col("event").alias("value")).unionByName(frame)
+    rows.repartition("book_id").sortWithinPartitions("book_id", "place", "value").drop("place").write.partitionBy("book_id").option("lineSep", CRLF).text(path)
 
 
 # --- ledgers ------------------------------------------------------------------------------------------------
@@ -127,21 +130,27 @@ def write_ledger_csv(lists: dict[str, DataFrame], path: str) -> None:
 
 
 def backup_documents(lists: dict[str, DataFrame], app: str = "opsbook", version: int = 1, settings: DataFrame | None = None) -> DataFrame:
-    """(book_id, document): each book's lists, and its settings (book_id, …; one row), as one JSON document."""
+    """(book_id, part, document): each book's lists, and its settings (book_id, …; one row) in part 0, as JSON documents.
+
+    A book of more than PART_ROWS records is dealt in parts by a hash of its records, so no value holds a large
+    book; reading explodes them all.
+    """
     rows = None
     for name, df in lists.items():
         row = F.to_json(F.struct(*(c for c in df.columns if c != "book_id")))
         own = df.select("book_id", F.lit(name).alias("list"), row.alias("row"))
         rows = own if rows is None else rows.unionByName(own)
-    per_list = rows.groupBy("book_id", "list").agg(F.array_join(F.sort_array(F.collect_list("row")), ",").alias("rows"))
+    parts = rows.groupBy("book_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    rows = rows.join(parts, "book_id").withColumn("part", F.pmod(F.xxhash64("list", "row"), "parts").cast("int"))
+    per_list = rows.groupBy("book_id", "part", "list").agg(F.array_join(F.sort_array(F.collect_list("row")), ",").alias("rows"))
     part = F.concat(F.lit('"'), "list", F.lit('":['), "rows", F.lit("]"))
-    whole = per_list.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_list(part)), ",").alias("data"))
+    whole = per_list.groupBy("book_id", "part").agg(F.array_join(F.sort_array(F.collect_list(part)), ",").alias("data"))
     head = F.concat(F.lit(f'{{"app":"{app}","version":{version},"book_id":'), F.col("book_id").cast("string"))
     if settings is not None:
-        own = settings.select("book_id", F.to_json(F.struct(*(c for c in settings.columns if c != "book_id"))).alias("s"))
-        whole = whole.join(own, "book_id", "left")
+        own = settings.select("book_id", F.lit(0).alias("part"), F.to_json(F.struct(*(c for c in settings.columns if c != "book_id"))).alias("s"))
+        whole = whole.join(own, ["book_id", "part"], "full_outer").withColumn("data", F.coalesce("data", F.lit("")))
         head = F.concat(head, F.when(F.col("s").isNull(), "").otherwise(F.concat(F.lit(',"settings":'), "s")))
-    return whole.select("book_id", F.concat(head, F.lit(',"data":{'), "data", F.lit("}}")).alias("document"))
+    return whole.select("book_id", "part", F.concat(head, F.lit(',"data":{'), "data", F.lit("}}")).alias("document"))
 
 
 def write_backup_json(lists: dict[str, DataFrame], path: str, settings: DataFrame | None = None) -> None:

@@ -297,7 +297,7 @@ def test_checks_refuse_empty_input(spark):
         media.orphan_media(empty, {"jobs": []}, D(2026, 1, 1))
 
 
-def test_files(spark, tmp_path):
+def test_files(spark, tmp_path, monkeypatch):
     sheet = tmp_path / "jobs.csv"
     sheet.write_text("﻿Due Date,Job,Interval\n03-Jul-2026,\"Grease, all\",weekly (7 days)\n,Undated,\nbad,Odd,\n05-Jul-2026,,\n", encoding="utf-8")
     rows = {r["job"]: r for r in files.read_jobs_csv(spark, f"file://{sheet}").collect()}
@@ -315,7 +315,7 @@ def test_files(spark, tmp_path):
     assert back["Sound, tanks"]["due"] == D(2026, 5, 10) and back["job 3"]["done"] and back["job 3"]["date_completed"] == D(2026, 5, 12)
     files.write_ics(df, f"file://{tmp_path}/ics")
     raw = b"".join(p.read_bytes() for p in (tmp_path / "ics").rglob("part-*.txt")).decode()
-    assert raw.startswith("BEGIN:VCALENDAR\r\nVERSION:2.0") and raw.count("BEGIN:VEVENT") == 1 and "SUMMARY:Sound\\, tanks" in raw and "DTSTAMP:" in raw
+    assert raw.startswith("BEGIN:VCALENDAR\r\nVERSION:2.0") and raw.endswith("END:VEVENT\r\nEND:VCALENDAR\r\n") and raw.count("BEGIN:VEVENT") == 1 and "SUMMARY:Sound\\, tanks" in raw and "DTSTAMP:" in raw
     lists = {"loans": spark.createDataFrame([(1, "l1", 5.0), (2, "l2", 6.0)], "book_id long, id string, principal double")}
     files.write_backup_json(lists, f"file://{tmp_path}/backup")
     got = files.read_backup_json(spark, f"file://{tmp_path}/backup", {"loans": "id: string, principal: double", "spend": "id: string"})
@@ -328,6 +328,12 @@ def test_files(spark, tmp_path):
     got = files.read_backup_json(spark, f"file://{tmp_path}/pretty", {"loans": "id: string, principal: double"}, settings="currency: string")
     assert sorted(map(tuple, got["loans"].collect())) == [(1, "l1", 5.0), (2, "l2", 6.0), (7, "l9", 1.5)]
     assert sorted(map(tuple, got["settings"].collect())) == [(2, "EUR"), (7, "INR")]
+    monkeypatch.setattr(files, "PART_ROWS", 7)
+    many = spark.range(100).selectExpr("id % 2 AS book_id", "concat('l', id) AS id", "id * 1.0D AS principal")
+    documents = files.backup_documents({"loans": many}, settings=own)
+    assert documents.where("book_id < 2").count() > 10 and documents.where("book_id = 2").count() == 1
+    again = files.parse_backups(documents, {"loans": "id: string, principal: double"}, "currency: string")
+    assert sorted(map(tuple, again["loans"].collect())) == sorted(map(tuple, many.collect())) and again["settings"].count() == 1
     files.write_ledger_csv(lists, f"file://{tmp_path}/flat")
     assert any(p.read_text().startswith('"list","id","name"') for p in (tmp_path / "flat").rglob("*.csv"))
     good = tmp_path / "i1.json"
