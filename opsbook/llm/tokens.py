@@ -1,4 +1,7 @@
-"""Token ids of many texts at once: words are divided in numpy, each distinct word is encoded by the library once."""
+"""Token ids of many texts at once: words are divided in numpy, each distinct word is encoded by the library's model once.
+
+For byte-level vocabularies. Texts with characters whose division is not certain here go to the library whole.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +16,9 @@ LIMIT = 0x2100  # texts with characters from here on go to the library whole
 MEMO = 1_000_000  # distinct words kept by a Python worker
 BASE = 0x9E3779B97F4A7C15  # of the hash under which a word is looked up
 LONGEST = 256  # characters of a word that is kept; a longer one goes to the library each time
+SPAN = 1 << 18  # characters whose hashes are summed in one go
+SLOTS = 1 << 21  # of the table in which kept words are looked up by their hash
+MIX, SHIFT = np.uint64(0xD6E8FEB86659FD93), np.uint64(43)
 
 
 def _classes() -> np.ndarray:
@@ -28,6 +34,17 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones of Latin-1 for themselves, the
+    others by those from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+
+
 @dataclass(frozen=True)
 class Kind:
     """A tokenizer file of the tokenizers library, and how it divides words."""
@@ -81,14 +98,58 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.kind, self.library = kind, Tokenizer.from_file(kind.path)
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        powers = [np.full(SPAN + LONGEST, x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64))]
+        for p in powers:
+            p[0] = 1
+        self.power, self.inverse = (np.multiply.accumulate(p) for p in powers)
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.at, self.size = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.word_at, self.word_size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.slot_key, self.slot_word = np.zeros(SLOTS, np.uint64), np.full(SLOTS, -1, np.int32)
+        self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.word_at, self.word_size = np.empty(0, np.int32), np.empty(0, np.int64)
         self.flat, self.chars = np.empty(0, np.uint32), np.empty(0, np.uint16)
 
+    def _keys(self, chars: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A 64-bit hash, never 0, of each word of at most LONGEST characters: a polynomial from sums over all characters."""
+        key = np.empty(len(first), np.uint64)
+        for s in range(0, len(chars), SPAN):
+            x, y = np.searchsorted(first, [s, s + SPAN])
+            part = chars[s : s + SPAN + LONGEST].astype(np.uint64)
+            part += np.uint64(1)
+            part *= self.power[: len(part)]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)])
+            at = first[x:y] - s
+            key[x:y] = (sums[np.minimum(last[x:y] - s, len(part))] - sums[at]) * self.inverse[at]
+        return np.maximum(key, np.uint64(1))
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The kept word with this hash, or -1."""
+        slot = (key * MIX >> SHIFT).astype(np.int64)
+        word, todo = self.slot_word[slot], np.flatnonzero(self.slot_key[slot] != key)
+        while len(todo):
+            taken = self.slot_key[slot[todo]] != 0
+            word[todo[~taken]] = -1
+            todo = todo[taken]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+            word[todo] = self.slot_word[slot[todo]]
+            todo = todo[self.slot_key[slot[todo]] != key[todo]]
+        return word
+
+    def _place(self, key: np.ndarray, word: np.ndarray) -> None:
+        """Enter new, distinct hashes into the table."""
+        slot, todo = (key * MIX >> SHIFT).astype(np.int64), np.arange(len(key))
+        while len(todo):
+            todo = todo[np.argsort(slot[todo], kind="stable")]
+            own = slot[todo]
+            free = self.slot_key[own] == 0
+            free[1:] &= own[1:] != own[:-1]
+            self.slot_key[own[free]], self.slot_word[own[free]] = key[todo[free]], word[todo[free]]
+            todo = todo[~free]
+            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+
     def _plain(self, text: str) -> str | None:
         """The text as words are divided in it; None if only the library may divide it."""
         if any(s in text for s in self.special):
@@ -102,24 +163,24 @@ class Encoder:
         return text
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The library's ids of these words in one array, and how many each has."""
-        ids, size = [np.empty(0, np.uint32)], np.zeros(len(words), np.int64)
-        for k in range(0, len(words), 4096):
-            e = self.library.encode(words[k : k + 4096], is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(e.ids, np.uint32))
-            size[k : k + 4096] = np.bincount(np.array(e.word_ids, np.int64), minlength=len(words[k : k + 4096]))
-        return np.concatenate(ids), size
+        """The library's ids of these words in one array, and how many each has: its model on the words' bytes."""
+        ids: list[int] = []
+        size = np.empty(len(words), np.int64)
+        for k, w in enumerate(words):
+            found = self.model.tokenize(w.encode().decode("latin-1").translate(BYTE_CHARS))
+            ids += [t.id for t in found]
+            size[k] = len(found)
+        return np.array(ids, np.uint32), size
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         ids, size = self._ids(words)
         long = np.array([len(w) for w in words], np.int64)
-        new = keys, np.cumsum(size) - size + len(self.flat), size, np.cumsum(long) - long + len(self.chars), long
+        self._place(keys, np.arange(len(self.at), len(self.at) + len(keys)))
+        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.flat)])
+        self.word_at = np.concatenate([self.word_at, np.cumsum(long) - long + len(self.chars)]).astype(np.int32)
+        self.size, self.word_size = np.concatenate([self.size, size]), np.concatenate([self.word_size, long])
         self.flat = np.concatenate([self.flat, ids])
-        self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), np.uint16)])
-        place = np.searchsorted(self.key, keys)
-        names = ("key", "at", "size", "word_at", "word_size")
-        for name, values in zip(names, new):
-            setattr(self, name, np.insert(getattr(self, name), place, values))
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(words).encode("utf-16-le"), np.uint16)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         plain = [self._plain(t) for t in texts]
@@ -157,36 +218,34 @@ class Encoder:
         if not len(first):
             return np.empty(0, np.uint32), (first, first)
         size = last - first
-        edges = np.concatenate([[0], np.cumsum(size)])
-        offset = np.arange(edges[-1]) - np.repeat(edges[:-1], size)
-        power = np.multiply.accumulate(np.full(int(size.max()), BASE, np.uint64))
-        kept = chars if edges[-1] == len(chars) else chars[np.repeat(first, size) + offset]
-        with np.errstate(over="ignore"):
-            key = np.add.reduceat((kept.astype(np.uint64) + np.uint64(1)) * power[offset], edges[:-1])
         plain = size <= LONGEST
-        distinct, lead, inverse = np.unique(key[plain], return_index=True, return_inverse=True)
-        lead = np.flatnonzero(plain)[lead]
-        if len(self.key) + len(distinct) > MEMO:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.key, distinct), max(len(self.key) - 1, 0))
-        new = self.key[at] != distinct if len(self.key) else np.ones(len(distinct), bool)
-        if new.any():
-            self._learn(distinct[new], [big[s:e] for s, e in zip(first[lead[new]].tolist(), last[lead[new]].tolist())])
-            at = np.searchsorted(self.key, distinct)
-        # a key is not proof: every word is compared with the word that the memo has under its key
-        entry = np.zeros(len(first), np.int64)
-        entry[plain] = at[inverse]
-        same = plain.copy()
-        same[plain] = self.word_size[entry[plain]] == size[plain]
-        if same.all():
-            each, alike = size, kept == self.chars[np.repeat(self.word_at[entry], size) + offset]
+        key = self._keys(chars, first, last)
+        entry = np.where(plain, self._find(key), -1)
+        new = np.flatnonzero(plain & (entry < 0))
+        if len(new):
+            fresh, lead = np.unique(key[new], return_index=True)
+            if len(self.at) + len(fresh) > MEMO:
+                self.clear()
+                new = np.flatnonzero(plain)
+                fresh, lead = np.unique(key[new], return_index=True)
+            fresh, lead = fresh[:MEMO], new[lead[:MEMO]]  # what one long text has beyond that stays with the library
+            self._learn(fresh, [big[s:e] for s, e in zip(first[lead].tolist(), last[lead].tolist())])
+            entry[new] = self._find(key[new])
+        # a hash is not proof: every word is compared with the word that is kept under its hash
+        same = entry >= 0
+        entry = np.maximum(entry, 0)
+        if len(self.at):
+            same &= self.word_size[entry] == size
+        each = np.where(same, size, 0)
+        edges = np.cumsum(each) - each
+        step = np.arange(int(each.sum()), dtype=np.int32)
+        if len(step) == len(chars):
+            own = chars
         else:
-            each = np.where(same, size, 0)
-            inner = np.repeat(same, size)
-            alike = kept[inner] == self.chars[np.repeat(self.word_at[entry], each) + offset[inner]]
+            own = chars[np.repeat((first - edges).astype(np.int32), each) + step]
+        alike = own == self.chars[np.repeat(self.word_at[entry] - edges.astype(np.int32), each) + step] if len(step) else np.ones(0, bool)
         if not alike.all():
-            owner = np.repeat(np.arange(len(first)), each)
-            same[owner[~alike]] = False
+            same[np.repeat(np.arange(len(first)), each)[~alike]] = False
         place, n, flat = self.at[entry] if len(self.at) else entry, self.size[entry] if len(self.at) else entry, self.flat
         if not same.all():  # long words, and words whose key another word has
             odd = np.flatnonzero(~same)

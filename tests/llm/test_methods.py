@@ -58,6 +58,8 @@ def test_words_of_one_hash_stay_apart(name, space, lower, monkeypatch):
         check(enc, [word, other])
         check(enc, [f"{other} x", f"y {word}"])
     check(enc, ["".join(r.choice("ab") for _ in range(r.randrange(1, 3000))) for _ in range(60)])
+    monkeypatch.setattr(tokens, "MEMO", 50)  # more distinct words in one text than are kept
+    check(tokens.Encoder(kind), [" ".join("".join(r.choice("abcde") for _ in range(5)) for _ in range(300)), "ab cd", "x"])
     monkeypatch.setattr(tokens, "BASE", 1)
     words = ["".join(r.sample("abcdefg", 4)) for _ in range(400)]
     enc = tokens.Encoder(kind)
