@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, quality, simhash, substrings, tokencount, tokenfiles, warc
+from . import chat, decontaminate, language, merkle, packing, quality, simhash, substrings, tokencount, tokenfiles, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,15 @@ def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_benchmark_decontamination, op4_simhash_neardup, op5_language_id,
-        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives,
+        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives, op11_merkle_manifest,
     )
 }
 
@@ -102,5 +106,45 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM keyed JOIN bits USING (hex)
+""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+           list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text) || ':' ||
+         CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS changed
+  FROM fields
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS total
+  FROM leaves
+), low AS (
+  SELECT tree, 0 AS level, place, total, leaf AS hash FROM placed
+  UNION ALL SELECT tree, level + 1, place // 16, (total + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM low WHERE total > 1 GROUP BY tree, level, place // 16, total
+), subroots AS (SELECT tree, level, hash, count(*) OVER () AS total FROM low WHERE total = 1),
+high AS (
+  SELECT 0 AS level, tree AS place, total, hash FROM subroots
+  UNION ALL SELECT level + 1, place // 16, (total + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)) FROM high WHERE total > 1 GROUP BY level, place // 16, total
+), members AS (
+  SELECT tree, level, place, hash, tree AS up_tree, level + 1 AS up_level, place // 16 AS up_place FROM low WHERE total > 1
+  UNION ALL SELECT -1, level, place, hash, -1, level + 1, place // 16 FROM high WHERE total > 1 AND level > 0
+  UNION ALL SELECT tree, level, 0, hash, -1, 1, tree // 16 FROM subroots WHERE total > 1
+), nodes AS (
+  SELECT a.tree, a.level, a.place, a.up_tree, a.up_level, a.up_place, coalesce(string_agg(b.hash, '' ORDER BY b.tree, b.place) FILTER (WHERE (b.tree, b.place) < (a.tree, a.place)), '') AS before,
+         coalesce(string_agg(b.hash, '' ORDER BY b.tree, b.place) FILTER (WHERE (b.tree, b.place) > (a.tree, a.place)), '') AS after
+  FROM members a JOIN members b USING (up_tree, up_level, up_place) GROUP BY ALL
+), climb AS (
+  SELECT tree AS of_tree, place AS of_place, tree, 0 AS level, place, changed AS fold, '' AS siblings FROM placed
+  UNION ALL
+  SELECT c.of_tree, c.of_place, n.up_tree, n.up_level, n.up_place, sha256(n.before || c.fold || n.after), c.siblings || n.before || n.after FROM climb c JOIN nodes n USING (tree, level, place)
+), ends AS (SELECT of_tree, of_place, max_by(siblings, CASE WHEN tree = -1 THEN 1000 ELSE 0 END + level) AS siblings,
+            max_by(fold, CASE WHEN tree = -1 THEN 1000 ELSE 0 END + level) AS folded_root FROM climb GROUP BY 1, 2),
+root AS (SELECT hash AS root FROM high WHERE total = 1)
+SELECT p.doc_id, p.leaf, s.hash AS subroot, root, sha256(e.siblings) AS proof_sha256, e.folded_root, e.folded_root = root AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN ends e ON e.of_tree = p.tree AND e.of_place = p.place, root
 """,
 }
