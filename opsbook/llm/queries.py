@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, merkle, packing, quality, simhash, substrings, tokencount, tokenfiles, warc
+from . import chat, decontaminate, language, merkle, packing, quality, simhash, substrings, tokencount, tokenfiles, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_benchmark_decontamination, op4_simhash_neardup, op5_language_id,
-        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives, op11_merkle_manifest,
+        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives, op11_merkle_manifest, op12_vector_codes,
     )
 }
 
@@ -146,5 +150,30 @@ high AS (
 root AS (SELECT hash AS root FROM high WHERE total = 1)
 SELECT p.doc_id, p.leaf, s.hash AS subroot, root, sha256(e.siblings) AS proof_sha256, e.folded_root, e.folded_root = root AS verified
 FROM placed p JOIN subroots s USING (tree) JOIN ends e ON e.of_tree = p.tree AND e.of_place = p.place, root
+""",
+    "op12_vector_codes": """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (
+  SELECT r, i // (len(embedding) // 16) AS p, i % (len(embedding) // 16) AS j, CAST(floor(256 * embedding[CAST(i + 1 AS BIGINT)]::DOUBLE) AS BIGINT) AS x
+  FROM (SELECT r, embedding, unnest(range(len(embedding))) AS i FROM kept)
+), b0 AS (SELECT p, r - 1 AS e, j, x FROM cells WHERE r <= 64),
+a1 AS (
+  SELECT r, p, min([d, e]) AS best FROM (SELECT c.r, c.p, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN b0 b USING (p, j) GROUP BY ALL) GROUP BY ALL
+), b1 AS (
+  SELECT o.p, o.e, o.j, coalesce(m.x, o.x) AS x FROM b0 o LEFT JOIN (
+    SELECT c.p, a.best[2] AS e, c.j, CAST(floor(sum(c.x)::DOUBLE / count(*)) AS BIGINT) AS x FROM cells c JOIN a1 a USING (r, p) GROUP BY ALL) m USING (p, e, j)
+), a2 AS (
+  SELECT r, p, min([d, e]) AS best FROM (SELECT c.r, c.p, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN b1 b USING (p, j) GROUP BY ALL) GROUP BY ALL
+), b2 AS (
+  SELECT o.p, o.e, o.j, coalesce(m.x, o.x) AS x FROM b1 o LEFT JOIN (
+    SELECT c.p, a.best[2] AS e, c.j, CAST(floor(sum(c.x)::DOUBLE / count(*)) AS BIGINT) AS x FROM cells c JOIN a2 a USING (r, p) GROUP BY ALL) m USING (p, e, j)
+), a3 AS (
+  SELECT r, p, min([d, e]) AS best FROM (SELECT c.r, c.p, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d FROM cells c JOIN b2 b USING (p, j) GROUP BY ALL) GROUP BY ALL
+),
+coded AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a3 GROUP BY r),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), digest
 """,
 }
