@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, merkle, packing, quality, simhash, substrings, tokencount, tokenfiles, vectorcodes, warc
+from . import chat, decontaminate, language, merkle, ngramjoin, packing, quality, simhash, substrings, tokencount, tokenfiles, vectorcodes, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +72,15 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectorcodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_benchmark_decontamination, op4_simhash_neardup, op5_language_id,
-        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives, op11_merkle_manifest, op12_vector_codes,
+        op6_token_counts, op7_quality_rules, op8_token_files, op9_chat_format, op10_warc_archives, op11_merkle_manifest, op12_vector_codes, op13_ngram_join,
     )
 }
 
