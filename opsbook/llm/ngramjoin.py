@@ -34,7 +34,8 @@ CHUNK_DOCS = 60_000
 HEAVY = 16  # documents of a chunk that have a shingle: with more, the chunk lists them itself and it counts as held by most
 BUCKETS = 4  # for each shuffle partition
 EVERY = 0xFFFF  # in place of a document: a shingle that its chunk holds as heavy
-SHARD_ROWS = 1024  # sets of a shard, and sets that search it
+GROUP_ROWS = 256  # sets of a group that is one shard
+SHARD_ROWS = 512  # sets of a key's shard, and sets that search it
 SMALL = 32  # shards of so many sets are searched by all of them at once
 LEADERS = 8  # sets that the sets of a larger shard are compared with first
 MU = 0.01  # DivideSkip's weight of a merge step against a look-up
@@ -328,30 +329,58 @@ def search_links(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "size", "id").mapInPandas(run, "src long, dst long").where("src <> dst")
 
 
-def shard_rows(vertices: DataFrame) -> DataFrame:
-    """(key, id, size, shared): each set under those of its first shingles that another set has among its first too."""
+def first_shingles(vertices: DataFrame) -> DataFrame:
+    """(id, key, place): of each set's first shingles those that another set has among its first too; written once.
+
+    Shingles that the same sets have are one key.
+    """
     need = F.ceil(F.col("size") * PERCENT / 100)
     first = F.greatest(F.size("shared") - need + 1, F.lit(0)).cast("int")  # what is left of size - need + 1 after its own shingles
-    keys = vertices.where(first > 0).select("id", F.explode(F.slice("shared", F.lit(1), first)).alias("key"))
-    keys = cut(keys, "shingle-keys")
-    live = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(live, "key").join(vertices.select("id", "size", "shared"), "id").select("key", "id", "size", "shared")
-
-
-def set_components(rows: DataFrame) -> DataFrame:
-    """(key, id, size, shared) -> (id, component). A key of more than SHARD_ROWS sets is linked in steps: its cells on their
-    own, then whatever lies in different components still, so no link is lost and no task gets the whole key."""
-    large = cut(large_keys(rows, SHARD_ROWS), "hot-shingles")
-    cool = rows.join(large, "key", "left_anti").withColumns({"shard": F.col("key"), "node": F.lit(True)})
-    if large.isEmpty():
-        return components(search_links(cool))
-    hot = cut(rows.join(large, "key"), "hot-sets")
-    found = components(search_links(cells(hot).unionByName(cool, allowMissingColumns=True)))
-    met = crossings(hot, found, SHARD_ROWS)
-    if met is None:
-        return found
+    keys = cut(vertices.where(first > 0).select("id", F.posexplode(F.slice("shared", F.lit(1), first)).alias("place", "key")), "shingle-keys")
+    mark = F.xxhash64("id")
+    members = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark)).alias("y")).where("n > 1")
+    kept = members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return cut(keys.join(kept, "key").select("id", "key", "place"), "live-keys")
+
+
+def with_sets(rows: DataFrame, vertices: DataFrame) -> DataFrame:
+    return rows.join(vertices.select("id", "size", "shared"), "id")
+
+
+def set_components(vertices: DataFrame) -> DataFrame:
+    """(id, size, shared) -> (id, component): sets joined by links between them.
+
+    Sets that share keys, directly or by way of others, form a group. A group of up to GROUP_ROWS is one shard, so its sets
+    are sent once and not under every key. In a larger group each set first goes to the shard of its rarest key alone,
+    which links most of what is alike; then only keys whose sets are in different components still are searched.
+    A key of more than SHARD_ROWS sets is dealt in cells, and what is outside its largest component searches all its cells.
+    No link is lost and no task gets a whole large key.
+    """
+    keys = first_shingles(vertices)
+    least = keys.groupBy("key").agg(F.min("id").alias("dst"))
+    groups = components(keys.join(least, "key").select(F.col("id").alias("src"), "dst"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
+    groups = cut(groups.join(sizes, "component").select("id", F.col("component").alias("group"), (F.col("n") > GROUP_ROWS).alias("large")), "shingle-groups")
+    shards = with_sets(groups.where("not large").select("id", F.xxhash64("group").alias("shard")), vertices).withColumn("node", F.lit(True))
+    rest = keys.join(groups.where("large").select("id"), "id", "left_semi")
+    if rest.isEmpty():
+        return components(search_links(shards))
+    rest = cut(rest, "large-groups")
+    own = rest.groupBy("id").agg(F.min_by("key", "place").alias("key"))
+    large = cut(large_keys(own, SHARD_ROWS), "hot-keys")
+    cool = own.join(large, "key", "left_anti").select("id", F.xxhash64("key").alias("shard")).withColumn("node", F.lit(True))
+    dealt = cells(own.join(large, "key")).select("id", "shard", "node").unionByName(cool)
+    found = cut(components(search_links(shards.unionByName(with_sets(dealt, vertices).select(shards.columns)))), "linked-sets")
+
+    placed = rest.join(found, "id", "left").withColumn("given", F.coalesce("component", "id")).drop("component", "place")
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("given").alias("a"), F.max("given").alias("b")).where("a <> b").select("key", F.ceil(F.col("n") / SHARD_ROWS).cast("int").alias("trees"))
+    rows = cut(placed.join(open_keys, "key"), "open-keys")
     known = found.select(F.col("id").alias("src"), F.col("component").alias("dst"))
-    return components(known.unionByName(search_links(met)))
+    met = rows.where("trees = 1").select("id", "given", F.xxhash64("key").alias("shard"), F.lit(True).alias("node"))
+    crossed = crossings(rows.where("trees > 1").drop("given"), found, SHARD_ROWS)
+    if crossed is not None:
+        met = met.unionByName(crossed.select(met.columns))
+    return components(known.unionByName(search_links(with_sets(met, vertices))))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -365,7 +394,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     classes = rows.where("size > 0").groupBy("digest", "more", "size").agg(F.min("doc_id").alias("least"), F.first("shared").alias("shared"))
     vertices = cut(classes, "shingle-classes").withColumn("id", F.monotonically_increasing_id())
     vertices = cut(vertices, "shingle-vertices")
-    comps = set_components(cut(shard_rows(vertices), "shingle-shards"))
+    comps = set_components(vertices)
     named = vertices.join(comps, "id", "left").select("digest", "more", "size", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_set = named.join(least, "component").select("digest", "more", "size", "component_id")
