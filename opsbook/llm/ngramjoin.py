@@ -33,6 +33,7 @@ CHUNK = 500_000  # shingles of a chunk, about
 CHUNK_DOCS = 60_000
 HEAVY = 16  # documents of a chunk that have a shingle: with more, the chunk lists them itself and it counts as held by most
 BUCKETS = 4  # for each shuffle partition
+MANY = 255  # shingles of so many documents, and heavy ones, are in one class of the order
 EVERY = 0xFFFF  # in place of a document: a shingle that its chunk holds as heavy
 GROUP_ROWS = 256  # sets of a group that is one shard
 SHARD_ROWS = 512  # sets of a key's shard, and sets that search it
@@ -78,18 +79,18 @@ def chunk_rows(sets: list[np.ndarray], chunk: int, buckets: int) -> list[tuple]:
 
 
 def shared_in(bucket: int, packed: list[np.ndarray]) -> list[tuple[bytes, bytes, bytes] | None]:
-    """For each chunk's array of a bucket the shingles (as numbers, documents, counts) that more than one document has."""
+    """For each chunk's array of a bucket the shingles (as numbers, documents, counts up to MANY) that more than one document has."""
     every = np.concatenate(packed)
     order = np.argsort(every >> np.uint64(16), kind="stable")
     tail = every[order] >> np.uint64(16)
     new = np.ones(len(tail), bool)
     new[1:] = tail[1:] != tail[:-1]
     run = np.cumsum(new) - 1
-    count = np.bincount(run)
+    count = np.minimum(np.bincount(run), MANY)
     marked = np.zeros(len(count), bool)
     marked[run[every[order] & np.uint64(EVERY) == EVERY]] = True
-    count[marked] = 0xFFFFFFFF
-    df = np.empty(len(every), np.uint32)
+    count[marked] = MANY
+    df = np.empty(len(every), np.uint8)
     df[order] = count[run]
     out, at = [], 0
     for p in packed:
@@ -103,7 +104,7 @@ def shared_in(bucket: int, packed: list[np.ndarray]) -> list[tuple[bytes, bytes,
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, size, digest, more, shared) of each row: its set's size and 128-bit digest, and the shingles that other rows
-    hold too, rarest first; written once.
+    hold too, rarest first, where they are enough for a link with another set; written once.
 
     A chunk's numbering of its documents must not change if a task is run again, so docs should be read from files.
     """
@@ -151,15 +152,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 n = len(digest)
                 numbers = np.frombuffer(head["docs"], np.int64)
                 ids, size = numbers[: 2 * n].reshape(-1, 2), numbers[2 * n :]
-                token, doc, count = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint32)]
+                token, doc, count = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint8)]
                 for t, d, c in zip(rest["tokens"], rest["docs"], rest["counts"]):
                     token.append(np.frombuffer(t, np.uint64))
                     doc.append(np.frombuffer(d, np.uint16))
-                    count.append(np.frombuffer(c, np.uint32) if c else np.full(len(doc[-1]), 0xFFFFFFFF, np.uint32))
+                    count.append(np.frombuffer(c, np.uint8) if c else np.full(len(doc[-1]), MANY, np.uint8))
                 token, doc, count = map(np.concatenate, (token, doc, count))
                 order = np.lexsort((token, count, doc))
                 token, edges = token[order].view(np.int64), np.searchsorted(doc[order], np.arange(n + 1))
-                shared = [token[s:e] for s, e in zip(edges, edges[1:])]
+                enough = np.diff(edges) * 100 >= PERCENT * size  # else no other set can overlap in so much
+                shared = [token[s:e] if k else token[:0] for s, e, k in zip(edges, edges[1:], enough)]
                 yield pd.DataFrame({"id": ids[:, 0], "none": ids[:, 1] > 0, "size": size, "digest": digest[:, 0], "more": digest[:, 1], "shared": shared})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().cast("long").alias("none"), F.col("text").cast("string"))
@@ -392,8 +394,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     """
     rows = shingle_sets(docs)
     classes = rows.where("size > 0").groupBy("digest", "more", "size").agg(F.min("doc_id").alias("least"), F.first("shared").alias("shared"))
-    vertices = cut(classes, "shingle-classes").withColumn("id", F.monotonically_increasing_id())
-    vertices = cut(vertices, "shingle-vertices")
+    vertices = cut(classes.withColumn("id", F.monotonically_increasing_id()), "shingle-classes")
     comps = set_components(vertices)
     named = vertices.join(comps, "id", "left").select("digest", "more", "size", "least", F.coalesce("component", "id").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
