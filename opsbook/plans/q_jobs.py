@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import agenda, jobs, reports
-from ..sources import files
+from ..sources import files, store
 from .registry import query
 from .views import view, with_views
 
@@ -260,3 +260,17 @@ def q1_jobs_csv_round_trip(spark, sf):
     out = files.jobs_csv_rows(view(spark, sf, "jobs"), view(spark, sf, "repeat_days"))
     back = files.parse_jobs_csv(out, keep=["book_id", "id"])
     return back.select("book_id", "id", "job", "due", "priority", "done", "date_completed", "weekly_report", "ra", "ptw", "repeat")
+
+
+NOTED = """SELECT book_id, id, 'Task "' || id || '", ' || priority AS job, due, priority, remarks || chr(10) || '"see ' || id || '", twice' AS remarks, weekly_report, planner, ra, ptw, ptw_type, repeat, done, date_completed FROM jobs"""
+
+
+@query(with_views(f"SELECT book_id, job, due, priority, done, date_completed, remarks, weekly_report, planner, ra, ptw, ptw_type, repeat FROM ({NOTED})", "jobs"))
+def q1_job_sheets(spark, sf):
+    """Jobs whose texts have quotes, commas and line breaks, written as a sheet of each book and read again."""
+    view(spark, sf, "jobs").createOrReplaceTempView("jobs")
+    at = store.new_folder(spark, "sheets")
+    files.write_jobs_csv(spark.sql(NOTED), view(spark, sf, "repeat_days"), at)
+    back = files.read_jobs_csv(spark, f"{at}/*/*.csv")
+    book = F.regexp_extract("source", "book_id=([0-9]+)", 1).cast("int")
+    return back.select(book.alias("book_id"), "job", "due", "priority", "done", "date_completed", "remarks", "weekly_report", "planner", "ra", "ptw", "ptw_type", "repeat")

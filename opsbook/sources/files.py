@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ics_escape, ics_fold
+from .records import read_named
 
 CRLF = "\r\n"
 DAY = "dd-MMM-yyyy"
 SHEET = ("Due Date", "Job", "Priority", "Status", "Date Completed", "Remarks", "Weekly Report", "RA", "PTW", "Permit Type", "Interval")
-SHEET_WIDTH = 64
+QUOTED = {"header": True, "quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # quotes doubled, spaces kept
 PART_ROWS = 20_000  # records of a book in one backup document, about
 
 
@@ -49,15 +50,11 @@ def parse_jobs_csv(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
     """Job sheets with `source`, the file each row is from.
 
-    Files may differ in their columns, of which each may have SHEET_WIDTH: a file's first record names them, and its
-    rows are read by those names.
+    Files may differ in their columns, of which they may have any number: a file's first record names them, and its
+    rows are read by those names. Of columns with one name the first counts; short rows have no value in the columns
+    that they lack.
     """
-    cells = [f"c{k}" for k in range(SHEET_WIDTH)]
-    raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in cells), header=False, encoding="UTF-8", multiLine=True, enforceSchema=True)
-    rows = raw.select(F.input_file_name().alias("source"), F.monotonically_increasing_id().alias("n"), F.array(*cells).alias("cells"))
-    heads = rows.groupBy("source").agg(F.min("n").alias("first"), F.min_by("cells", "n").alias("names"))
-    heads = heads.withColumn("names", F.transform("names", lambda x: F.trim(F.replace(x, F.lit("\ufeff"), F.lit("")))))
-    rows = rows.join(heads, "source").where("n > first")
+    rows = read_named(spark, path)
     planner = F.try_element_at(F.filter("names", lambda x: x.endswith("Planner")), F.lit(1))
 
     def cell(name: Column) -> Column:
@@ -84,7 +81,7 @@ def jobs_csv_rows(jobs: DataFrame, repeat_days: DataFrame) -> DataFrame:
 
 
 def write_jobs_csv(jobs: DataFrame, repeat_days: DataFrame, path: str) -> None:
-    jobs_csv_rows(jobs, repeat_days).drop("id").write.partitionBy("book_id").csv(path, header=True)
+    jobs_csv_rows(jobs, repeat_days).drop("id").write.partitionBy("book_id").csv(path, **QUOTED)
 
 
 # --- calendar -----------------------------------------------------------------------------------------------
@@ -126,7 +123,7 @@ def ledger_flat_rows(lists: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_ledger_csv(lists: dict[str, DataFrame], path: str) -> None:
-    ledger_flat_rows(lists).write.partitionBy("book_id").csv(path, header=True, quoteAll=True)
+    ledger_flat_rows(lists).write.partitionBy("book_id").csv(path, **QUOTED)
 
 
 def backup_documents(lists: dict[str, DataFrame], app: str = "opsbook", version: int = 1, settings: DataFrame | None = None) -> DataFrame:

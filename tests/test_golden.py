@@ -73,6 +73,62 @@ def test_loans_of_two_books_and_long_ones(spark):
     assert status[1, "l1"] == D(2026, 6, 1) and status[2, "l1"] == D(2026, 12, 1) and status[2, "unseen"] is None
 
 
+def test_loans_with_missing_values(spark):
+    """One row of nulls for a loan that cannot be computed, and none for a loan of nothing."""
+    nan = float("nan")
+    rows = [(1, "principal", None, 5.0, 12, D(2026, 1, 1), None), (1, "rate", 1e5, None, 12, D(2026, 1, 1), None), (1, "months", 1e5, 5.0, None, D(2026, 1, 1), None), (1, "nan", nan, 5.0, 12, D(2026, 1, 1), None)]
+    rows += [(1, "given", 1e5, 5.0, None, D(2026, 1, 1), 9000.0), (1, "zero", 0.0, 5.0, 12, D(2026, 1, 1), None), (1, "below", 1e5, -1200.0, 12, D(2026, 1, 1), 9000.0), (1, "paid back", 1e5, -3.0, 12, D(2026, 1, 1), None)]
+    df = spark.createDataFrame(rows, LOAN)
+    extra = spark.createDataFrame([(1, "given", 2, None), (1, "given", 3, -50.0), (1, "rate", 1, 10.0), (9, "nobody", 1, 1.0)], PREPAID)
+    schedule = loans.amortise(df, extra)
+    found = {}
+    for r in schedule.collect():
+        found.setdefault(r["loan_id"], []).append(r)
+    assert set(found) == {"principal", "rate", "months", "nan", "given", "below", "paid back"}
+    for name in ("principal", "rate", "months", "nan", "below"):
+        assert len(found[name]) == 1 and all(v is None for v in found[name][0][2:])
+    assert len(found["given"]) == 12 and all(r["extra"] == 0 for r in found["given"]) and len(found["paid back"]) == 12
+    summary = {r["loan_id"]: r for r in loans.schedule_summary(schedule, df).collect()}
+    assert summary["rate"]["months"] == 0 and summary["rate"]["payoff"] is None and summary["rate"]["total_interest"] is None and summary["given"]["months"] == 12
+    status = {r["loan_id"]: r for r in loans.loan_status(schedule, loans.amortise(df), df, D(2026, 6, 1)).collect()}
+    assert status["nan"]["clears"] is None and status["given"]["months_saved"] == 0
+
+
+def test_schedule_equals_a_loop_over_months(spark):
+    """Random loans and prepayments beside the rule stated month by month; rows lie in several tasks."""
+    rng = random.Random(5)
+    rows = [(k % 3, f"l{k}", rng.uniform(1e3, 1e6), rng.choice([0.0, 0.5, 8.6, 30.0, -2.0]), rng.randint(1, 90), D(2026, 1, 1), rng.choice([None, None, 900.0])) for k in range(60)]
+    paid = [(k % 3, f"l{k}", rng.randint(-1, 60), rng.choice([10.0, 5e3, 2e5])) for k in range(60) for _ in range(rng.randint(0, 5))]
+    schedule = loans.amortise(spark.createDataFrame(rows, LOAN), spark.createDataFrame(paid, PREPAID))
+    got = {(r["loan_id"], r["month_no"]): tuple(r[3:]) for r in schedule.collect()}
+    want = {}
+    for book, name, owed, rate, months, _, emi in rows:
+        i = rate / 1200
+        due = emi or (owed / months if not i else owed * i * (1 + i) ** months / ((1 + i) ** months - 1))
+        never, k = due <= owed * i, 0
+        while owed > 0 and not (never and k):
+            k += 1
+            interest = owed * i
+            part = due - interest if never else min(due - interest, owed)
+            part = owed if owed - part < 0.005 else part
+            extra = 0.0 if never else min(sum(a for b, n, m, a in paid if (b, n) == (book, name) and max(m, 1) == k), owed - part)
+            left = owed - part - extra
+            want[name, k] = (owed, interest, part, extra, left if left >= 0.005 else 0.0, never)
+            owed = want[name, k][4]
+    assert got.keys() == want.keys()
+    assert all(abs(a - b) < 1e-5 for key in want for a, b in zip(got[key][:5], want[key][:5])) and all(got[k][5] == want[k][5] for k in want)
+    assert schedule.select(F.spark_partition_id()).distinct().count() > 1
+    assert "Python" not in schedule._jdf.queryExecution().executedPlan().toString() and "InPandas" not in schedule._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loan_of_very_many_months(spark):
+    df = spark.createDataFrame([(1, "long", 1e6, 0.0, 350_000, D(2026, 1, 1), None), (1, "slow", 1e6, 12.0, 12, D(2026, 1, 1), 10000.0001)], LOAN)
+    schedule = loans.amortise(df)
+    s = {r["loan_id"]: r for r in loans.schedule_summary(schedule, df).collect()}
+    assert s["long"]["months"] == 350_000 and s["long"]["payoff"] is None and s["slow"]["months"] > 1000
+    assert schedule.where("loan_id = 'long'").select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_plans_of_two_books(spark):
     plan = spark.createDataFrame([(1, 1, 100.0, 0.0, 5.0, 1, 0.0, 12, 1e4), (2, 1, 900.0, 0.0, 5.0, 1, 0.0, 12, 1e4)], PLAN)
     rows = savings.project_savings(plan)
