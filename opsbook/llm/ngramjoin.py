@@ -39,7 +39,7 @@ GROUP_ROWS = 256  # sets of a group that is one shard
 SHARD_ROWS = 512  # sets of a key's shard, and sets that search it
 SMALL = 32  # shards of so many sets are searched by all of them at once
 LEADERS = 8  # sets that the sets of a larger shard are compared with first
-MU = 0.01  # DivideSkip's weight of a merge step against a look-up
+MU = 1.0  # DivideSkip's weight of a look-up against a merge step: lists are merged by the array, looked up one by one
 MERGED = 2048  # entries of short lists up to which they are merged by the heap; more are counted
 
 ENTRIES, SHARED, HEADER = 0, 1, 2
@@ -223,8 +223,8 @@ class Lists:
         self.useful = np.bincount(row[useful], minlength=self.n)
         self.need = -(-PERCENT * size // 100)
 
-    def partners(self, q: int, first: int, last: int) -> np.ndarray:
-        """Rows in [first, last) that row q links with, itself left out."""
+    def partners(self, q: int, first: int, last: int, comp: np.ndarray) -> np.ndarray:
+        """Rows in [first, last) of other components than row q that it links with."""
         need = int(self.need[q])
         own = self.of[q]
         start = np.searchsorted(self.key, own * self.n + first)
@@ -244,7 +244,7 @@ class Lists:
             have = np.bincount(np.concatenate([self.post[s:e] for s, e in zip(start[short], end[short])]) - first, minlength=last - first)
             row = np.flatnonzero(have >= need - aside)
             have, row = have[row], row + first
-        other = row != q
+        other = comp[row] != comp[q]
         row, have = row[other], have[other].copy()
         for a in range(0, len(row), 256):
             probe = (long * self.n)[None, :] + row[a : a + 256, None]
@@ -300,7 +300,7 @@ def joined(shard: np.ndarray, size: np.ndarray, node: np.ndarray, sets: list[np.
         high = s + np.searchsorted(size[s:e], 100 * size[rows] // PERCENT, "right") if e - s > SMALL or not node[s:e].all() else rows
         for q, first, last in zip(rows.tolist(), low.tolist(), high.tolist()):
             if first < last:
-                found = lists.partners(q, first, last)
+                found = lists.partners(q, first, last, comp)
                 if len(found):
                     a.append(np.full(len(found), q))
                     b.append(found)
