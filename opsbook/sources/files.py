@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ics_escape, ics_fold
+from .documents import read_documents
 from .records import read_named
 
 CRLF = "\r\n"
@@ -167,10 +168,8 @@ def parse_backups(documents: DataFrame, schemas: dict[str, str], settings: str |
 
 
 def read_backup_json(spark: SparkSession, path: str, schemas: dict[str, str], settings: str | None = None) -> dict[str, DataFrame]:
-    """Backups of files with a document a line, or with documents over several lines; a file is one row until divided."""
-    whole = spark.read.text(path, wholetext=True)
-    documents = whole.select(F.explode(F.split("value", r"(?<=\})\s*\n\s*(?=\{)")).alias("document")).where(F.trim("document") != "")
-    return parse_backups(documents, schemas, settings)
+    """Backups of files with any number of documents, each on a line or over several; large files are read by splits."""
+    return parse_backups(read_documents(spark, path), schemas, settings)
 
 
 # --- instruments --------------------------------------------------------------------------------------------

@@ -42,7 +42,7 @@ def ends_inside(line: str, inside: bool) -> bool:
     return OPENS.match(line) is not None
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+def by_split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """((source, block), rows) of consecutive rows of one split; a split may come in several."""
     for b in batches:
         if len(b):
@@ -55,7 +55,7 @@ def split_maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(source, block, from_outside, from_inside, closes): whether the split ends inside a field from either state, and
     whether a line of it ends outside if it begins inside."""
     at, state = None, [False, True, False]
-    for key, rows in _groups(batches):
+    for key, rows in by_split(batches):
         if key != at:
             if at:
                 yield pd.DataFrame([(*at, *state)], columns=["source", "block", "from_outside", "from_inside", "closes"])
@@ -89,7 +89,7 @@ def parse_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return (*at, None, None, owner, "\n".join(held))
 
     out: list[tuple] = []
-    for key, rows in _groups(batches):
+    for key, rows in by_split(batches):
         if key != at:
             if held:
                 out.append(piece(owner if head else at[1]))
@@ -117,14 +117,19 @@ def parse_splits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([piece(owner if head else at[1])], columns=["source", "block", "n", "cells", "owner", "text"])
 
 
+def lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """(value, source, block, length, size): lines of the files at path in their order, with the split that each is from."""
+    meta = {"source": "file_path", "block": "file_block_start", "length": "file_block_length", "size": "file_size"}
+    return spark.read.option("lineSep", "\n").text(path).select("value", *(F.col(f"_metadata.{c}").alias(n) for n, c in meta.items()))
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(source, block, n, cells) of every record of the sheets at path; (block, n) orders the records of a file.
 
     Blank lines are no records. A field left open at the end of a file ends there. Fields may hold line breaks, commas and
     doubled quotes, and records any number of fields, each file its own.
     """
-    meta = {"source": "file_path", "block": "file_block_start", "length": "file_block_length", "size": "file_size"}
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", *(F.col(f"_metadata.{c}").alias(n) for n, c in meta.items()))
+    lines = lines_of(spark, path)
     parts = lines.where("length < size")
     maps = keep(parts.select("source", "block", "value").mapInPandas(split_maps, "source string, block long, from_outside boolean, from_inside boolean, closes boolean"), "split-maps")
     begun = lines.withColumns({"opens": F.lit(False), "owner": F.lit(-1).cast("long")})

@@ -65,8 +65,13 @@ def _write_run(rows: DataFrame, path: str) -> None:
 
 
 def append(batch: DataFrame, folder: str, number: int, checkpoint: str = "") -> None:
-    """One batch of edits into the table: a run, then a merge of the levels that are full with it, then the manifest."""
+    """One batch of edits into the table: a run, then a merge of the levels that are full with it, then the manifest.
+
+    An empty batch writes nothing.
+    """
     spark = batch.sparkSession
+    if batch.isEmpty():
+        return
     before = runs_before(spark, folder, number, checkpoint)
     name = f"run-{number:09d}"
     _write_run(reduce_edits(batch), f"{folder}/{name}")
