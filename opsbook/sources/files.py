@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ics_escape, ics_fold
+from .archive import archive
 from .documents import read_documents
 from .records import read_named
 
@@ -196,10 +197,10 @@ def read_instruments_json(spark: SparkSession, path: str, accept: str = INSTRUME
 
 
 def sign_off(tables: dict[str, DataFrame], book_ids: DataFrame, path: str, keep: tuple[str, ...] = ("birthdays",)) -> dict[str, DataFrame]:
-    """Write an archive of these books, a folder per table; return what stays: other books, and the kept tables whole.
+    """Archive these books, a folder per table, and return what stays: other books, and the kept tables whole.
 
-    The archive is written before anything is returned, so rows go only once they are recorded.
+    Nothing is returned before the archive is complete, so rows go only once they are recorded. After a failure the
+    same call goes on where it stopped; a call for other books or tables needs another path.
     """
-    for name, df in tables.items():
-        df.join(book_ids, "book_id", "left_semi").write.partitionBy("book_id").parquet(f"{path}/{name}")
+    archive(tables, book_ids, path)
     return {n: df if n in keep else df.join(book_ids, "book_id", "left_anti") for n, df in tables.items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opsbook.functions import dates, text
 from opsbook.operators import agenda, budget, calls, jobs, ledger, loans, media, quality, reports, savings, units
 from opsbook.plans.views import VIEWS
-from opsbook.sources import files
+from opsbook.sources import archive, files
 from opsbook.streaming import merge
 
 D = dt.date
@@ -404,3 +404,32 @@ def test_sign_off(spark, tmp_path):
     left = files.sign_off(tables, spark.createDataFrame([(1,)], "book_id int"), f"file://{tmp_path}/archive")
     assert [r["id"] for r in left["jobs"].collect()] == ["b"] and left["birthdays"].count() == 1
     assert spark.read.parquet(f"file://{tmp_path}/archive/jobs").count() == 1
+
+
+def test_sign_off_that_fails_goes_on(spark, tmp_path, monkeypatch):
+    """After the second of three tables fails to come there is no archive and nothing is cleared; the next call finishes."""
+    names = ("jobs", "crew", "cargo")
+    tables = {n: spark.createDataFrame([(1, n), (2, "b"), (3, "c")], "book_id int, id string") for n in names}
+    books, at = spark.createDataFrame([(1,), (2,)], "book_id int"), f"file://{tmp_path}/deep/archive"
+    staged, whole = [], archive.stage_table
+
+    def stage(df, path):
+        if len(staged) == 2:
+            raise OSError("lost")
+        staged.append(path.rpartition("/")[2])
+        whole(df, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(archive, "stage_table", stage)
+        with pytest.raises(OSError, match="lost"):
+            files.sign_off(tables, books, at)
+    assert not (tmp_path / "deep/archive").exists() and archive.archived(spark, at) is None
+    again = []
+    monkeypatch.setattr(archive, "stage_table", lambda df, path: (again.append(path.rpartition("/")[2]), whole(df, path)))
+    left = files.sign_off(tables, books, at)
+    assert staged == ["jobs", "crew"] and again == ["cargo"] and {n: df.count() for n, df in left.items()} == dict.fromkeys(names, 1)
+    assert archive.archived(spark, at)["rows"] == dict.fromkeys(names, 2) and not (tmp_path / "deep/archive.staging").exists()
+    (tmp_path / "deep/archive" / archive.RECORD).unlink()  # lost after the rename: the call writes it again
+    assert files.sign_off(tables, books, at)["jobs"].count() == 1 and len(again) == 1
+    with pytest.raises(ValueError, match="other books"):
+        files.sign_off(tables, spark.createDataFrame([(3,)], "book_id int"), at)
