@@ -1,9 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
 
-Seeds are counted over all documents. Of each item the commonest quarter of its distinct seeds, by that count,
-starts no comparison; every place of a document that has one of the others is aligned. So a copy that keeps more
-than a quarter of an item's seeds, whichever they are, is always aligned, and a stem that many items or documents
-share makes no candidates by itself.
+Seeds are counted over all documents and over all items. Every place of a document that has one of an item's starters is
+aligned. Not starters are:
+
+- the commonest quarter of the item's distinct seeds, by the number of documents that hold them;
+- of the seeds that more than SHARED_ITEMS items have, those of the most items, as long as the words that they cover are
+  together less than LEAST_SCORE of the item.
+
+So a copy is aligned if it keeps more than a quarter of the item's seeds and one of them is not in such a shared stem, or if
+what it keeps of shared stems covers LEAST_SCORE of the item by itself. A stem that many items have and that is too
+short for a hit makes no candidates, however many documents hold it.
 """
 
 from __future__ import annotations
@@ -14,13 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
 
 SEED = 3  # words in a seed
 COMMON = 0.25  # of an item's seeds, the commonest: no candidates by themselves
+SHARED_ITEMS = 16  # items that have a seed: with more it belongs to a shared stem
+ROW_ITEMS = 64  # items of a document that are aligned in one row, about
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.4  # of the score that the item has against itself
 FILTER_LOG = 26  # the filter of seeds that items have is 2**FILTER_LOG bits, whatever the benchmark's size
@@ -102,20 +110,59 @@ def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     return cut(docs.mapInPandas(run, "doc_id long, seed long, place int, first boolean"), "seed-hits")
 
 
-def rare_seeds(seeds: DataFrame, hits: DataFrame) -> DataFrame:
-    """(item, seed, at) without the commonest seeds of each item; documents that have a seed are counted once each."""
-    count = hits.where("first").groupBy("seed").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "seed")
-    ranked = seeds.join(count, "seed", "left").withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= F.col("kinds") - F.floor(F.col("kinds") * COMMON)).where("n is not null").select("item", "seed", "at")
+def covered(places: np.ndarray, size: int) -> int:
+    """Words of an item that seeds at these places cover."""
+    words = np.zeros(size, bool)
+    for k in range(SEED):
+        words[places + k] = True
+    return int(words.sum())
+
+
+def starters(words: np.ndarray, seeds: np.ndarray, docs: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Which of an item's seeds, held by so many documents and items, start a comparison."""
+    rank = np.empty(len(seeds), np.int64)
+    rank[np.lexsort((seeds, docs))] = np.arange(len(seeds))
+    starts = (docs > 0) & (rank < len(seeds) - int(len(seeds) * COMMON))
+    stem = np.flatnonzero(items > SHARED_ITEMS)
+    if len(stem):
+        stem = stem[np.lexsort((seeds[stem], -docs[stem], -items[stem]))]
+        own = seeds_of(words).view(np.int64)
+        low, high = 0, len(stem)  # how many can go: covered words only grow with it
+        while low < high:
+            k = (low + high + 1) // 2
+            if covered(np.flatnonzero(np.isin(own, seeds[stem[:k]])), len(words)) < LEAST_SCORE * len(words):
+                low = k
+            else:
+                high = k - 1
+        starts[stem[:low]] = False
+    return starts
+
+
+def starting_seeds(items: DataFrame, seeds: DataFrame, hits: DataFrame) -> DataFrame:
+    """(item, seed, at) of the starters of each item; documents that have a seed are counted once each."""
+    docs = hits.where("first").groupBy("seed").agg(F.count("*").alias("docs"))
+    both = seeds.groupBy("seed").agg(F.count("*").alias("items")).join(docs, "seed", "left")
+    own = seeds.join(both, "seed").groupBy("item").agg(F.collect_list(F.struct("seed", "at", F.coalesce("docs", F.lit(0)).alias("docs"), "items")).alias("known"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for item, words, known in zip(b["item"], b["words"], b["known"]):
+                seed, at, n, m = (np.array([x[c] for x in known], np.int64) for c in ("seed", "at", "docs", "items"))
+                keep = starters(np.frombuffer(words, np.uint32), seed, n, m)
+                out.append(pd.DataFrame({"item": item, "seed": seed[keep], "at": at[keep].astype(np.int32)}))
+            if out:
+                yield pd.concat(out)
+
+    return items.select("item", "words").join(own, "item").mapInPandas(run, "item long, seed long, at int")
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item, starts): items that share a rare seed with a document, and where the item would begin in it."""
-    seeds = items.select("item", F.size("seeds").alias("kinds"), F.explode(F.arrays_zip("seeds", "places")).alias("s"))
-    seeds = seeds.select("item", "kinds", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    """(doc_id, item, starts): items of which a document has a starter, and where the item would begin in it."""
+    seeds = items.select("item", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+    seeds = seeds.select("item", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
     hits = seed_hits(docs, seeds)
-    pairs = hits.select("doc_id", "seed", "place").join(rare_seeds(seeds, hits), "seed")
+    pairs = hits.select("doc_id", "seed", "place").join(starting_seeds(items, seeds, hits), "seed")
     return pairs.groupBy("doc_id", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("starts"))
 
 
@@ -169,8 +216,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = item_rows(benchmark)
-    found = candidates(docs, items).join(items.select("item", "item_id", F.col("words").alias("own")), "item")
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "own", "starts")).alias("found"))
+    pairs = cut(candidates(docs, items), "candidates")
+    rows = pairs.groupBy("doc_id").agg(F.ceil(F.count("*") / ROW_ITEMS).cast("int").alias("rows"))
+    found = pairs.join(rows, "doc_id").withColumn("row", F.pmod(F.xxhash64("item"), "rows"))
+    found = found.join(items.select("item", "item_id", F.col("words").alias("own")), "item")
+    found = found.groupBy("doc_id", "row").agg(F.collect_list(F.struct("item_id", "own", "starts")).alias("found")).drop("row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def aligned(held: list[tuple]) -> pd.DataFrame:
