@@ -127,12 +127,19 @@ def one_per_day(points: DataFrame, keys: list[str]) -> DataFrame:
 def price_asof(holdings: DataFrame, prices: DataFrame, days: list[dt.date]) -> DataFrame:
     """(book_id, holding_id, day, price): the latest price on or before each of the days, null before the first.
 
-    One pass over prices and days sorted together in each holding; no join by inequality.
+    The days divide a holding's history into ranges. Of a range only its last price matters, which is found by aggregates
+    that combine where the prices lie, so a holding of very many prices is spread over tasks; what a range hands to the
+    next is carried over one row a day. Of several prices of one day the highest counts; null prices do not.
     """
-    ask = holdings.select("book_id", F.col("id").alias("holding_id"), F.explode(F.array(*map(F.lit, days))).alias("d"), F.lit(None).cast("double").alias("p"), F.lit(1).alias("ask"))
-    rows = prices.select("book_id", "holding_id", "d", F.col("p").cast("double").alias("p"), F.lit(0).alias("ask")).unionByName(ask)
-    w = Window.partitionBy("book_id", "holding_id").orderBy("d", "ask").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("price", F.last("p", ignorenulls=True).over(w)).where("ask = 1").select("book_id", "holding_id", F.col("d").alias("day"), "price")
+    asked = sorted(days)
+    bounds = F.array(*map(F.lit, asked)).cast("array<date>")
+    ask = holdings.select("book_id", F.col("id").alias("holding_id"), F.posexplode(bounds).alias("range", "day"))
+    known = prices.where(F.col("p").isNotNull() & (F.col("d") <= F.lit(asked[-1]) if asked else F.lit(False)))
+    known = known.select("book_id", "holding_id", "d", F.col("p").cast("double").alias("p"), F.size(F.filter(bounds, lambda x: x < F.col("d"))).alias("range"))
+    last = known.groupBy("book_id", "holding_id", "range", "d").agg(F.max("p").alias("p")).groupBy("book_id", "holding_id", "range").agg(F.max_by("p", "d").alias("p"))
+    carried = Window.partitionBy("book_id", "holding_id").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ask.join(last, ["book_id", "holding_id", "range"], "left")
+    return rows.select("book_id", "holding_id", "day", F.last("p", ignorenulls=True).over(carried).alias("price"))
 
 
 def price_trend(prices: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 KEY = ["book_id", "list", "id"]
 STAMP = ["upd", "ctr", "dev"]
+DIGEST_BUCKETS = 64  # of a part of a ledger, whose digests are compared
 FIRST_MS, LAST_MS = 946_684_800_000, 2_524_608_000_000  # 2000-01-01 and 2050-01-01
 
 
@@ -90,8 +91,34 @@ def edited_on_both(mine: DataFrame, theirs: DataFrame, last_sync: DataFrame) ->
     return j.where((F.col("a.upd") > F.col("since")) & (F.col("b.upd") > F.col("since")) & (F.col("a") != F.col("b"))).select(*KEY)
 
 
-def ledger_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that only one of two ledgers has, with the side; repeated rows count."""
+def ledger_digests(ledger: DataFrame, keys: list[str], bucket: str | None = None) -> DataFrame:
+    """(keys…[, bucket], rows, sum, xor): the digest of each part of a ledger, and of each of DIGEST_BUCKETS buckets of a column in
+    it. Sums are of hashes of whole rows, so the order of rows does not matter and repeated rows count."""
+    row = F.xxhash64(F.to_json(F.struct(*ledger.columns), {"ignoreNullFields": "false"}))
+    rows = ledger.withColumns({"_row": row, **({"bucket": F.pmod(F.xxhash64(bucket), F.lit(DIGEST_BUCKETS))} if bucket else {})})
+    own = [*keys, *(["bucket"] if bucket else [])]
+    return rows.groupBy(*own).agg(F.count("*").alias("rows"), F.sum(F.col("_row").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("_row")).alias("xor"))
+
+
+def ledger_diff(a: DataFrame, b: DataFrame, keys: list[str] | None = None, bucket: str | None = None) -> DataFrame:
+    """Rows that only one of two ledgers has, with the side; repeated rows count.
+
+    With keys, such as book_id and list, and a bucket column, such as id, digests of the parts are compared first; only rows of
+    parts that differ are shuffled and compared themselves.
+    """
+    if keys:
+        own = [*keys, *(["bucket"] if bucket else [])]
+        x, y = (ledger_digests(side, keys, bucket).select(*(F.col(c).alias(f"{n}_{c}") for c in own), *(F.col(c).alias(f"{n}_{c}") for c in ("rows", "sum", "xor"))) for n, side in (("a", a), ("b", b)))
+        met = x.join(y, [x[f"a_{c}"].eqNullSafe(y[f"b_{c}"]) for c in own], "full_outer")
+        parts = met.where(~(F.struct("a_rows", "a_sum", "a_xor").eqNullSafe(F.struct("b_rows", "b_sum", "b_xor"))))
+        parts = parts.select(*(F.when(F.col("a_rows").isNull(), F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(f"_{c}") for c in own))
+
+        def differing(side: DataFrame) -> DataFrame:
+            place = {c: F.pmod(F.xxhash64(bucket), F.lit(DIGEST_BUCKETS)) if c == "bucket" and bucket else F.col(c) for c in own}
+            rows = side.withColumns({f"__{c}": v for c, v in place.items()})
+            return rows.join(parts, [rows[f"__{c}"].eqNullSafe(parts[f"_{c}"]) for c in own], "left_semi").select(side.columns)
+
+        a, b = differing(a), differing(b)
     return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 

@@ -84,52 +84,78 @@ def solve_lump(plans: DataFrame) -> DataFrame:
 # --- returns ------------------------------------------------------------------------------------------------
 
 
-def bisect_rates(flows: list[np.ndarray], low: float = -0.99, high: float = 10.0, rounds: int = 100) -> np.ndarray:
-    """Monthly rate at which each row's flows (flow j at month j) are worth nothing; NaN without a change of sign."""
-    out = np.full(len(flows), np.nan)
+LOW, HIGH = -0.99, 10.0  # monthly rates that are looked for
+ROUNDS = 100
+
+
+def sign_changes(amounts: np.ndarray) -> int:
+    """How often flows in order of time change sign: more than one, and several rates may fit."""
+    signs = np.sign(amounts[amounts != 0])
+    return int((signs[1:] != signs[:-1]).sum())
+
+
+def solve_rates(months: list[np.ndarray], amounts: list[np.ndarray]) -> np.ndarray:
+    """Monthly rate at which each row's flows, in order of their months, are worth nothing; NaN without a change of sign.
+
+    All rows of about as many flows go on together. A bracket around the rate is kept: Newton's step is taken where it
+    stays inside, else the bracket is halved. Rows with several changes of sign are halved only, which decides
+    between several rates by the bracket's ends alone.
+    """
+    out = np.full(len(months), np.nan)
     by_size: dict[int, list[int]] = {}
-    for k, f in enumerate(flows):
-        if len(f) and (f > 0).any() and (f < 0).any():
+    for k, f in enumerate(amounts):
+        if (f > 0).any() and (f < 0).any():
             by_size.setdefault(1 << (len(f) - 1).bit_length(), []).append(k)
     for rows in by_size.values():
-        width = max(len(flows[k]) for k in rows)
-        m = np.zeros((len(rows), width))
+        width = max(len(amounts[k]) for k in rows)
+        a, m = np.zeros((len(rows), width)), np.zeros((len(rows), width))
         for r, k in enumerate(rows):
-            m[r, : len(flows[k])] = flows[k]
-
-        def worth(rate: np.ndarray) -> np.ndarray:
-            v, x = np.zeros(len(rows)), 1 / (1 + rate)
-            for c in range(width - 1, -1, -1):
-                v = v * x + m[:, c]
-            return v
-
-        a, b = np.full(len(rows), low), np.full(len(rows), high)
-        with np.errstate(over="ignore", invalid="ignore"):
-            fa, fb = np.sign(worth(a)), np.sign(worth(b))
-            for _ in range(rounds):
-                mid = (a + b) / 2
-                same = np.sign(worth(mid)) == fa
-                a, b = np.where(same, mid, a), np.where(same, b, mid)
-        out[rows] = np.where(fa * fb < 0, (a + b) / 2, np.nan)
+            a[r, : len(amounts[k])], m[r, : len(months[k])] = amounts[k], months[k]
+        last = m.max(1, keepdims=True)
+        single = np.array([sign_changes(amounts[k]) == 1 for k in rows])
+
+        def worth(rate: np.ndarray, a: np.ndarray = a, m: np.ndarray = m, last: np.ndarray = last) -> tuple[np.ndarray, np.ndarray]:
+            """Value at the start, or at the end for rates below zero, so that no power grows; and its slope."""
+            t = np.where(rate[:, None] < 0, last - m, -m)
+            v = a * np.exp(t * np.log1p(rate)[:, None])
+            return v.sum(1), (t * v).sum(1) / (1 + rate)
+
+        low, high = np.full(len(rows), LOW), np.full(len(rows), HIGH)
+        with np.errstate(all="ignore"):
+            at_low, at_high = np.sign(worth(low)[0]), np.sign(worth(high)[0])
+            rate = (low + high) / 2
+            for _ in range(ROUNDS):
+                value, slope = worth(rate)
+                same = np.sign(value) == at_low
+                low, high = np.where(same, rate, low), np.where(same, high, rate)
+                step = rate - value / slope
+                good = single & (step > low) & (step < high)
+                following = np.where(good, step, (low + high) / 2)
+                if (np.abs(following - rate) <= 1e-16 * (1 + np.abs(rate))).all():
+                    break
+                rate = following
+        out[rows] = np.where(at_low * at_high < 0, rate, np.nan)
     return out
 
 
-def irr(flows: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, monthly_rate, annual) from signed flows (key…, month, amount); months start at 0, gaps count as none.
+def irr(flows: DataFrame, key: list[str], changes: bool = False) -> DataFrame:
+    """(key…, monthly_rate, annual[, sign_changes]) from signed flows (key…, month, amount); months start at 0.
 
-    A key's flows become one array of at most its term in months.
+    Only months with a flow are gathered, so a key costs its flows, not its last month. With `changes` the number of
+    changes of sign tells where a rate need not be the only one. Flows without month or amount do not count.
     """
-    per = flows.groupBy(*key, "month").agg(F.sum("amount").alias("amount"))
-    whole = per.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("month", "amount"))).alias("m"), F.max("month").alias("last"))
-    dense = whole.withColumn("f", F.transform(F.sequence(F.lit(0), F.col("last").cast("int")), lambda k: F.coalesce(F.try_element_at("m", k.cast(flows.schema["month"].dataType)), F.lit(0.0))))
-
-    def rates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(bisect_rates([np.asarray(f, float) for f in s]))
-
-    rate = F.pandas_udf(rates, "double")
-    found = dense.select(*key, F.nanvl(rate("f"), F.lit(None).cast("double")).alias("monthly_rate"))
-    return found.withColumn("annual", F.pow(1 + F.col("monthly_rate"), 12) - 1)
+    per = flows.where("month is not null and amount is not null").groupBy(*key, "month").agg(F.sum("amount").alias("amount"))
+    whole = per.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("month").cast("double").alias("m"), F.col("amount").cast("double").alias("a")))).alias("f"))
+
+    def rates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for m, a in batches:
+            months, amounts = ([np.asarray(f, float) for f in s] for s in (m, a))
+            yield pd.DataFrame({"rate": solve_rates(months, amounts), "changes": [sign_changes(f) for f in amounts]})
+
+    rate = F.pandas_udf(rates, "rate double, changes int")
+    found = whole.select(*key, rate(F.col("f.m"), F.col("f.a")).alias("found"))
+    found = found.select(*key, F.nanvl("found.rate", F.lit(None).cast("double")).alias("monthly_rate"), F.col("found.changes").alias("sign_changes"))
+    return found.select(*key, "monthly_rate", (F.pow(1 + F.col("monthly_rate"), 12) - 1).alias("annual"), *(["sign_changes"] if changes else []))
 
 
 def plan_flows(projected: DataFrame, plans: DataFrame) -> DataFrame:

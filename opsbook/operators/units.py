@@ -46,16 +46,26 @@ def eta_band(voyages: DataFrame) -> DataFrame:
 def interp_lookup(points: DataFrame, table: DataFrame, x: str, ys: list[str]) -> DataFrame:
     """Linear interpolation of each point (id, product, x) in a property table (product, x, ys…).
 
-    Points outside a product's table get status `out of range` and no values. The table is short; the product is
-    an equality key beside the interval, so no nested loop is planned.
+    Points outside a product's table get status `out of range` and no values. The axis of a product is cut into as many
+    equal cells as it has intervals, and an interval stands under each cell that it touches, which is two rows an
+    interval on average. Points and intervals meet by product and cell, so a point is tested against its own cell's
+    alone, and a product of very many points is spread over its cells.
     """
     w = Window.partitionBy("product").orderBy("_x")
-    t = table.select("product", F.col(x).alias("_x"), *(F.col(y).alias(f"_{y}") for y in ys))
-    t = t.select("product", F.col("_x").alias("_lo"), F.lead("_x").over(w).alias("_hi"), F.lead("_x", 2).over(w).isNull().alias("_last"), *(F.col(f"_{y}") for y in ys), *(F.lead(f"_{y}").over(w).alias(f"_{y}2") for y in ys)).where("_hi is not null")
-    t = t.withColumnRenamed("product", "_product")
+    t = table.select("product", F.col(x).cast("double").alias("_x"), *(F.col(y).alias(f"_{y}") for y in ys)).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    t = t.select("product", F.col("_x").alias("_lo"), F.lead("_x").over(w).alias("_hi"), F.lead("_x", 2).over(w).isNull().alias("_last"), *(F.col(f"_{y}") for y in ys), *(F.lead(f"_{y}").over(w).alias(f"_{y}2") for y in ys)).where("_hi > _lo or (_hi = _lo and _last)")
+    axis = t.groupBy(F.col("product").alias("_axis")).agg(F.min("_lo").alias("_from"), F.max("_hi").alias("_to"), F.count("*").alias("_n"))
+
+    def cell(at: str) -> Column:
+        place = F.floor((F.col(at) - F.col("_from")) / (F.col("_to") - F.col("_from")) * F.col("_n"))
+        return F.greatest(F.least(F.coalesce(F.nanvl(place.cast("double"), F.lit(0.0)), F.lit(0.0)).cast("long"), F.col("_n") - 1), F.lit(0).cast("long"))
+
+    placed = t.join(axis, F.col("product") == F.col("_axis"))
+    placed = placed.withColumn("_cell", F.explode(F.sequence(cell("_lo"), cell("_hi")))).select(F.col("product").alias("_product"), F.col("_cell"), "_lo", "_hi", "_last", *(f"_{y}" for y in ys), *(f"_{y}2" for y in ys))
+    own = points.join(axis, F.col("product") == F.col("_axis"), "left").withColumn("_at", cell(x))
     inside = (F.col(x) >= F.col("_lo")) & ((F.col(x) < F.col("_hi")) | (F.col("_last") & (F.col(x) == F.col("_hi"))))
-    j = points.join(t, (F.col("product") == F.col("_product")) & inside, "left")
-    part = (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    j = own.join(placed, (F.col("product") == F.col("_product")) & (F.col("_at") == F.col("_cell")) & inside, "left")
+    part = F.when(F.col("_hi") > F.col("_lo"), (F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     status = F.when(F.col(x).isNull(), "no value").when(F.col("_lo").isNull(), "out of range").otherwise("ok")
     return j.select(*points.columns, *((F.col(f"_{y}") + part * (F.col(f"_{y}2") - F.col(f"_{y}"))).alias(y) for y in ys), status.alias("status"))
 
