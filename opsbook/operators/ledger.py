@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["book_id", "list", "id"]
@@ -39,25 +39,34 @@ def child_ids(records: DataFrame, col: str) -> DataFrame:
 
 
 def latest(records: DataFrame, key: list[str]) -> DataFrame:
-    """The record of the greatest stamp of each key; equal stamps are decided by the record's JSON."""
-    whole = F.struct(*(c for c in records.columns if c not in key))
-    order = F.struct(*STAMP, F.to_json(whole))
-    return records.groupBy(*key).agg(F.max_by(whole, order).alias("_r")).select(*key, "_r.*").select(records.columns)
+    """The record of the greatest stamp of each key; equal stamps are decided by the record's JSON, which is made only there."""
+    own = Window.partitionBy(*key)
+    first = records.withColumn("_rank", F.rank().over(own.orderBy(*(F.desc(c) for c in STAMP)))).where("_rank = 1")
+    whole = F.to_json(F.struct(*(c for c in records.columns if c not in key)))
+    tied = first.withColumn("_tie", F.when(F.count("*").over(own) > 1, whole))
+    return tied.withColumn("_place", F.row_number().over(own.orderBy(F.desc("_tie")))).where("_place = 1").select(records.columns)
 
 
 def alive(records: DataFrame, tombs: DataFrame, key: list[str]) -> DataFrame:
-    """Records whose stamp is greater than that of every tombstone of their key."""
-    last = tombs.groupBy(*key).agg(F.max(stamp()).alias("_t"))
-    return records.join(last, key, "left").where(F.col("_t").isNull() | (stamp() > F.col("_t"))).select(records.columns)
+    """Records whose stamp is greater than that of every tombstone of their key.
+
+    Both are dealt out by the key once, and stay so for what follows by this key or a longer one.
+    """
+    dead = tombs.select(*key, *STAMP).withColumn("_dead", F.lit(True))
+    both = records.withColumn("_dead", F.lit(False)).unionByName(dead, allowMissingColumns=True)
+    last = F.max(F.when(F.col("_dead"), stamp())).over(Window.partitionBy(*key))
+    return both.withColumn("_t", last).where(~F.col("_dead") & (F.col("_t").isNull() | (stamp() > F.col("_t")))).select(records.columns)
 
 
 def merge_ledgers(*copies: DataFrame, tombs: DataFrame | None = None) -> DataFrame:
-    """All copies (book_id, list, id, upd, ctr, dev, …) in one aggregate, then tombstones (book_id, id, stamp)."""
+    """All copies (book_id, list, id, upd, ctr, dev, …) under tombstones (book_id, id, stamp), which have one shuffle together.
+
+    What a tombstone covers goes first: if the greatest stamp of an id is covered, so are its others.
+    """
     rows = copies[0]
     for c in copies[1:]:
         rows = rows.unionByName(c)
-    merged = latest(rows, KEY)
-    return merged if tombs is None else alive(merged, tombs, ["book_id", "id"])
+    return latest(rows if tombs is None else alive(rows, tombs, ["book_id", "id"]), KEY)
 
 
 def merge_children(*copies: DataFrame, tombs: DataFrame, parents: DataFrame, fields: list[str]) -> DataFrame:
@@ -68,7 +77,7 @@ def merge_children(*copies: DataFrame, tombs: DataFrame, parents: DataFrame, fie
     rows = copies[0]
     for c in copies[1:]:
         rows = rows.unionByName(c)
-    live = alive(latest(rows, ["book_id", "parent_id", "id"]), tombs, ["book_id", "id"])
+    live = latest(alive(rows, tombs, ["book_id", "id"]), ["book_id", "parent_id", "id"])
     grouped = live.groupBy("book_id", F.col("parent_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("date", F.col("id").alias("child_id"), *fields))).alias("children"))
     return parents.join(grouped, ["book_id", "id"], "left")
 
