@@ -21,6 +21,8 @@ ENOUGH = 0.9  # of the pieces placed by the program, and the bound reached: no p
 SMALL = 32  # pieces of less than 1 / SMALL of a sequence are kept to fill what the others leave
 CLOSE = 1.001  # times the bound: patterns with room left are not tried as well
 NEAR = 0.02  # a pattern worth this much less than the best still counts as an answer to the prices
+COOLING_ROUNDS, COOLING_PHASES = 240, 9  # of the slow program, for histograms on which the quick one stays far from the bound
+COOLING_STEP, COOLING_SPREAD = (0.1, 0.002), (0.02, 0.003)  # of its first and last round: how fast prices move, how near to the best answers are
 STEP, RATE = 0.5, 1.0  # most of a length's need that a round covers, and how fast prices fall with it
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
@@ -61,9 +63,9 @@ def pieces(docs: DataFrame, kind: Kind, end_id: int = 0, capacity: int = CAPACIT
 # --- the linear program -------------------------------------------------------------------------------------
 
 
-def price_table(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def price_table(lengths: np.ndarray, value: np.ndarray, capacity: int, longest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Greatest value that fits each room, and the length to take there (-1: leave one place empty): knapsack by
-    dynamic programming."""
+    dynamic programming. Ties go to the shortest length, or to the longest."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
@@ -71,7 +73,7 @@ def price_table(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[
         n = fits[room]
         if n:
             gain = value[:n] + best[room - lengths[:n]]
-            k = int(gain.argmax())
+            k = int(gain.argmax()) if not longest else n - 1 - int(gain[::-1].argmax())
             if gain[k] > best[room]:
                 best[room], choice[room] = gain[k], k
     return best, choice
@@ -125,6 +127,69 @@ def solve(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int) ->
     return {p: x / float(np.median(reached)) for p, x in amount.items()}, bound
 
 
+def anneal(lengths: np.ndarray, need: np.ndarray, capacity: int, value: np.ndarray | None = None) -> tuple[dict[tuple[tuple[int, int], ...], float], float, np.ndarray]:
+    """(amount of each pattern, lower bound, prices) of the covering program, by slowly cooled weights.
+
+    As in solve(), but a round's answer is spread over the patterns by how near their worth is to the best, and prices move
+    by how much less or more than its share each length got. Steps and spread shrink from round to round; the amounts are
+    the mean of the last rounds, in which prices have settled. A round whose answer alone is CLOSE to the bound ends it.
+    """
+    log_value = np.log(lengths / capacity if value is None else value)
+    amount: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    rounds = int(min(COOLING_ROUNDS, max(30, 48_000 // len(lengths))))
+    bound, kept, counted = 0.0, lengths / capacity, 0
+    for t in range(rounds):
+        part = t / max(rounds - 1, 1)
+        step, spread = (a * (b / a) ** part for a, b in (COOLING_STEP, COOLING_SPREAD))
+        value = np.exp(log_value)
+        best, choice = price_table(lengths, value, capacity, longest=True)
+        low = float(value @ need) / best[capacity]
+        if low > bound:
+            bound, kept = low, value
+        weight = np.exp(((value + best[capacity - lengths]) / best[capacity] - 1) / spread)
+        found: dict[tuple[tuple[int, int], ...], float] = {}
+        for k in np.flatnonzero(weight > 1e-3).tolist():
+            p = trace(capacity, lengths, choice, need, k)
+            found[p] = max(found.get(p, 0.0), weight[k] * min(need[j] / n for j, n in p))
+        covered = np.zeros(len(lengths))
+        for p, x in found.items():
+            for j, n in p:
+                covered[j] += x * n / need[j]
+        if covered.all() and sum(found.values()) <= CLOSE * bound * covered.min():  # one round's answer is good enough
+            return {p: x / covered.min() for p, x in found.items()}, bound, kept
+        mean = float((value * need) @ covered / (value @ need))
+        log_value -= step * np.clip(covered / mean - 1, -1, 4)
+        log_value -= log_value.max()
+        if part >= 0.7:
+            counted += 1
+            for p, x in found.items():
+                amount[p] += x / mean
+    return {p: x / counted for p, x in amount.items()}, bound, kept
+
+
+def cooled(lengths: np.ndarray, need: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray, int]:
+    """(patterns and how often, pieces left, lower bound): amounts are rounded down, and what that leaves goes back to the
+    program, with the prices of the last, until it is little; the last phases round to the nearest."""
+    left, rows, bound = need.copy(), [], 0
+    prices = lengths / capacity
+    for phase in range(COOLING_PHASES):
+        own = np.flatnonzero(left > 0)
+        if not len(own):
+            break
+        amount, low, prices[own] = anneal(lengths[own], left[own].astype(np.float64), capacity, prices[own])
+        bound = max(bound, int(np.ceil(low - 1e-6)) if not phase else 0)
+        before = int(left.sum())
+        for p, x in sorted(amount.items(), key=lambda item: (-item[1], item[0])):
+            n = min(int(x + 1e-6) if phase < COOLING_PHASES - 2 else max(1, round(x)), *(int(left[own[k]]) // c for k, c in p))
+            if n > 0:
+                rows.append(({int(own[k]): c for k, c in p}, n))
+                for k, c in p:
+                    left[own[k]] -= c * n
+        if left.sum() > 0.98 * before:
+            break
+    return rows, left, bound
+
+
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that hold every piece of the histogram."""
     return packed(histogram, capacity, rounds)[0]
@@ -135,8 +200,9 @@ def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
 
     The program is solved and rounded in phases, each on what the ones before left. Rounding takes patterns in order of
     their amount, at least once and while pieces are left. What no phase places goes best-fit in decreasing order.
-    Of the states after each phase, with full patterns only and, far from the bound, with all, the one with the fewest sequences wins; of
-    equal ones, that with the most pieces placed by the program.
+    Where this stays CLOSE to the bound no more is done; else, or if it places less than half of the pieces, the slowly
+    cooled program is solved too. Of all states the one with the fewest sequences wins, which may be plain best fit; of equal
+    ones, that with the most pieces placed by the program.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n), np.int64)
     if not len(lengths):
@@ -173,6 +239,11 @@ def packed(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = RO
             answers.append((sum(n for _, n in made), -placed, made))
             if answers[-1][0] <= bound and placed >= ENOUGH * need.sum():
                 return made, placed, bound
+    if min(answers, key=lambda found: found[:2], default=(need.sum(),))[0] > bound * CLOSE or -2 * min((found[:2] for found in answers), default=(0, 0))[1] < need.sum():
+        rows, left, low = cooled(lengths, need, capacity)
+        made = best_fit(lengths, left, rows, capacity)
+        bound = max(bound, low)
+        answers.append((sum(n for _, n in made), -int(need.sum() - left.sum()), made))
     plain = best_fit(lengths, need, [], capacity)
     answers.append((sum(n for _, n in plain), 0, plain))
     _, placed, made = min(answers, key=lambda found: found[:2])

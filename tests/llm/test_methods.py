@@ -592,6 +592,30 @@ def test_the_program_places_most_pieces(kind):
     assert n <= bound * 1.02 + 2, (n, bound)
 
 
+def test_hard_histograms():
+    """Counts on which the shares of lengths do not follow from their sums; 1,250 sequences are the least in the first."""
+    r = random.Random(11)
+    cases = {
+        "example": {1025: 1000, 683: 1000, 682: 500, 341: 1000},
+        "thirds": {k: r.randrange(100, 900) for k in range(600, 800)},
+        "even": {k: 1000 for k in range(1, 2049)},
+        "few": {900: 1000, 700: 1300, 650: 800, 400: 2000},
+    }
+    most = {"example": 1.002, "thirds": 1.02, "even": 1.0, "few": 1.002}
+    for name, sizes in cases.items():
+        found, placed, bound = packing.packed(sizes)
+        n = sum(x for _, x in found)
+        got: dict[int, int] = {}
+        for flat, x in found:
+            assert sum(flat) <= 2048
+            for size in flat:
+                got[size] = got.get(size, 0) + x
+        assert got == sizes and n <= most[name] * bound, (name, n, bound)
+        assert 2 * placed > sum(sizes.values()), (name, placed)
+        if name == "example":
+            assert bound == 1250 and n <= 1251
+
+
 # --- language -----------------------------------------------------------------------------------------------
 
 
