@@ -134,14 +134,15 @@ def anneal(lengths: np.ndarray, need: np.ndarray, capacity: int, value: np.ndarr
     by how much less or more than its share each length got. Steps and spread shrink from round to round; the amounts are
     the mean of the last rounds, in which prices have settled. A round whose answer alone is CLOSE to the bound ends it.
     """
-    log_value = np.log(lengths / capacity if value is None else value)
+    start = lengths / capacity if value is None else value
+    log_value = np.log(start)
     amount: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
     rounds = int(min(COOLING_ROUNDS, max(30, 48_000 // len(lengths))))
     bound, kept, counted = 0.0, lengths / capacity, 0
     for t in range(rounds):
         part = t / max(rounds - 1, 1)
         step, spread = (a * (b / a) ** part for a, b in (COOLING_STEP, COOLING_SPREAD))
-        value = np.exp(log_value)
+        value = np.exp(log_value) if t else start  # as given, so that equal worths stay equal
         best, choice = price_table(lengths, value, capacity, longest=True)
         low = float(value @ need) / best[capacity]
         if low > bound:
