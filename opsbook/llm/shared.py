@@ -71,9 +71,26 @@ def cut_at(df: DataFrame, path: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SAME_STORE = {"s3a": "s3", "s3n": "s3"}  # Hadoop's names of a store to those of pyarrow
+
+
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a URI, for tasks that write or range-read binary files."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+    scheme, _, rest = uri.partition(":")
+    if not rest:
+        return fs.FileSystem.from_uri(uri)
+    scheme = SAME_STORE.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{scheme}:{rest}" if rest.startswith("//") else f"{scheme}://{rest}")
+
+
+def file_folder(spark: SparkSession, name: str) -> str:
+    """A new path for binary files; a shared folder in a store that tasks cannot open is refused before any work."""
+    at = new_path(spark, name)
+    try:
+        open_store(at)
+    except (OSError, ValueError, NotImplementedError) as e:
+        raise ValueError(f"files cannot be written to {at}: {e}") from e
+    return at
 
 
 def write_file(uri: str, parts: list[bytes]) -> None:

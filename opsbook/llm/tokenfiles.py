@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, open_store, write_file
+from .shared import cut, file_folder, open_store, write_file
 from .tokens import Kind, encoder, text_batches
 
 MAGIC, TABLE_MAGIC = b"opsrans1", b"opsfreq1"
@@ -257,7 +257,7 @@ def write_token_files(docs: DataFrame, folder: str, kind: Kind, end_id: int) ->
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, a file to a task."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files, dealt evenly over the tasks."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, crc = None, 0
         for b in batches:
@@ -277,8 +277,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 out.loc[doc_ids == NO_ID, "doc_id"] = pd.NA
                 yield out
 
-    files = max(1, manifest.count())  # a number given here is kept; small partitions would be put together
-    return manifest.select("uri", "first").repartition(files).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each reads its share of the files, one after another
+    return manifest.select("uri", "first").repartition(tasks).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, kind: Kind | None = None, end_id: int = 2) -> DataFrame:
@@ -287,5 +287,5 @@ def token_files(docs: DataFrame, kind: Kind | None = None, end_id: int = 2) -> D
     A null text counts as empty and gives the end id alone. Null ids come first. Rows that repeat a doc_id
     follow each other. No rows give no file.
     """
-    folder = new_path(docs.sparkSession, "token-files")
+    folder = file_folder(docs.sparkSession, "token-files")
     return read_token_files(write_token_files(docs, folder, kind or tokenizer(), end_id), folder)

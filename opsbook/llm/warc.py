@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, new_path, open_store, write_file
+from .shared import cut, file_folder, open_store, write_file
 
 ARCHIVE_BYTES = 16 << 20  # of payload, after which an archive is closed
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -203,8 +203,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    archives = max(1, manifest.count())  # a number given here is kept; small partitions would be put together
-    return manifest.select("uri", "bytes").repartition(archives).mapInPandas(run, schema)
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # each reads its share of the archives, one after another
+    return manifest.select("uri", "bytes").repartition(tasks).mapInPandas(run, schema)
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -213,5 +213,5 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     A null html is an empty payload. Among rows of equal payload the largest page_id is the response; rows that
     repeat that page_id are responses too. A null page_id is a revisit where its payload has an id.
     """
-    made = write_archives(pages, new_path(pages.sparkSession, "warc"), least_bytes)
+    made = write_archives(pages, file_folder(pages.sparkSession, "warc"), least_bytes)
     return read_archives(made).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -30,7 +30,7 @@ def plain_ids(path: str, texts: list[str], end: int) -> list[np.ndarray]:
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = QUERIES[name](spark, sf_dir)
     want = con.execute(ORACLES[name])
