@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import agenda, jobs, reports
-from ..sources import files, store
+from ..sources import files, search, store
 from .registry import query
 from .views import view, with_views
 
@@ -274,3 +274,11 @@ def q1_job_sheets(spark, sf):
     back = files.read_jobs_csv(spark, f"{at}/*/*.csv")
     book = F.regexp_extract("source", "book_id=([0-9]+)", 1).cast("int")
     return back.select(book.alias("book_id"), "job", "due", "priority", "done", "date_completed", "remarks", "weekly_report", "planner", "ra", "ptw", "ptw_type", "repeat")
+
+
+@query(with_views("SELECT doc_id, category, title FROM search_docs WHERE lower(concat_ws(' ', title, body)) LIKE '%license%'", "search_docs"))
+def q13_search_index(spark, sf):
+    """The search of q13 by way of an index of all entries."""
+    at = store.new_folder(spark, "notes")
+    search.write_note_index(view(spark, sf, "search_docs"), at)
+    return search.search_index(spark, at, "License").select("doc_id", "category", "title")
