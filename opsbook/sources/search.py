@@ -16,8 +16,11 @@ GRAM = 3
 def grams(text: Column) -> Column:
     """The different runs of GRAM characters of a text in lower case; shorter texts have none."""
     chars = F.split(text, "")
-    starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (GRAM - 1), F.lit(0)))
-    return F.array_distinct(F.transform(starts, lambda c, k: F.concat(c, *(F.get(chars, k + n) for n in range(1, GRAM)))))
+    many = F.greatest(F.size(chars) - (GRAM - 1), F.lit(0))
+    runs = F.slice(chars, F.lit(1), many)
+    for k in range(2, GRAM + 1):  # whole arrays beside each other: an element is never looked up
+        runs = F.zip_with(runs, F.slice(chars, F.lit(k), many), lambda x, y: F.concat(x, y))
+    return F.array_distinct(runs)
 
 
 def write_note_index(entries: DataFrame, path: str, parts: int = 64) -> None:
