@@ -22,6 +22,7 @@ SHARD_ROWS = 16_384  # rows of one tree, and rows that search it in one task; a
 SET_ROWS = 1024  # the same where rows carry their shingle sets
 DEALS = 2  # times that the rows of a larger shard are dealt in cells
 BLOCK = 1 << 16  # shingles counted at once in a long text
+PAIRS = 1 << 15  # pairs whose signatures are compared at once
 BANDS, BAND_ROWS, SIGNATURE = 16, 3, 128
 ESTIMATE_MARGIN = 0.15  # four times a signature's standard error at similarity 0.8: the exact check follows
 
@@ -195,7 +196,9 @@ def search_links(dealt: DataFrame, radius: int, similarity: float | None) -> Dat
                 sets = [np.frombuffer(g, np.uint64) for g in b["grams"]] if exact else None
 
                 def alike(x: np.ndarray, y: np.ndarray, sig: np.ndarray = sig, sets: list[np.ndarray] | None = sets) -> np.ndarray:
-                    ok = same_share(sig[x], sig[y]) >= similarity - ESTIMATE_MARGIN
+                    ok = np.empty(len(x), bool)
+                    for k in range(0, len(x), PAIRS):
+                        ok[k : k + PAIRS] = same_share(sig[x[k : k + PAIRS]], sig[y[k : k + PAIRS]]) >= similarity - ESTIMATE_MARGIN
                     if sets is not None:
                         for k in np.flatnonzero(ok):
                             ok[k] = jaccard_reaches(sets[x[k]], sets[y[k]], similarity)
