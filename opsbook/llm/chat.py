@@ -433,7 +433,8 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame
     """(conv_id, formatted, loss_spans): each conversation as one text, its rows by turn.
 
     A null text or role counts as empty. Rows of equal turn are ordered by role and text. Rows without
-    conv_id are one conversation. A conversation is one row of the result, so its turns meet in one task.
+    conv_id are one conversation. A conversation is one row of the result, so its turns meet in one task. An
+    empty table gives no conversations.
     """
     turns = rows.select(
         F.col("conv_id").cast("long"), F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t")

@@ -201,7 +201,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row.
 
     A null text or one without a letter is `und` with score 1; so is every text, with score 0, if there is
-    nothing to learn from. Repeated rows are predicted alike.
+    nothing to learn from. Repeated rows are predicted alike. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     windows, labels = training_windows(docs)

@@ -308,7 +308,7 @@ def pack(docs: DataFrame, kind: Kind | None = None, end_id: int = 0, capacity: i
 
     The driver sees the histogram alone, of at most `capacity` lengths, so the program and the list of
     patterns have a fixed bound. A null or empty text is a piece of the end id only; null ids stay null.
-    Repeated rows are packed as often as they come.
+    Repeated rows are packed as often as they come. An empty table gives no rows.
     """
     found = pieces(docs, kind or tokenizer(), end_id, capacity)
     per_task = found.groupBy("task", "length").agg(F.count("*").alias("n"))

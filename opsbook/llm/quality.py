@@ -119,7 +119,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words, so they fail. A text is kept if the base rules pass, its repeats
     of 8 words or more cover at most 30 % of its words and none has over 100 words. Repeated rows are judged
-    one by one.
+    one by one. An empty table gives no rows.
     """
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -266,7 +266,8 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 3) -> Data
 
     Equal fingerprints become one vertex before any search. A null text has fingerprint zero, and so has a
     text without words; they link like any other. A null doc_id keeps its fingerprint and gets its
-    component's id, null if no row there has an id. Repeated rows return as often as they come.
+    component's id, null if no row there has an id. Repeated rows return as often as they come. An empty table gives no
+    rows.
     """
     fps = cut(fingerprints(docs, width), "fingerprints")
     vertices = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -317,7 +318,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     fingerprints, of each shingle once, to `radius`, and keeps hits by a generous estimate. A second pass searches
     the components of the first and links only pairs whose shingle sets have the similarity itself.
     Texts equal but for case and spacing are one vertex. Wordless and null texts are copies of each other.
-    Rows without doc_id take no part.
+    Rows without doc_id take no part. An empty table gives no rows.
     """
     mixers = _mixers(SIGNATURE)
 

@@ -131,7 +131,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     What goes are chunks, each of which one smaller doc_id has in one piece but for its white space.
     A null or empty text stays as it is. Passages that recur only within one document stay. Rows without
-    doc_id are neither changed nor compared. Rows that repeat a doc_id count as one document.
+    doc_id are neither changed nor compared. Rows that repeat a doc_id count as one document. An empty table
+    gives no rows.
     """
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for text, found in batches:

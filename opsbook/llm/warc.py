@@ -211,7 +211,8 @@ def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder and describe each record as read back.
 
     A null html is an empty payload. Among rows of equal payload the largest page_id is the response; rows that
-    repeat that page_id are responses too. A null page_id is a revisit where its payload has an id.
+    repeat that page_id are responses too. A null page_id is a revisit where its payload has an id. An empty table gives no
+    rows.
     """
     made = write_archives(pages, file_folder(pages.sparkSession, "warc"), least_bytes)
     return read_archives(made).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
