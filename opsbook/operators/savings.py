@@ -47,26 +47,53 @@ def rd_value(monthly: Column, rate: Column, comp: Column, months: Column, start:
 KEY = ["book_id", "id"]
 
 
+def _powers(q: Column, n: Column) -> Column:
+    """1 + q + … + q^(n-1), also where q is 1 or so near it that q^n - 1 would lose its digits."""
+    return F.when(q == 1, n).when(F.abs(q - 1) < 0.5, F.expm1(n * F.log1p(q - 1)) / (q - 1)).otherwise((F.pow(q, n) - 1) / (q - 1))
+
+
+def _instalment(month_no: Column) -> Column:
+    """The instalment of a month from 1: it grows by step percent every 12 months."""
+    return F.col("monthly") * F.pow(1 + F.col("step") / 100, F.floor((month_no - 1) / 12))
+
+
+def _unit(month_no: Column) -> Column:
+    """Value after so many months of instalments that begin with 1: whole years first, then those of the year begun."""
+    g, s, years = growth(F.col("rate"), F.col("comp")), 1 + F.col("step") / 100, F.floor((month_no - 1) / 12)
+    whole = F.pow(g, month_no - 11) * _powers(g, F.lit(12)) * _powers(s * F.pow(g, F.lit(-12)), years)
+    return whole + F.pow(s, years) * g * _powers(g, month_no - 12 * years)
+
+
+def _value(month_no: Column) -> Column:
+    return F.col("monthly") * _unit(month_no) + F.col("lump") * F.pow(growth(F.col("rate"), F.col("comp")), month_no)
+
+
+def _paid(month_no: Column) -> Column:
+    s, years = 1 + F.col("step") / 100, F.floor((month_no - 1) / 12)
+    return F.col("monthly") * (12 * _powers(s, years) + F.pow(s, years) * (month_no - 12 * years)) + F.col("lump")
+
+
+def _dealt(plans: DataFrame) -> DataFrame:
+    """Plans of a year or more, dealt over tasks before each becomes many rows: few files hold very many plans."""
+    spread = int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plans.where("years > 0").repartition(spread, *KEY)  # a number given is kept, however small the plans are
+
+
 def project_savings(plans: DataFrame) -> DataFrame:
     """(book_id, id, month_no, value, paid, instalment): v = (v + instalment) * g each month, the lump at the start.
 
-    The instalment grows by step percent every 12 months. The value is a running sum of discounted instalments
-    times the growth so far, so no row waits for another.
+    The instalment grows by step percent every 12 months. Each month has a closed form, so no row waits for another and
+    only the plans are shuffled, never their months.
     """
-    rows = plans.withColumn("month_no", F.explode(F.sequence(F.lit(1), F.col("years") * 12)))
-    g, k = growth(F.col("rate"), F.col("comp")), F.col("month_no")
-    rows = rows.withColumns({"g": g, "instalment": F.col("monthly") * F.pow(1 + F.col("step") / 100, F.floor((k - 1) / 12))})
-    w = Window.partitionBy(*KEY).orderBy("month_no")
-    flow = F.col("instalment") * F.pow("g", -(k - 1))
-    value = (F.sum(flow).over(w) + F.col("lump")) * F.pow("g", k)
-    return rows.select(*KEY, "month_no", value.alias("value"), (F.sum("instalment").over(w) + F.col("lump")).alias("paid"), "instalment")
+    k = F.col("month_no")
+    rows = _dealt(plans).withColumn("month_no", F.explode(F.sequence(F.lit(1), F.col("years") * 12)))
+    return rows.select(*KEY, "month_no", _value(k).alias("value"), _paid(k).alias("paid"), _instalment(k).alias("instalment"))
 
 
 def _unit_value(plans: DataFrame) -> DataFrame:
     """Final value of an instalment of 1 with the plan's steps, and the growth of a lump of 1."""
-    unit = plans.withColumns({"monthly": F.lit(1.0), "lump": F.lit(0.0)})
-    end = project_savings(unit).groupBy(*KEY).agg(F.max_by("value", "month_no").alias("unit"))
-    return plans.join(end, KEY).withColumn("lump_growth", F.pow(growth(F.col("rate"), F.col("comp")), F.col("years") * 12))
+    end = F.col("years") * 12
+    return plans.where("years > 0").withColumns({"unit": _unit(end), "lump_growth": F.pow(growth(F.col("rate"), F.col("comp")), end)})
 
 
 def solve_monthly(plans: DataFrame) -> DataFrame:
@@ -138,6 +165,23 @@ def solve_rates(months: list[np.ndarray], amounts: list[np.ndarray]) -> np.ndarr
     return out
 
 
+def _rates(df: DataFrame, flows: str) -> DataFrame:
+    """df with monthly_rate and sign_changes of its column of flows (m, a), one a month in order of the months."""
+
+    def rates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for m, a in batches:
+            months, amounts = ([np.asarray(f, float) for f in s] for s in (m, a))
+            yield pd.DataFrame({"rate": solve_rates(months, amounts), "changes": [sign_changes(f) for f in amounts]})
+
+    rate = F.pandas_udf(rates, "rate double, changes int")
+    found = df.withColumn("found", rate(F.col(f"{flows}.m"), F.col(f"{flows}.a")))
+    return found.withColumns({"monthly_rate": F.nanvl("found.rate", F.lit(None).cast("double")), "sign_changes": F.col("found.changes")}).drop("found")
+
+
+def _annual() -> Column:
+    return (F.pow(1 + F.col("monthly_rate"), 12) - 1).alias("annual")
+
+
 def irr(flows: DataFrame, key: list[str], changes: bool = False) -> DataFrame:
     """(key…, monthly_rate, annual[, sign_changes]) from signed flows (key…, month, amount); months start at 0.
 
@@ -146,16 +190,31 @@ def irr(flows: DataFrame, key: list[str], changes: bool = False) -> DataFrame:
     """
     per = flows.where("month is not null and amount is not null").groupBy(*key, "month").agg(F.sum("amount").alias("amount"))
     whole = per.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("month").cast("double").alias("m"), F.col("amount").cast("double").alias("a")))).alias("f"))
+    return _rates(whole, "f").select(*key, "monthly_rate", _annual(), *(["sign_changes"] if changes else []))
 
-    def rates(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for m, a in batches:
-            months, amounts = ([np.asarray(f, float) for f in s] for s in (m, a))
-            yield pd.DataFrame({"rate": solve_rates(months, amounts), "changes": [sign_changes(f) for f in amounts]})
 
-    rate = F.pandas_udf(rates, "rate double, changes int")
-    found = whole.select(*key, rate(F.col("f.m"), F.col("f.a")).alias("found"))
-    found = found.select(*key, F.nanvl("found.rate", F.lit(None).cast("double")).alias("monthly_rate"), F.col("found.changes").alias("sign_changes"))
-    return found.select(*key, "monthly_rate", (F.pow(1 + F.col("monthly_rate"), 12) - 1).alias("annual"), *(["sign_changes"] if changes else []))
+def _held(opening: Column, first: Column, n: Column) -> Column:
+    """Flows (m, a) of a plan held for n months from month_no `first`: opening value and instalments in, the last value out.
+
+    Amounts that are not known are left out, as irr() does.
+    """
+
+    def flow(month: Column, amount: Column) -> Column:
+        return F.struct(month.cast("double").alias("m"), amount.cast("double").alias("a"))
+
+    def paid(m: Column) -> Column:
+        return F.when(m == 0, F.coalesce(_instalment(first) + opening, _instalment(first), F.nullif(opening, F.lit(0)))).otherwise(_instalment(first + m))
+
+    flows = F.concat(F.transform(F.sequence(F.lit(0), n - 1), lambda m: flow(m, -paid(m))), F.array(flow(n, _value(first + n - 1))))
+    return F.filter(flows, lambda x: x["a"].isNotNull())
+
+
+def plan_rates(plans: DataFrame) -> DataFrame:
+    """(book_id, id, monthly_rate, annual): irr() of the plan_flows() of a plan, which a plan's row has in it: its months
+    are neither shuffled nor sorted, so memory does not grow with the plans."""
+    paying = _instalment(F.lit(1)).isNotNull() | (F.col("lump") != 0)  # asked of the terms: asked of the flows, Spark makes them twice
+    rows = _dealt(plans.where(paying)).select(*KEY, _held(F.col("lump"), F.lit(1), F.col("years") * 12).alias("f"))
+    return _rates(rows, "f").select(*KEY, "monthly_rate", _annual())
 
 
 def plan_flows(projected: DataFrame, plans: DataFrame) -> DataFrame:

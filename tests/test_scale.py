@@ -108,3 +108,47 @@ def test_diff_reads_differing_parts_alone(spark):
     x, y = ledger.ledger_digests(a, ["book_id"]), ledger.ledger_digests(b, ["book_id"])
     assert x.join(y, ["book_id", "rows", "sum", "xor"]).count() == 4
     assert ledger.ledger_digests(a.orderBy(F.rand(1)), ["book_id"]).exceptAll(x).count() == 0
+
+
+def odd_plans(spark):
+    """Terms at which a geometric sum is not to be divided out: no rate, no step, steps that equal the growth or nearly."""
+    r, rows = random.Random(9), []
+    for rate, step in ((0.0, 0.0), (0.0, 10.0), (12.0, 0.0), (12.0, (1.01**12 - 1) * 100), (12.0, (1.01**12 - 1) * 100 + 1e-9), (1e-9, 1e-9), (7.0, -100.0), (7.0, -130.0), (-6.0, 5.0), (300.0, 80.0), (8.0, 200.0)):
+        rows += [(3, len(rows) + k, r.choice([0.0, 900.0]), r.choice([100.0, 5e4]), rate, years, step, r.choice([1, 4, 12]), 1e6) for k, years in enumerate((1, 2, 7, 30))]
+    rows += [(4, 0, None, 100.0, 5.0, 2, 0.0, 12, 1.0), (4, 1, 100.0, None, 5.0, 2, 0.0, 12, 1.0), (4, 2, 100.0, 0.0, None, 2, 0.0, 12, 1.0), (4, 3, None, 0.0, 5.0, 1, 0.0, 12, 1.0), (4, 4, 100.0, 0.0, 5.0, 0, 0.0, 12, 1.0)]
+    return rows, spark.createDataFrame(rows, "book_id int, id int, monthly double, lump double, rate double, years int, step double, comp int, target double")
+
+
+def test_plans_equal_the_plain_rule(spark):
+    rows, plans = odd_plans(spark)
+    got = {(r["book_id"], r["id"], r["month_no"]): r for r in savings.project_savings(plans).collect()}
+    assert len(got) == sum(12 * x[5] for x in rows)
+    for book, k, monthly, lump, rate, years, step, comp, _ in rows[:44]:
+        g, value, paid = (1 + rate / (100 * comp)) ** (comp / 12), lump, lump
+        for month in range(1, 12 * years + 1):
+            put = monthly * (1 + step / 100) ** ((month - 1) // 12)
+            value, paid, row = (value + put) * g, paid + put, got[book, k, month]
+            size = max(1, abs(value), abs(monthly) * max(1, abs(1 + step / 100)) ** years)
+            assert abs(row["value"] - value) < 1e-9 * size and abs(row["paid"] - paid) < 1e-9 * max(1, abs(paid), size) and abs(row["instalment"] - put) < 1e-9 * max(1, abs(put))
+
+
+def test_returns_of_plans_equal_those_of_their_flows(spark):
+    _, plans = odd_plans(spark)
+    rows = savings.project_savings(plans)
+
+    def table(df, n):
+        return {tuple(r)[:n]: tuple(r)[n:] for r in df.collect()}
+
+    for got, want in ((table(savings.plan_rates(plans), 2), table(savings.irr(savings.plan_flows(rows, plans), savings.KEY), 2)),):
+        assert set(got) == set(want) and len(got) > 40
+        for k, w in want.items():
+            assert all((x is None) == (y is None) and (x is None or abs(x - y) <= 1e-8 * max(1, abs(y))) for x, y in zip(got[k], w)), (k, got[k], w)
+
+
+def test_months_of_plans_are_not_shuffled(spark, sf_dir):
+    """Memory of a task: the plans are dealt out once; no window, sort, aggregate or join sees their months."""
+    from opsbook.plans import queries as books
+
+    for name in ("q69_project_savings", "q70_irr", "q66_solve_monthly", "q66_solve_lump"):
+        text = plan(books.QUERIES[name](spark, sf_dir))
+        assert not any(x in text for x in ("Window", "Sort", "Aggregate", "Join")) and text.count("Exchange") <= 1, name
