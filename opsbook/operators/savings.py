@@ -238,3 +238,14 @@ def period_returns(projected: DataFrame, plans: DataFrame, months: int) -> DataF
     flows = flows.unionByName(end.select(*each, F.col("n").cast("int").alias("month"), F.col("value").alias("amount")))
     rate = irr(flows, each)
     return end.join(rate, each).select(*each, "value", "paid", (F.pow(1 + F.col("monthly_rate"), F.col("n")) - 1).alias("period_return"))
+
+
+def plan_returns(plans: DataFrame, months: int) -> DataFrame:
+    """period_returns() of the project_savings() of plans; a period's flows are made from the plan's row, so no period waits
+    for another and only the plans are shuffled."""
+    end, first = F.col("years") * 12, (F.col("period") - 1) * months + 1
+    rows = _dealt(plans).withColumn("period", F.explode(F.sequence(F.lit(1), F.ceil(end / months).cast("int"))))
+    rows = rows.withColumns({"first": first, "n": F.least(F.lit(months), end - first + 1)})
+    last, opening = F.col("first") + F.col("n") - 1, F.when(F.col("period") == 1, F.col("lump")).otherwise(_value(F.col("first") - 1))
+    rows = rows.select(*KEY, "period", _value(last).alias("value"), _paid(last).alias("paid"), "n", _held(opening, F.col("first"), F.col("n")).alias("f"))
+    return _rates(rows, "f").select(*KEY, "period", "value", "paid", (F.pow(1 + F.col("monthly_rate"), F.col("n")) - 1).alias("period_return"))

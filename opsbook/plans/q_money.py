@@ -143,9 +143,7 @@ def q70_irr(spark, sf):
 @query(with_views(f"""SELECT book_id, id, CAST(month_no // 3 AS INT) AS period, round(value + 1e-7, 4) AS value, round(paid + 1e-7, 4) AS paid, round(pow(1 + rate / 1200, 3) - 1, 7) AS period_return
 FROM ({PROJECTED}) JOIN (SELECT book_id, id, rate FROM plans) USING (book_id, id) WHERE month_no % 3 = 0""", "plans"))
 def q71_period_returns(spark, sf):
-    plans = view(spark, sf, "plans")
-    out = savings.period_returns(savings.project_savings(plans), plans, 3)
-    return money(out, "value", "paid", nudge=1e-7).withColumn("period_return", F.round("period_return", 7))
+    return money(savings.plan_returns(view(spark, sf, "plans"), 3), "value", "paid", nudge=1e-7).withColumn("period_return", F.round("period_return", 7))
 
 
 FLOWS = """SELECT book_id, id, month, amount FROM (

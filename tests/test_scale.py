@@ -139,7 +139,7 @@ def test_returns_of_plans_equal_those_of_their_flows(spark):
     def table(df, n):
         return {tuple(r)[:n]: tuple(r)[n:] for r in df.collect()}
 
-    for got, want in ((table(savings.plan_rates(plans), 2), table(savings.irr(savings.plan_flows(rows, plans), savings.KEY), 2)),):
+    for got, want in ((table(savings.plan_rates(plans), 2), table(savings.irr(savings.plan_flows(rows, plans), savings.KEY), 2)), *((table(savings.plan_returns(plans, m), 3), table(savings.period_returns(rows, plans, m), 3)) for m in (3, 5, 12))):
         assert set(got) == set(want) and len(got) > 40
         for k, w in want.items():
             assert all((x is None) == (y is None) and (x is None or abs(x - y) <= 1e-8 * max(1, abs(y))) for x, y in zip(got[k], w)), (k, got[k], w)
@@ -149,6 +149,6 @@ def test_months_of_plans_are_not_shuffled(spark, sf_dir):
     """Memory of a task: the plans are dealt out once; no window, sort, aggregate or join sees their months."""
     from opsbook.plans import queries as books
 
-    for name in ("q69_project_savings", "q70_irr", "q66_solve_monthly", "q66_solve_lump"):
+    for name in ("q69_project_savings", "q70_irr", "q71_period_returns", "q66_solve_monthly", "q66_solve_lump"):
         text = plan(books.QUERIES[name](spark, sf_dir))
         assert not any(x in text for x in ("Window", "Sort", "Aggregate", "Join")) and text.count("Exchange") <= 1, name
