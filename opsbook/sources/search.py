@@ -5,7 +5,11 @@ A search gives the rows that a scan gives; it reads only the files that can hold
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.jobs import search_notes
@@ -13,33 +17,74 @@ from ..operators.jobs import search_notes
 GRAM = 3
 
 
-def grams(text: Column) -> Column:
-    """The different runs of GRAM characters of a text in lower case; shorter texts have none."""
-    chars = F.split(text, "")
-    many = F.greatest(F.size(chars) - (GRAM - 1), F.lit(0))
-    runs = F.slice(chars, F.lit(1), many)
-    for k in range(2, GRAM + 1):  # whole arrays beside each other: an element is never looked up
-        runs = F.zip_with(runs, F.slice(chars, F.lit(k), many), lambda x, y: F.concat(x, y))
-    return F.array_distinct(runs)
+BETWEEN = 0xD800  # no character: stands between texts
+CHUNK = 1 << 21  # characters looked at together
+DENSE = 1 << 24  # runs that are marked in an array; with more characters than that allows, they are sorted
+
+
+def grams(texts: list[str]) -> list[str]:
+    """The different runs of GRAM characters inside the texts; shorter texts have none."""
+    points = np.frombuffer(chr(BETWEEN).join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(points) < GRAM:
+        return []
+    used = np.zeros(0x110000, bool)
+    used[points] = True
+    chars = np.flatnonzero(used).astype(np.uint32)
+    number = np.zeros(0x110000, np.int64)
+    number[chars] = np.arange(len(chars))
+    at, n = number[points], len(chars)
+    runs = at[: len(at) - GRAM + 1]
+    for k in range(1, GRAM):
+        runs = runs * n + at[k : len(at) - GRAM + 1 + k]
+    if n**GRAM <= DENSE:
+        marks = np.zeros(n**GRAM, bool)
+        marks[runs] = True
+        runs = np.flatnonzero(marks)
+    else:
+        runs = np.unique(runs)
+    found = chars[np.stack([runs // n ** (GRAM - 1 - k) % n for k in range(GRAM)], axis=1)]
+    whole = np.ascontiguousarray(found[(found != BETWEEN).all(1)]).tobytes().decode("utf-32-le")
+    return [whole[k : k + GRAM] for k in range(0, len(whole), GRAM)]
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, gram) of rows (part, text), once for each chunk of a part's texts."""
+
+    def made(part: int, texts: list[str]) -> pa.RecordBatch:
+        found = grams(texts)
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), pa.array(found, pa.string())], ["part", "gram"])
+
+    for batch in batches:
+        now, texts, size = None, [], 0
+        for part, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if texts and (part != now or size >= CHUNK):
+                yield made(now, texts)
+                texts, size = [], 0
+            now, text = part, text.as_py()
+            texts.append(text)
+            size += len(text)
+        if texts:
+            yield made(now, texts)
 
 
 def write_note_index(entries: DataFrame, path: str, parts: int = 64) -> None:
     """Entries (…, category, title, body) in `parts` parts of similar titles, and for each trigram the parts that have it.
 
     Postings are of parts, not of entries: a trigram has at most `parts` of them, however common it is, and they are
-    counted where the entries lie before they are shuffled. They are sorted, so a search reads those of its trigrams.
+    found where the entries lie, many texts at once, before they are shuffled. They are sorted, so a search reads those of
+    its trigrams.
     """
     dealt = entries.repartitionByRange(parts, "category", "title").withColumn("part", F.spark_partition_id())
     dealt.write.partitionBy("part").parquet(f"{path}/entries")
     kept = entries.sparkSession.read.schema(dealt.schema).parquet(f"{path}/entries")
-    text = F.lower(F.concat_ws(" ", "title", "body"))
-    postings = kept.select("part", F.explode(grams(text)).alias("gram")).distinct()
+    texts = kept.select(F.col("part").cast("int").alias("part"), F.lower(F.concat_ws(" ", "title", "body")).alias("text"))
+    postings = texts.mapInArrow(_postings, "part int, gram string").distinct()
     postings.repartitionByRange("gram").sortWithinPartitions("gram", "part").write.parquet(f"{path}/postings")
 
 
 def parts_with(spark: SparkSession, path: str, text: str) -> list[int] | None:
     """The parts whose entries have all trigrams of the text; None if it has none and every part must be read."""
-    wanted = spark.range(1).select(grams(F.lit(text.lower()))).first()[0]
+    wanted = grams([text.lower()])
     if not wanted:
         return None
     found = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(wanted)).groupBy("part").count()

@@ -50,3 +50,21 @@ def test_places_by_prefix(spark, tmp_path):
         assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), prefix
     plan = search.search_places(spark, at, "port")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(_name,port)" in plan
+
+
+def test_postings_are_the_runs_of_the_texts(spark, notes, tmp_path, monkeypatch):
+    """Beside plain slices: few and very many different characters, texts in chunks; no list of a text's characters in the plan."""
+    r = random.Random(7)
+    for chars in ("ab ", "aé日😀\x00", "".join(chr(0x4E00 + k) for k in range(400))):
+        for _ in range(50):
+            texts = ["".join(r.choice(chars) for _ in range(r.randrange(9))) for _ in range(r.randrange(6))]
+            assert sorted(search.grams(texts)) == sorted({t[k : k + 3] for t in texts for k in range(len(t) - 2)})
+    monkeypatch.setattr(search, "CHUNK", 20)
+    batch = search.pa.RecordBatch.from_pydict({"part": [0, 0, 0, 1, 1], "text": ["abcd" * 8, "xbcd", "", "abc", "d"]})
+    made = [tuple(x.values()) for b in search._postings(iter([batch])) for x in b.to_pylist()]
+    assert set(made) == {(0, "abc"), (0, "bcd"), (0, "cda"), (0, "dab"), (0, "xbc"), (1, "abc")}
+    at = f"file://{tmp_path}/runs"
+    search.write_note_index(notes, at, parts=5)
+    want = {(x["part"], t[k : k + 3]) for x in spark.read.parquet(f"{at}/entries").selectExpr("part", "lower(concat_ws(' ', title, body)) AS t").collect() for t in [x["t"]] for k in range(len(t) - 2)}
+    kept = spark.read.parquet(f"{at}/postings")
+    assert {tuple(x) for x in kept.select("part", "gram").collect()} == want and kept.count() == len(want)
