@@ -33,20 +33,14 @@ def ics_escape(c: Column) -> Column:
 
 
 def ics_fold(c: Column, width: int = 74) -> Column:
-    """Physical lines of at most width octets, continued by CRLF and a space; no character is divided.
+    """Physical lines of at most width octets (4 or more), continued by CRLF and a space; no character is divided.
 
-    The space that begins a continuation is not counted, so lines have 75 octets at most.
+    The space that begins a continuation is not counted, so lines have 75 octets at most. Octets are read as Latin-1, one
+    character each, so one pass finds the lines: as many octets as fit and are not followed by the rest of a character.
     """
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(c) / width) - 1).cast("int")), lambda k: F.substring(c, k * width + 1, F.lit(width)))
-    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-
-    def add(state: Column, char: Column) -> Column:
-        full = F.octet_length(state["line"]) + F.octet_length(char) > width
-        lines = F.when(full, F.array_append(state["lines"], state["line"])).otherwise(state["lines"])
-        return F.struct(lines.alias("lines"), F.when(full, char).otherwise(F.concat(state["line"], char)).alias("line"))
-
-    wide = F.aggregate(F.split(c, ""), start, add, lambda state: F.array_append(state["lines"], state["line"]))
-    return F.array_join(F.when(F.octet_length(c) == F.length(c), parts).otherwise(wide), "\r\n ")
+    line = f"(?s)(?>.{{1,{width}}}(?![\\x80-\\xBF]))(?=.)"
+    folded = F.regexp_replace(F.decode(c.cast("binary"), "ISO-8859-1"), line, "$0\r\n ")
+    return F.encode(folded, "ISO-8859-1").cast("string")
 
 
 def _degrees(v: Column, width: int, plus: str, minus: str) -> Column:

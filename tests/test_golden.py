@@ -433,3 +433,23 @@ def test_sign_off_that_fails_goes_on(spark, tmp_path, monkeypatch):
     assert files.sign_off(tables, books, at)["jobs"].count() == 1 and len(again) == 1
     with pytest.raises(ValueError, match="other books"):
         files.sign_off(tables, spark.createDataFrame([(3,)], "book_id int"), at)
+
+
+def folded_plainly(t, width=74):
+    lines, line = [], ""
+    for ch in t:
+        if len((line + ch).encode()) > width:
+            lines, line = [*lines, line], ch
+        else:
+            line += ch
+    return "\r\n ".join([*lines, line])
+
+
+def test_folding_is_one_pass(spark):
+    """Random texts beside the plain rule, a long one, and no work on single characters, which cost the length's square."""
+    r = random.Random(5)
+    texts = ["".join(r.choice(chars) for _ in range(n)) for chars in ("a b\r\n", "aé", "aé日😀\n", "́x$\\") for n in (0, 1, 73, 74, 75, 76, 148, 149, 500)] + ["é日" * 100_000 + "x" * 300_000]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "id int, t string").select("id", text.ics_fold(F.col("t")).alias("line"))
+    assert "lambdafunction" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {x["id"]: x["line"] for x in rows.collect()}
+    assert [got[k] for k in range(len(texts))] == [folded_plainly(t) for t in texts] and got[len(texts)] is None
