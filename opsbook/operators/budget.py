@@ -124,19 +124,26 @@ def one_per_day(points: DataFrame, keys: list[str]) -> DataFrame:
     return points.groupBy(*keys, "d").agg(F.max_by(F.struct(*(c for c in points.columns if c not in (*keys, "d"))), order).alias("r")).select(*keys, "d", "r.*")
 
 
-def price_asof(holdings: DataFrame, prices: DataFrame, days: list[dt.date]) -> DataFrame:
+def price_asof(holdings: DataFrame, prices: DataFrame, days: list[dt.date], daily: bool = False) -> DataFrame:
     """(book_id, holding_id, day, price): the latest price on or before each of the days, null before the first.
 
     The days divide a holding's history into ranges. Of a range only its last price matters, which is found by aggregates
     that combine where the prices lie, so a holding of very many prices is spread over tasks; what a range hands to the
-    next is carried over one row a day. Of several prices of one day the highest counts; null prices do not.
+    next is carried over one row a day. Of several prices of one day the highest counts; null prices do not. With `daily`,
+    holdings have one price a day at most, as one_per_day() gives them: then a range has no more rows than days, and is
+    dealt to one task without an aggregate of days before it.
     """
     asked = sorted(days)
     bounds = F.array(*map(F.lit, asked)).cast("array<date>")
     ask = holdings.select("book_id", F.col("id").alias("holding_id"), F.posexplode(bounds).alias("range", "day"))
     known = prices.where(F.col("p").isNotNull() & (F.col("d") <= F.lit(asked[-1]) if asked else F.lit(False)))
     known = known.select("book_id", "holding_id", "d", F.col("p").cast("double").alias("p"), F.size(F.filter(bounds, lambda x: x < F.col("d"))).alias("range"))
-    last = known.groupBy("book_id", "holding_id", "range", "d").agg(F.max("p").alias("p")).groupBy("book_id", "holding_id", "range").agg(F.max_by("p", "d").alias("p"))
+    if daily:
+        spread = 4 * int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # an aggregate and a join meet in these tasks
+        per = known.repartition(spread, "book_id", "holding_id", "range")
+    else:
+        per = known.groupBy("book_id", "holding_id", "range", "d").agg(F.max("p").alias("p"))
+    last = per.groupBy("book_id", "holding_id", "range").agg(F.max_by("p", "d").alias("p"))
     carried = Window.partitionBy("book_id", "holding_id").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     rows = ask.join(last, ["book_id", "holding_id", "range"], "left")
     return rows.select("book_id", "holding_id", "day", F.last("p", ignorenulls=True).over(carried).alias("price"))

@@ -248,7 +248,7 @@ def q18_stale_prices(spark, sf):
 FROM holdings h, (SELECT CAST(unnest(range(DATE '1995-06-01', DATE '2002-01-01', INTERVAL 6 MONTH)) AS DATE) AS day) m""", "holdings", "prices"))
 def q33_price_asof(spark, sf):
     days = [dt.date(y, m, 1) for y in range(1995, 2002) for m in (6, 12)]
-    return budget.price_asof(view(spark, sf, "holdings"), view(spark, sf, "prices"), days)
+    return budget.price_asof(view(spark, sf, "holdings"), view(spark, sf, "prices"), days, daily=True)
 
 
 @query("""SELECT holding_id, d, upd, p FROM (SELECT *, row_number() OVER (PARTITION BY holding_id, d ORDER BY upd DESC, p DESC) AS rn

@@ -152,3 +152,17 @@ def test_months_of_plans_are_not_shuffled(spark, sf_dir):
     for name in ("q69_project_savings", "q70_irr", "q71_period_returns", "q66_solve_monthly", "q66_solve_lump"):
         text = plan(books.QUERIES[name](spark, sf_dir))
         assert not any(x in text for x in ("Window", "Sort", "Aggregate", "Join")) and text.count("Exchange") <= 1, name
+
+
+def test_daily_prices_are_dealt_once(spark):
+    """One price a day: the same rows as without saying so, and no aggregate of days before that of ranges."""
+    r = random.Random(10)
+    start = D(2024, 1, 1)
+    holdings = spark.createDataFrame([(b, f"h{k}") for b in range(2) for k in range(6)], "book_id int, id string")
+    rows = [(b, f"h{k}", start + dt.timedelta(d), r.choice([None, 1.0, 2.0, 5.0])) for b in range(2) for k in range(5) for d in r.sample(range(60), 25)]
+    prices = spark.createDataFrame(rows, "book_id int, holding_id string, d date, p double")
+    days = [start + dt.timedelta(k) for k in (40, 3, 10, 10, 90, -5)]
+    got, want = (budget.price_asof(holdings, prices, days, daily) for daily in (True, False))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect()))) and got.count() == 72
+    assert "max(p" in plan(want) and "max(p" not in plan(got) and "SortAggregate" not in plan(got)
+    assert budget.price_asof(holdings, prices, [], True).count() == 0
